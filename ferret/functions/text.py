@@ -55,19 +55,32 @@ def count_occurrences(text, term) -> Column:
                   .cast("long"))
 
 
+# Lists longer than this are matched with a JVM higher-order function over a literal
+# array instead of an unrolled expression, which keeps generated code under 64 KB.
+UNROLL_LIMIT = 12
+
+
+def word_array(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
 def contains_any(text, words) -> Column:
     """True when ``text`` contains any of ``words`` (plain substrings)."""
     t = col_(text)
     if not words:
         return F.lit(False)
+    if len(words) > UNROLL_LIMIT:
+        return F.exists(word_array(words), lambda w: t.contains(w))
     return reduce(lambda a, b: a | b, [t.contains(F.lit(w)) for w in words])
 
 
 def ordered_matches(text, words) -> Column:
-    """The ``words`` found in ``text``, in list order (codegen-friendly)."""
+    """The ``words`` found in ``text``, in list order."""
     t = col_(text)
     if not words:
         return F.array().cast("array<string>")
+    if len(words) > UNROLL_LIMIT:
+        return F.filter(word_array(words), lambda w: t.contains(w))
     return F.array_compact(F.array(*[F.when(t.contains(F.lit(w)), F.lit(w)) for w in words]))
 
 

@@ -160,9 +160,16 @@ def walk_one(html: str | None, selectors_broad=None, selectors_narrow=None,
 
 
 def page_walk(pages: DataFrame, selectors_broad=None, selectors_narrow=None,
-              signal_lists=None) -> DataFrame:
-    """(page_id, html) -> WALK_SCHEMA rows, one per page, via mapInPandas."""
+              signal_lists=None, keep=("url", "html")) -> DataFrame:
+    """(page_id, *keep) -> (page_id, *keep, WALK_SCHEMA fields), one row per page.
+
+    The ``keep`` columns pass through unchanged, so native expressions can be applied
+    after the walk in the same stage: one scan, no join and no shuffle.
+    """
     sb, sn, sl = selectors_broad, selectors_narrow, signal_lists
+    keep = [c for c in keep if c != "page_id"]
+    schema = WALK_SCHEMA.replace("page_id long, ", "page_id long, " + "".join(
+        f"{c} {dict(pages.dtypes)[c]}, " for c in keep))
 
     def run(batches):
         for pdf in batches:
@@ -170,7 +177,11 @@ def page_walk(pages: DataFrame, selectors_broad=None, selectors_narrow=None,
             out = pd.DataFrame(rows, columns=["p_texts", "content_broad", "content_narrow",
                                               "signals", "h1_texts", "h2_texts",
                                               "pre_code", "pre_texts"])
-            out.insert(0, "page_id", pdf["page_id"].to_numpy())
+            for i, c in enumerate(["page_id"] + keep):
+                out.insert(i, c, pdf[c].to_numpy())
             yield out
 
-    return pages.select("page_id", "html").mapInPandas(run, WALK_SCHEMA)
+    from ..session import ship_package
+    ship_package(pages.sparkSession)
+    cols = ["page_id"] + keep + ([] if "html" in keep else ["html"])
+    return pages.select(*cols).mapInPandas(run, schema)

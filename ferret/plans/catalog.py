@@ -11,11 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import analyze
-from ..operators import search as S
-from ..sources import adapters as A
-from . import oracle as O
-
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
 
@@ -27,167 +22,10 @@ def register(name: str, sql: str | None):
     return deco
 
 
-# ---------------------------------------------------------------- search (E)
-
-def _search_inputs(spark, sf_dir, **qkw):
-    res = A.read_doc_resources(spark, sf_dir)
-    qry = A.read_queries(spark, sf_dir, **qkw)
-    return res, qry, S.build_search_tables(res)
-
-
-@register("e01_analyze", O.with_(O.RESOURCES) + f"""
-SELECT doc_id, len({O.tokens('content')}) AS n_content_tokens,
-       array_to_string({O.tokens('title')}, ' ') AS title_tokens
-FROM res""")
-def e01_analyze(spark, sf_dir):
-    r = A.read_doc_resources(spark, sf_dir)
-    return r.select("doc_id", F.size(analyze("content")).alias("n_content_tokens"),
-                    F.array_join(analyze("title"), " ").alias("title_tokens"))
-
-
-@register("e02_term_stats", O.with_(O.RESOURCES, O.index()) + """
-SELECT field, term, df, sum_tf FROM term_stats
-JOIN (SELECT field, term, sum(tf) AS sum_tf FROM postings GROUP BY field, term) USING (field, term)""")
-def e02_term_stats(spark, sf_dir):
-    t = S.build_search_tables(A.read_doc_resources(spark, sf_dir))
-    cf = t.postings.groupBy("field", "term").agg(F.sum("tf").alias("sum_tf"))
-    return t.term_stats.join(cf, ["field", "term"])
-
-
-@register("e02_field_stats", O.with_(O.RESOURCES, O.index()) + """
-SELECT field, n_docs, round(avgdl, 6) AS avgdl FROM field_stats""")
-def e02_field_stats(spark, sf_dir):
-    t = S.build_search_tables(A.read_doc_resources(spark, sf_dir))
-    return t.field_stats.select("field", "n_docs", F.round("avgdl", 6).alias("avgdl"))
-
-
-@register("e03_match", O.with_(O.RESOURCES, O.queries(), O.index(), O.QTERMS,
-                               O.match_scores(["content"])) + """
-SELECT query_id, doc_id, round(score, 6) AS score FROM scores""")
-def e03_match(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir)
-    return S.match_scores(t, qry, ["content"]).select("query_id", "doc_id",
-                                                     F.round("score", 6).alias("score"))
-
-
-@register("e04_multi_match", O.with_(O.RESOURCES, O.queries(), O.index(), O.QTERMS,
-                                     O.match_scores()) + """
-SELECT query_id, doc_id, round(score, 6) AS score FROM scores""")
-def e04_multi_match(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir)
-    return S.match_scores(t, qry).select("query_id", "doc_id", F.round("score", 6).alias("score"))
-
-
-def _hits_sql(**qkw) -> str:
-    return O.with_(O.RESOURCES, O.queries(**qkw), O.index(), O.QTERMS, O.match_scores(),
-                   O.MATCHES, O.COLLAPSED, O.PAGE) + O.FORMAT_HITS
-
-
-@register("e05_filtered_search", _hits_sql(type_="tutorial", language="en"))
-def e05_filtered_search(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir, type_="tutorial", language="en")
-    return S.search_batch(t, res, qry)["hits"]
-
-
-@register("e06_collapse", O.with_(O.RESOURCES, O.queries(), O.index(), O.QTERMS,
-                                  O.match_scores(), O.MATCHES, O.COLLAPSED) + """
-SELECT query_id, doc_id, url, rscore FROM collapsed""")
-def e06_collapse(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir)
-    m = S.filtered_matches(S.match_scores(t, qry), res, qry)
-    return S.collapse_by_url(m).select("query_id", "doc_id", "url", "rscore")
-
-
-@register("e07_page", O.with_(O.RESOURCES, O.queries(page=1, size=5), O.index(), O.QTERMS,
-                              O.match_scores(), O.MATCHES, O.COLLAPSED, O.PAGE) + """
-SELECT query_id, rank, doc_id, rscore FROM page_hits""")
-def e07_page(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir, page=1, size=5)
-    m = S.filtered_matches(S.match_scores(t, qry), res, qry)
-    return S.paged(S.collapse_by_url(m), qry).select("query_id", "rank", "doc_id", "rscore")
-
-
-@register("e09_type_facet", O.with_(O.RESOURCES, O.queries(), O.index(), O.QTERMS,
-                                    O.match_scores(), O.MATCHES) + f"""
-SELECT query_id, key, doc_count FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_count DESC, key) AS _r
-  FROM (SELECT query_id, type AS key, count(*) AS doc_count FROM matches
-        WHERE type IS NOT NULL GROUP BY query_id, type))
-WHERE _r <= 10""")
-def e09_type_facet(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir)
-    return S.search_batch(t, res, qry)["type_facet"]
-
-
-@register("e10_page_language_facet", O.with_(O.RESOURCES, O.queries(), O.index(), O.QTERMS,
-                                             O.match_scores(), O.MATCHES, O.COLLAPSED,
-                                             O.PAGE) + """
-SELECT query_id, plang AS key, count(*) AS doc_count FROM page_hits
-WHERE plang IS NOT NULL GROUP BY query_id, plang""")
-def e10_page_language_facet(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir)
-    return S.search_batch(t, res, qry)["language_facet"]
-
-
-@register("e11_total", O.with_(O.RESOURCES, O.queries(), O.index(), O.QTERMS,
-                               O.match_scores(), O.MATCHES) + """
-SELECT q.query_id, q.q, CAST(coalesce(t.total, 0) AS BIGINT) AS total
-FROM qry q LEFT JOIN (SELECT query_id, count(*) AS total FROM matches GROUP BY query_id) t
-  ON q.query_id = t.query_id""")
-def e11_total(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir)
-    return S.search_batch(t, res, qry)["totals"]
-
-
-@register("e12_format_hits", _hits_sql())
-def e12_format_hits(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir)
-    return S.search_batch(t, res, qry)["hits"]
-
-
-@register("e13_snapshot_search", O.with_(O.RESOURCES, O.queries(), O.index(), O.QTERMS,
-                                         O.match_scores(), O.MATCHES) + f"""
-SELECT query_id, rank, doc_id, rscore, url FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY rank) AS _u FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {O.ORDER}) AS rank FROM matches)
-  WHERE rank <= 100)
-WHERE _u = 1""")
-def e13_snapshot_search(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir)
-    return S.snapshot_search(t, res, qry).select("query_id", "rank", "doc_id", "rscore", "url")
-
-
-@register("e15_explain", O.with_(O.RESOURCES, O.queries(), O.index(), O.QTERMS,
-                                 O.term_scores(["content"])) + f"""
-SELECT query_id, doc_id, term, tf, dl, round(idf, 6) AS idf,
-       round(tf * {O.D(S.K1 + 1)} / (tf + {O.D(S.K1)} * ({O.D(1 - S.B)} + {O.D(S.B)} * dl / avgdl)), 6)
-         AS tf_norm,
-       round(score, 6) AS score
-FROM tscores""")
-def e15_explain(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir)
-    return S.explain_match(t, qry, "content")
-
-
-@register("e16_match_recent", O.with_(O.RESOURCES, O.queries(), O.index(), O.QTERMS,
-                                      O.match_scores(["content"])) + """
-SELECT query_id, rank, doc_id, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS ts FROM (
-  SELECT s.query_id, s.doc_id, r.timestamp,
-         row_number() OVER (PARTITION BY s.query_id ORDER BY r.timestamp DESC, s.doc_id) AS rank
-  FROM scores s JOIN res r ON s.doc_id = r.doc_id)
-WHERE rank <= 10""")
-def e16_match_recent(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir)
-    return S.match_recent(t, res, qry, "content", 10)
 
 
-@register("e17_match_all", O.with_(O.RESOURCES) + """
-SELECT doc_id, url, title FROM res ORDER BY doc_id LIMIT 10""")
-def e17_match_all(spark, sf_dir):
-    return S.match_all(A.read_doc_resources(spark, sf_dir), 10)
+def _load_all() -> None:
+    from . import q_pages, q_search, q_tables  # noqa: F401  (modules register on import)
 
 
-@register("e18_search_batch", _hits_sql(page=0, size=20))
-def e18_search_batch(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir, page=0, size=20)
-    return S.search_batch(t, res, qry)["hits"]
+_load_all()

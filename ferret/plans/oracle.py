@@ -29,7 +29,7 @@ def contains_any(expr: str, words) -> str:
 
 def ordered_matches(expr: str, words) -> str:
     items = ", ".join(f"CASE WHEN contains({expr}, {lit(w)}) THEN {lit(w)} END" for w in words)
-    return f"list_filter([{items}], x -> x IS NOT NULL)"
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
 
 
 def unescape(expr: str) -> str:
@@ -188,3 +188,194 @@ FROM page_hits h JOIN res r ON h.doc_id = r.doc_id"""
 
 def with_(*blocks: str) -> str:
     return "WITH " + ",".join(b.strip("\n") for b in blocks)
+
+
+# ------------------------------------------------------------------ pages (B)
+
+from ..functions import html as H  # noqa: E402
+from ..functions.text import NETLOC_PATTERN, UNROLL_LIMIT  # noqa: E402
+
+
+def first_tag_text(html: str, tag: str) -> str:
+    return f"nullif({unescape(f'regexp_extract({html}, {lit(H.first_text_of(tag))}, 1)')}, '')"
+
+
+def meta_content(html: str, name: str) -> str:
+    tag = f"regexp_extract({html}, {lit(H.meta_tag_pattern(name))}, 0)"
+    val = unescape(f"regexp_extract({tag}, {lit(H.CONTENT_ATTR)}, 1)")
+    return f"(CASE WHEN regexp_extract({tag}, {lit(H.CONTENT_ATTR)}, 0) <> '' THEN {val} END)"
+
+
+def body_text(html: str) -> str:
+    body = f"regexp_extract({html}, {lit(H.BODY_PATTERN)}, 1)"
+    pieces = f"list_filter(regexp_split_to_array({body}, {lit(H.TAG_RUN_PATTERN)}), lambda x: x <> '')"
+    return f"lower({unescape(f'array_to_string({pieces}, {lit(chr(32))})')})"
+
+
+def title(html: str) -> str:
+    return f"coalesce({first_tag_text(html, 'title')}, {first_tag_text(html, 'h1')})"
+
+
+def netloc(url: str) -> str:
+    return f"regexp_extract({url}, {lit(NETLOC_PATTERN)}, 1)"
+
+
+def hrefs(html: str) -> str:
+    return f"list_transform(regexp_extract_all({html}, {lit(H.HREF_PATTERN)}, 1), lambda x: {unescape('x')})"
+
+
+def pre_code_texts(html: str) -> str:
+    return (f"list_transform(regexp_extract_all({html}, {lit(H.PRE_CODE_PATTERN)}, 1), "
+            f"lambda x: {unescape('x')})")
+
+
+def contains_any_hof(expr: str, words) -> str:
+    if len(words) > UNROLL_LIMIT:
+        return f"len(list_filter({lst(words)}, lambda w: contains({expr}, w))) > 0"
+    return contains_any(expr, words)
+
+
+def ordered(expr: str, words) -> str:
+    if len(words) > UNROLL_LIMIT:
+        return f"list_filter({lst(words)}, lambda w: contains({expr}, w))"
+    return ordered_matches(expr, words)
+
+
+WIDE_PAGES = """
+wpages AS (
+  SELECT page_id,
+         url || CASE page_id % 5 WHEN 1 THEN '/tutorial' WHEN 2 THEN '/docs/reference'
+                 WHEN 3 THEN '/file.zip' WHEN 4 THEN '/checkout' ELSE '' END AS url,
+         html || CASE page_id % 4 WHEN 1 THEN '<pre><code>print(1)</code></pre>'
+                 WHEN 2 THEN '<meta name="keywords" content="python,code">'
+                 WHEN 3 THEN '<h2>Introduction</h2><a href="https://github.com/x">x</a>'
+                 ELSE '' END
+              || CASE WHEN page_id % 6 = 5
+                 THEN '<meta name="description" content="A guide to cobol">' ELSE '' END AS html
+  FROM pages
+)"""
+
+
+def resolve_url(base: str, href: str) -> str:
+    h = f"trim({href})"
+    scheme = f"regexp_extract({base}, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)"
+    origin = f"regexp_extract({base}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
+    no_frag = f"regexp_extract({base}, '^([^#]*)', 1)"
+    no_query = f"regexp_extract({base}, '^([^?#]*)', 1)"
+    path = f"regexp_extract({base}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    dir_ = f"regexp_extract({path}, '^(.*/)', 1)"
+    return f"""(CASE WHEN regexp_matches({h}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN {h}
+      WHEN starts_with({h}, '//') THEN {scheme} || ':' || {h}
+      WHEN starts_with({h}, '/') THEN {origin} || {h}
+      WHEN {h} = '' THEN {no_frag}
+      WHEN starts_with({h}, '#') THEN {no_frag} || {h}
+      WHEN starts_with({h}, '?') THEN {no_query} || {h}
+      ELSE {origin} || CASE WHEN {dir_} = '' THEN '/' ELSE {dir_} END || {h} END)"""
+
+
+def clean_text(expr: str) -> str:
+    return f"coalesce(regexp_replace({squeeze(expr)}, '<[^>]+>', '', 'g'), '')"
+
+
+# ------------------------------------------------------- classify (D) / predicates (C)
+
+def detect_languages_broad(title: str, desc: str, body: str, query: str | None) -> str:
+    words = [w.lower() for w in rules.LANGUAGES_BROAD]
+    head = f"lower(concat_ws(' ', {title}, {desc}))"
+    found, in_body = ordered(head, words), ordered(body, words)
+    langs = f"(CASE WHEN len({found}) > 0 THEN {found} ELSE {in_body} END)"
+    if not query:
+        return langs
+    q = query.lower()
+    if q in rules.LEGACY_FIRST_QUERIES:
+        langs = f"list_concat([{lit(q)}], list_filter({langs}, lambda x: x <> {lit(q)}))"
+    return f"(CASE WHEN list_contains({langs}, {lit(q)}) THEN {langs} ELSE list_append({langs}, {lit(q)}) END)"
+
+
+def detect_languages_narrow(title: str, desc: str) -> str:
+    return ordered(f"lower(concat_ws(' ', {title}, {desc}))", rules.LANGUAGES_NARROW)
+
+
+def _first_group(t: str) -> str:
+    whens = " ".join(f"WHEN {contains_any(t, kws)} THEN {lit(name)}"
+                     for name, kws in rules.LANGUAGE_GROUPS)
+    return f"(CASE {whens} END)"
+
+
+def detect_language(url: str, title: str, desc: str, tags: str, snippets: str) -> str:
+    tag_text = f"coalesce(array_to_string(string_split({tags}, ','), ' '), '')"
+    text = (f"lower(concat_ws(' ', coalesce({url}, ''), coalesce({title}, ''), "
+            f"coalesce({desc}, ''), {tag_text}))")
+    per = f"list_filter(list_transform(coalesce({snippets}, []), lambda s: {_first_group('lower(s)')}), lambda x: x IS NOT NULL)"
+    return f"coalesce({_first_group(text)}, {per}[1], 'unknown')"
+
+
+def resource_type(title: str, domain: str, url: str, broad: bool = True) -> str:
+    t = f"lower({title})"
+    parts = [f"WHEN contains({t}, 'tutorial') OR contains({t}, 'guide') THEN 'tutorial'",
+             f"WHEN contains({t}, 'video') OR contains({domain}, 'youtube') THEN 'video'",
+             f"WHEN contains({t}, 'documentation') OR contains({domain}, 'docs') THEN 'documentation'"]
+    if broad:
+        parts.append(f"WHEN contains({t}, 'reference') OR contains({t}, 'manual') THEN 'documentation'")
+    parts += [f"WHEN contains({url}, '/github.com/') THEN 'repository'",
+              f"WHEN {contains_any(url, ['docs', 'documentation', 'reference'])} THEN 'documentation'",
+              f"WHEN {contains_any(url, ['tutorial', 'guide', 'how-to'])} THEN 'tutorial'"]
+    return "(CASE " + " ".join(parts) + " ELSE 'article' END)"
+
+
+def quality_processor(content: str, snippets: str, desc: str, url: str) -> str:
+    ln = f"coalesce(length({content}), 0)"
+    dl = f"length({desc})"
+    return (f"least(CAST((CASE WHEN {ln} > 5000 THEN 3 WHEN {ln} > 1000 THEN 2 WHEN {ln} > 500 THEN 1 ELSE 0 END"
+            f" + least(coalesce(len({snippets}), 0), 3)"
+            f" + CASE WHEN {dl} > 100 THEN 2 WHEN {dl} > 50 THEN 1 ELSE 0 END"
+            f" + CASE WHEN {contains_any(f'coalesce({url}, {lit(chr(39)*0)})', rules.REPUTATION_SITES)} THEN 3 ELSE 0 END)"
+            f" AS DOUBLE) / {D(10.0)}, {D(1.0)})")
+
+
+def quality_broad(domain: str, snippets: str, content: str, query: str | None) -> str:
+    d = f"coalesce({domain}, '')"
+    n = f"coalesce(len({snippets}), 0)"
+    ln = f"coalesce(length({content}), 0)"
+    q = query.lower() if query else None
+    qdom = rules.QUERY_PRIORITY_DOMAINS.get(q, []) if q else []
+    return (f"least({D(1.0)}, {D(0.5)}"
+            f" + CASE WHEN {contains_any(d, rules.QUALITY_PRIORITY_DOMAINS)} THEN {D(0.2)} ELSE {D(0.0)} END"
+            f" + CASE WHEN {contains_any(d, qdom)} THEN {D(0.3)} ELSE {D(0.0)} END"
+            f" + CASE WHEN {n} > 0 THEN least({D(0.2)}, {n} * {D(0.05)}) ELSE {D(0.0)} END"
+            f" + CASE WHEN {ln} > 5000 THEN {D(0.15)} WHEN {ln} > 2000 THEN {D(0.1)} ELSE {D(0.0)} END)")
+
+
+def quality_narrow(snippets: str, desc: str, tags: str, url: str) -> str:
+    return (f"((CASE WHEN coalesce(len({snippets}), 0) > 0 THEN {D(1.0)} ELSE {D(0.0)} END"
+            f" + least({D(1.0)}, coalesce(length({desc}), 0) / {D(500.0)})"
+            f" + CASE WHEN coalesce({tags}, '') <> '' THEN {D(1.0)} ELSE {D(0.0)} END"
+            f" + CASE WHEN {contains_any(f'coalesce({url}, {lit(chr(39)*0)})', rules.AUTHORITY_URL_PARTS)}"
+            f" THEN {D(0.5)} ELSE {D(0.0)} END) / {D(4.0)})")
+
+
+def should_follow_broad(url: str, query: str | None) -> str:
+    lu = f"lower({url})"
+    exts = " OR ".join(f"ends_with({lu}, {lit(e)})" for e in rules.ARCHIVE_EXTENSIONS)
+    parts = [f"WHEN {url} IS NULL OR NOT (starts_with({url}, 'http://') OR starts_with({url}, 'https://')) THEN FALSE",
+             f"WHEN {exts} THEN FALSE"]
+    if query:
+        parts.append(f"WHEN contains({lu}, {lit(query.lower())}) THEN TRUE")
+    parts += [f"WHEN {contains_any_hof(netloc(url), rules.FOLLOW_PRIORITY_DOMAINS)} THEN TRUE",
+              f"WHEN {contains_any_hof(lu, rules.PROGRAMMING_PATHS)} THEN TRUE",
+              f"WHEN {contains_any(lu, rules.IRRELEVANT_PATTERNS)} THEN FALSE"]
+    return "(CASE " + " ".join(parts) + " ELSE TRUE END)"
+
+
+def should_follow_narrow(url: str, allowed) -> str:
+    u = f"coalesce({url}, '')"
+    pattern = "(?i)(" + "|".join(rules.RELEVANT_URL_PATTERNS) + ")"
+    return f"(regexp_matches({u}, {lit(pattern)}) AND {contains_any(netloc(u), allowed)})"
+
+
+def count_occ(text: str, term: str) -> str:
+    return f"CAST((length({text}) - length(replace({text}, {term}, ''))) / length({term}) AS BIGINT)"
+
+
+def query_words(q: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({q}), {lit(WS_RUN)}), lambda x: x <> '')"

@@ -16,6 +16,10 @@ def build_session(master: str | None = None, app: str = "ferret",
     here only fill what is unset. The UI stays off (no server is opened).
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        os.environ["PYTHONPATH"] = root + (os.pathsep + paths if paths else "")
     builder = SparkSession.builder.appName(app)
     if master or not os.environ.get("SPARK_MASTER"):
         builder = builder.master(master or f"local[{cpus}]")
@@ -56,3 +60,28 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A location for an intermediate table below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ferret`` importable in Python workers (the ``--py-files`` mechanism).
+
+    The package is zipped once per SparkContext into the shared checkpoint folder
+    and added with ``addPyFile``, so executors on any node can import it.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(ensure_checkpoint_dir(spark), "pyfiles")
+    if base.startswith("file:"):
+        base = base[5:]
+    os.makedirs(base, exist_ok=True)
+    archive = shutil.make_archive(os.path.join(base, f"ferret-{os.getpid()}"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="ferret")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
