@@ -25,8 +25,9 @@ def read_pages(spark: SparkSession, path: str, stream: bool = False) -> DataFram
     return spark.read.schema(PAGE_SCHEMA).parquet(path)
 
 
-def conform_resources(df: DataFrame) -> DataFrame:
-    """A2: fill missing resource columns with typed NULLs and fix column types/order."""
+def conform_resources(df: DataFrame, keep=()) -> DataFrame:
+    """A2: fill missing resource columns with typed NULLs and fix column types/order.
+    Columns named in ``keep`` are carried along after the resource columns."""
     present = set(df.columns)
     cols = []
     for f in RESOURCE_SCHEMA.fields:
@@ -34,7 +35,7 @@ def conform_resources(df: DataFrame) -> DataFrame:
             cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    return df.select(*cols, *keep)
 
 
 def read_resources(spark: SparkSession, path: str) -> DataFrame:
