@@ -22,3 +22,9 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
 
 def rounded(c, digits: int = 6) -> Column:
     return F.round(c if isinstance(c, Column) else F.col(c), digits)
+
+
+def broadcast_if(df: DataFrame, row_bound: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` when ``row_bound`` (a proven upper bound on its rows, derived from
+    a small input such as the query table) is within ``max_rows``; no extra job runs."""
+    return F.broadcast(df) if row_bound <= max_rows else df

@@ -19,12 +19,29 @@ from pyspark.sql.window import Window as W
 
 from .. import rules
 from ..functions.text import TOKEN_PATTERN, analyze
-from .common import rounded, sized_broadcast
+from .common import broadcast_if, rounded
 
 K1 = 1.2
 B = 0.75
 
 
+@dataclass
+class QueryInfo:
+    """Bounds proven from the (small) query table, used to decide broadcasts without
+    counting any derived DataFrame."""
+    n_queries: int
+    n_terms: int
+    page_end: int
+
+
+def query_info(queries: DataFrame) -> QueryInfo:
+    valid = (F.col("page") >= 0) & (F.col("size") >= 1) & (F.col("size") <= rules.MAX_PAGE_SIZE)
+    r = queries.agg(F.count(F.lit(1)).alias("n"),
+                    F.coalesce(F.sum(F.size(analyze("q"))), F.lit(0)).alias("t"),
+                    F.max(F.when(valid, (F.col("page") + 1) * F.col("size"))).alias("e")).first()
+    return QueryInfo(int(r["n"] or 0), int(r["t"] or 0), int(r["e"] or 0))
+
+
 @dataclass
 class SearchTables:
     postings: DataFrame
@@ -92,21 +109,26 @@ def idf(df_col: Column, n_col: Column) -> Column:
     return F.log(F.lit(1.0) + (n_col - df_col + F.lit(0.5)) / (df_col + F.lit(0.5)))
 
 
-def term_weights(tables: SearchTables, qterms: DataFrame, fields=None) -> DataFrame:
+def term_weights(tables: SearchTables, qterms: DataFrame, info: QueryInfo, fields=None) -> DataFrame:
     """(query_id, field, term, qtf, idf, avgdl) for the query terms present in the index."""
     fields = fields or rules.SEARCH_FIELDS
-    qt = sized_broadcast(qterms)
+    qt = broadcast_if(qterms, info.n_terms)
     ts = tables.term_stats.where(F.col("field").isin(fields)).join(qt, "term")
     return (ts.join(F.broadcast(tables.field_stats), "field")
             .select("query_id", "field", "term", "qtf",
                     idf(F.col("df"), F.col("n_docs")).alias("idf"), "avgdl"))
 
 
-def term_scores(tables: SearchTables, queries: DataFrame, fields=None) -> DataFrame:
-    """E3 parts: (query_id, doc_id, field, term, tf, dl, idf, avgdl, score) per matching posting."""
+def term_scores(tables: SearchTables, queries: DataFrame, fields=None,
+                info: QueryInfo | None = None) -> DataFrame:
+    """E3 parts: (query_id, doc_id, field, term, tf, dl, idf, avgdl, score) per matching posting.
+
+    The weights side has at most (query terms x fields) rows, so it is broadcast and the
+    postings are filtered where they are scanned."""
     fields = fields or rules.SEARCH_FIELDS
+    info = info or query_info(queries)
     qterms = query_terms(queries)
-    weights = sized_broadcast(term_weights(tables, qterms, fields))
+    weights = broadcast_if(term_weights(tables, qterms, info, fields), info.n_terms * len(fields))
     p = tables.postings.where(F.col("field").isin(fields)).join(weights, ["field", "term"])
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
     tf_part = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)
@@ -114,7 +136,8 @@ def term_scores(tables: SearchTables, queries: DataFrame, fields=None) -> DataFr
                     (F.col("qtf") * F.col("idf") * tf_part).alias("score"))
 
 
-def match_scores(tables: SearchTables, queries: DataFrame, fields=None, boosts=None) -> DataFrame:
+def match_scores(tables: SearchTables, queries: DataFrame, fields=None, boosts=None,
+                 info: QueryInfo | None = None) -> DataFrame:
     """(query_id, doc_id, score), best boosted field per document (multi_match).
 
     One aggregation with a conditional sum per field: a single shuffle keyed by
@@ -122,7 +145,7 @@ def match_scores(tables: SearchTables, queries: DataFrame, fields=None, boosts=N
     """
     fields = fields or rules.SEARCH_FIELDS
     boosts = boosts or rules.FIELD_BOOSTS
-    ts = term_scores(tables, queries, fields)
+    ts = term_scores(tables, queries, fields, info)
     sums = [F.sum(F.when(F.col("field") == f, F.col("score"))).alias(f"s_{f}") for f in fields]
     agg = ts.groupBy("query_id", "doc_id").agg(*sums)
     best = F.greatest(*[F.lit(boosts.get(f, 1.0)) * F.coalesce(F.col(f"s_{f}"), F.lit(0.0))
@@ -142,13 +165,15 @@ def primary_language() -> Column:
     return F.coalesce(F.col("language"), F.try_element_at(F.col("languages"), F.lit(1)))
 
 
-def filtered_matches(scores: DataFrame, resources: DataFrame, queries: DataFrame) -> DataFrame:
+def filtered_matches(scores: DataFrame, resources: DataFrame, queries: DataFrame,
+                     info: QueryInfo | None = None) -> DataFrame:
     """E5 (+ C7, C8): restrict matches by the query's type / language filters.
 
     Scores were computed over the whole index first, so filters never change them.
     """
-    q = sized_broadcast(queries.select("query_id", F.col("type").alias("f_type"),
-                                       F.col("language").alias("f_lang")))
+    info = info or query_info(queries)
+    q = broadcast_if(queries.select("query_id", F.col("type").alias("f_type"),
+                                    F.col("language").alias("f_lang")), info.n_queries)
     m = scores.join(doc_meta(resources), "doc_id").join(q, "query_id")
     lang_ok = (F.coalesce(F.col("f_lang"), F.lit("")) == "") | \
         F.coalesce((F.col("language") == F.col("f_lang")) |
@@ -173,7 +198,7 @@ def result_order() -> list[Column]:
     return [F.col("rscore").desc(), F.col("url").asc_nulls_first(), F.col("doc_id")]
 
 
-def paged(hits: DataFrame, queries: DataFrame) -> DataFrame:
+def paged(hits: DataFrame, queries: DataFrame, info: QueryInfo | None = None) -> DataFrame:
     """The requested page per query; invalid page/size requests return nothing.
 
     The row_number bound is a constant (largest requested end of page), so Spark
@@ -183,10 +208,10 @@ def paged(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """
     q = queries.select("query_id", "page", "size").where(
         (F.col("page") >= 0) & (F.col("size") >= 1) & (F.col("size") <= rules.MAX_PAGE_SIZE))
-    bound = q.agg(F.max((F.col("page") + 1) * F.col("size"))).first()[0] or 0
+    info = info or query_info(queries)
     w = W.partitionBy("query_id").orderBy(*result_order())
-    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= bound)
-    return (ranked.join(sized_broadcast(q), "query_id")
+    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= info.page_end)
+    return (ranked.join(broadcast_if(q, info.n_queries), "query_id")
             .where((F.col("rank") > F.col("page") * F.col("size")) &
                    (F.col("rank") <= (F.col("page") + 1) * F.col("size")))
             .drop("page", "size"))
@@ -214,9 +239,11 @@ def page_language_facet(page_hits: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("doc_count")))
 
 
-def format_hits(page_hits: DataFrame, resources: DataFrame) -> DataFrame:
-    """Hit rows with the stored fields; quality defaults to 0.7."""
-    hits = sized_broadcast(page_hits.select("query_id", "rank", "doc_id", "score"))
+def format_hits(page_hits: DataFrame, resources: DataFrame, info: QueryInfo) -> DataFrame:
+    """Hit rows with the stored fields; quality defaults to 0.7 (D10). The page has
+    at most n_queries x 50 rows, so it is broadcast against the resource scan."""
+    hits = broadcast_if(page_hits.select("query_id", "rank", "doc_id", "score"),
+                        info.n_queries * rules.MAX_PAGE_SIZE)
     r = resources.select("doc_id", "url", "title", "description", "type",
                          primary_language().alias("language"), "quality_score")
     return (r.join(hits, "doc_id")
@@ -226,30 +253,41 @@ def format_hits(page_hits: DataFrame, resources: DataFrame) -> DataFrame:
                     F.coalesce("quality_score", F.lit(rules.DEFAULT_QUALITY)).alias("quality_score")))
 
 
-def highlight_field(text: Column, terms: Column, pre: str = "<em>", post: str = "</em>") -> Column:
-    """Wrap every word run whose lower case is a query term; NULL when none matched."""
-    runs = F.regexp_extract_all(text, F.lit(f"{TOKEN_PATTERN}|[^\\p{{L}}\\p{{N}}_]+"), 0)
-    marked = F.transform(runs, lambda r: F.when(F.array_contains(terms, F.lower(r)),
-                                                F.concat(F.lit(pre), r, F.lit(post))).otherwise(r))
-    hit = F.exists(runs, lambda r: F.array_contains(terms, F.lower(r)))
-    return F.when(hit, F.array_join(marked, ""))
+WORD = r"\p{L}\p{N}_"
+
+
+def term_pattern(terms: Column) -> Column:
+    """A Java regex matching a whole word run equal (ignoring case) to one of ``terms``.
+    Terms are word-character runs, so they need no escaping."""
+    return F.concat(F.lit(f"(?iu)(?<![{WORD}])(?:"), F.array_join(terms, "|"),
+                    F.lit(f")(?![{WORD}])"))
+
+
+def highlight_field(text: Column, pattern: Column, pre: str = "<em>", post: str = "</em>") -> Column:
+    """Wrap every word run that is a query term; NULL when no term occurs. One regex
+    pass per field inside the JVM (no per-run lambda)."""
+    return F.when(F.regexp_like(text, pattern),
+                  F.regexp_replace(text, pattern, F.lit(f"{pre}$0{post}")))
 
 
-def highlights(page_hits: DataFrame, resources: DataFrame, queries: DataFrame) -> DataFrame:
+def highlights(page_hits: DataFrame, resources: DataFrame, queries: DataFrame,
+               info: QueryInfo | None = None) -> DataFrame:
     """E8 on the final page only: (query_id, rank, id, title_hl, description_hl, content_hl,
     code_snippets_hl)."""
     terms = query_terms(queries).groupBy("query_id").agg(
-        F.sort_array(F.collect_list("term")).alias("terms"))
-    hits = sized_broadcast(page_hits.select("query_id", "rank", "doc_id"))
+        term_pattern(F.sort_array(F.collect_list("term"))).alias("pat"))
+    info = info or query_info(queries)
+    hits = broadcast_if(page_hits.select("query_id", "rank", "doc_id"),
+                        info.n_queries * rules.MAX_PAGE_SIZE)
     r = resources.select("doc_id", "title", "description", "content", "code_snippets")
-    j = r.join(hits, "doc_id").join(sized_broadcast(terms), "query_id")
+    j = r.join(hits, "doc_id").join(broadcast_if(terms, info.n_queries), "query_id")
     code = F.array_join(F.col("code_snippets"), " ")
+    pat = F.col("pat")
     return j.select("query_id", "rank", F.col("doc_id").alias("id"),
-                    highlight_field(F.col("title"), F.col("terms")).alias("title_hl"),
-                    highlight_field(F.col("description"), F.col("terms")).alias("description_hl"),
-                    highlight_field(F.col("content"), F.col("terms")).alias("content_hl"),
-                    highlight_field(code, F.col("terms"), "<code>", "</code>")
-                    .alias("code_snippets_hl"))
+                    highlight_field(F.col("title"), pat).alias("title_hl"),
+                    highlight_field(F.col("description"), pat).alias("description_hl"),
+                    highlight_field(F.col("content"), pat).alias("content_hl"),
+                    highlight_field(code, pat, "<code>", "</code>").alias("code_snippets_hl"))
 
 
 def search_batch(tables: SearchTables, resources: DataFrame, queries: DataFrame) -> dict:
@@ -257,11 +295,13 @@ def search_batch(tables: SearchTables, resources: DataFrame, queries: DataFrame)
 
     Returns the hits page, totals, type facet and page language facet DataFrames.
     """
-    scores = match_scores(tables, queries)
-    m = filtered_matches(scores, resources, queries)
-    page = paged(collapse_by_url(m), queries)
+    info = query_info(queries)
+    scores = match_scores(tables, queries, info=info)
+    m = filtered_matches(scores, resources, queries, info)
+    page = paged(collapse_by_url(m), queries, info)
     return {
-        "hits": format_hits(page, resources),
+        "info": info,
+        "hits": format_hits(page, resources, info),
         "totals": totals(m, queries),
         "type_facet": type_facet(m),
         "language_facet": page_language_facet(page),
@@ -272,7 +312,8 @@ def search_batch(tables: SearchTables, resources: DataFrame, queries: DataFrame)
 def snapshot_search(tables: SearchTables, resources: DataFrame, queries: DataFrame,
                     limit: int = rules.SNAPSHOT_LIMIT) -> DataFrame:
     """Unpaged, uncollapsed top ``limit`` per query, then first occurrence per URL."""
-    m = filtered_matches(match_scores(tables, queries), resources, queries)
+    info = query_info(queries)
+    m = filtered_matches(match_scores(tables, queries, info=info), resources, queries, info)
     w = W.partitionBy("query_id").orderBy(*result_order())
     top = m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return first_seen_url(top)

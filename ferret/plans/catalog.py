@@ -25,7 +25,7 @@ def register(name: str, sql: str | None):
 
 
 def _load_all() -> None:
-    from . import q_pages, q_search, q_tables  # noqa: F401  (modules register on import)
+    from . import q_pages, q_search, q_stream, q_tables  # noqa: F401  (modules register on import)
 
 
 _load_all()

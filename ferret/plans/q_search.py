@@ -174,3 +174,38 @@ def e17_match_all(spark, sf_dir):
 def e18_search_batch(spark, sf_dir):
     res, qry, t = _search_inputs(spark, sf_dir, page=0, size=20)
     return S.search_batch(t, res, qry)["hits"]
+
+
+def _hl_sql(text: str, pre: str = "<em>", post: str = "</em>") -> str:
+    runs = f"regexp_extract_all({text}, {O.lit(S.TOKEN_PATTERN + '|[^\\p{L}\\p{N}_]+')}, 0)"
+    hit = f"list_contains(t.terms, lower(r))"
+    marked = f"list_transform({runs}, lambda r: CASE WHEN {hit} THEN {O.lit(pre)} || r || {O.lit(post)} ELSE r END)"
+    return (f"CASE WHEN len(list_filter({runs}, lambda r: {hit})) > 0 "
+            f"THEN array_to_string({marked}, '') END")
+
+
+@register("e08_highlight", O.with_(O.RESOURCES, O.queries(), O.index(), O.QTERMS, O.match_scores(),
+                                   O.MATCHES, O.COLLAPSED, O.PAGE, """
+terms AS (SELECT query_id, list_sort(list(term)) AS terms FROM qterms GROUP BY query_id)""") + f"""
+SELECT h.query_id, h.rank, h.doc_id AS id,
+       {_hl_sql('r.title')} AS title_hl, {_hl_sql('r.description')} AS description_hl,
+       {_hl_sql('r.content')} AS content_hl,
+       {_hl_sql("array_to_string(r.code_snippets, ' ')", '<code>', '</code>')} AS code_snippets_hl
+FROM page_hits h JOIN res r ON h.doc_id = r.doc_id JOIN terms t ON t.query_id = h.query_id""")
+def e08_highlight(spark, sf_dir):
+    res, qry, t = _search_inputs(spark, sf_dir)
+    page = S.search_batch(t, res, qry)["page"]
+    return S.highlights(page, res, qry)
+
+
+@register("e14_low_result_queries", O.with_(O.RESOURCES, O.queries(), O.index(), O.QTERMS,
+                                            O.match_scores(), O.MATCHES) + f"""
+SELECT q.query_id, q.q, CAST(coalesce(t.total, 0) AS BIGINT) AS total, md5('crawl:' || q.q) AS job_id,
+       {O.lit(S.rules.LOW_RESULT_MESSAGE)} AS message,
+       CASE WHEN coalesce(t.total, 0) = 0 THEN {O.lit(S.rules.ZERO_RESULT_INSTRUCTIONS)} END AS instructions
+FROM qry q LEFT JOIN (SELECT query_id, count(*) AS total FROM matches GROUP BY query_id) t
+  ON q.query_id = t.query_id
+WHERE q.page = 0 AND coalesce(t.total, 0) < {S.rules.LOW_RESULT_THRESHOLD}""")
+def e14_low_result_queries(spark, sf_dir):
+    res, qry, t = _search_inputs(spark, sf_dir)
+    return S.low_result_queries(S.search_batch(t, res, qry)["totals"], qry)

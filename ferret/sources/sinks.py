@@ -34,8 +34,8 @@ def upsert_resources(existing: DataFrame, incoming: DataFrame, seq_col: str = "l
     """A3: merge a batch of (possibly partial) items into the resource table.
 
     Columns present in ``incoming`` overwrite the stored value, NULLs included;
-    columns absent from it keep the stored value. Returns the full new table with an
-    ``is_new`` flag (key absent before).
+    columns absent from it keep the stored value. Returns the full new table with
+    ``is_new`` (key absent before) and ``touched`` (row written by this batch).
     """
     inc = incoming.withColumn("resource_id", F.md5("url"))
     if seq_col not in inc.columns:
@@ -52,7 +52,8 @@ def upsert_resources(existing: DataFrame, incoming: DataFrame, seq_col: str = "l
         return F.col(f"e.{c}")
 
     cols = [pick(c).alias(c) for c in RESOURCE_COLUMNS] + \
-        [F.col("e.resource_id").isNull().alias("is_new")]
+        [F.col("e.resource_id").isNull().alias("is_new"),
+         F.col("i.resource_id").isNotNull().alias("touched")]
     i, e = inc.alias("i"), ex.alias("e")
     if _is_small(inc):
         b = F.broadcast(i)
@@ -62,7 +63,8 @@ def upsert_resources(existing: DataFrame, incoming: DataFrame, seq_col: str = "l
         fresh = inc.join(F.broadcast(hit_keys), "resource_id", "left_anti")
         types = {f.name: f.dataType for f in RESOURCE_SCHEMA.fields}
         fresh_cols = [(F.col(c) if c in present else F.lit(None)).cast(types[c]).alias(c)
-                      for c in RESOURCE_COLUMNS] + [F.lit(True).alias("is_new")]
+                      for c in RESOURCE_COLUMNS] + [F.lit(True).alias("is_new"),
+                                                    F.lit(True).alias("touched")]
         return updated.select(*cols).unionByName(fresh.select(*fresh_cols))
     j = e.join(i, F.col("e.resource_id") == F.col("i.resource_id"), "full_outer")
     return j.select(*cols)
@@ -89,12 +91,12 @@ def dedupe_resources(resources: DataFrame, seq_col: str = "doc_id") -> DataFrame
 
 
 def change_feed(upserted: DataFrame, query: str | None = None, at: str | None = None) -> DataFrame:
-    """Rows to publish: new rows, or every merged row when the job has a query.
+    """Rows to publish: new rows, or every row of the batch when the job has a query.
 
     Payload (id, url, title, description, type, domain, timestamp, language) where
     language is the first of ``languages``.
     """
-    rows = upserted if query else upserted.where("is_new")
+    rows = upserted.where("touched") if query else upserted.where("is_new")
     ts = F.to_timestamp(F.lit(at)) if at else F.current_timestamp()
     return rows.select(
         F.col("resource_id").alias("id"), "url", "title", "description", "type", "domain",
