@@ -16,6 +16,7 @@ from ..functions import html as H
 from ..functions.text import clean_text, col_, html_unescape, netloc, squeeze_ws
 from ..functions.walk import page_walk
 from . import classify as D
+from .common import spread
 from . import predicates as C
 
 
@@ -102,7 +103,7 @@ def resolve_url(base, href) -> Column:
 
 def analyse_pages(pages: DataFrame) -> DataFrame:
     """The walk plus native fields, one row per page, in one stage (shared by both rule sets)."""
-    walked = page_walk(pages, keep=("url", "html"))
+    walked = page_walk(spread(pages.select("page_id", "url", "html")), keep=("url", "html"))
     return walked.select(
         "*",
         title("html").alias("title_raw"),

@@ -128,18 +128,17 @@ def reachable(seeds: DataFrame, links: DataFrame, max_depth: int = rules.DEPTH_L
     """
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
-    edges = links.select("src_url", "dst_url").distinct()
+    edges = links.select("src_url", "dst_url").distinct().checkpoint()
     visited = seeds.select(F.col("url"), F.lit(0).alias("depth")).distinct().checkpoint()
     frontier = visited
     for depth in range(1, max_depth + 1):
         nxt = (frontier.join(edges, frontier.url == edges.src_url)
                .select(F.col("dst_url").alias("url")).distinct()
                .join(visited.select("url"), "url", "left_anti")
-               .withColumn("depth", F.lit(depth)))
-        nxt = nxt.checkpoint()
+               .withColumn("depth", F.lit(depth))).checkpoint()
         if nxt.limit(1).count() == 0:
             break
-        visited = visited.unionByName(nxt).checkpoint()
+        visited = visited.unionByName(nxt)       # a union of checkpointed pieces
         frontier = nxt
     if max_pages:
         return visited.orderBy("depth", "url").limit(max_pages)   # distributed top-k

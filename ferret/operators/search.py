@@ -19,7 +19,7 @@ from pyspark.sql.window import Window as W
 
 from .. import rules
 from ..functions.text import TOKEN_PATTERN, analyze
-from .common import broadcast_if, rounded
+from .common import broadcast_if, rounded, spread
 
 K1 = 1.2
 B = 0.75
@@ -65,7 +65,7 @@ def field_texts(resources: DataFrame, fields=None) -> DataFrame:
 
 def tokenized_fields(resources: DataFrame, fields=None) -> DataFrame:
     """(doc_id, field, dl, tokens) for field values with at least one token."""
-    t = field_texts(resources, fields).select("doc_id", "field", analyze("text").alias("tokens"))
+    t = field_texts(spread(resources), fields).select("doc_id", "field", analyze("text").alias("tokens"))
     return t.select("doc_id", "field", F.size("tokens").alias("dl"), "tokens").where("dl > 0")
 
 
@@ -80,17 +80,26 @@ def build_search_tables(resources: DataFrame, fields=None) -> SearchTables:
     return SearchTables(postings, term_stats, field_stats)
 
 
-def write_search_tables(tables: SearchTables, path: str, n_files: int | None = None) -> None:
-    """Persist the index. Postings are range-partitioned and sorted by (field, term) so
-    parquet min/max statistics let a term lookup skip files and row groups."""
+def write_search_tables(tables: SearchTables, path: str, n_files: int | None = None) -> SearchTables:
+    """Persist the index and return it re-read from storage.
+
+    Postings are written once (range-partitioned and sorted by (field, term) so parquet
+    min/max statistics let a term lookup skip files and row groups); the term and field
+    statistics are then derived from the written postings, so documents are tokenized
+    exactly once."""
     p = tables.postings
     if n_files:
         p = p.repartitionByRange(n_files, "field", "term")
     (p.sortWithinPartitions("field", "term", "doc_id")
      .write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings"))
-    (tables.term_stats.write.mode("overwrite").partitionBy("field")
-     .parquet(f"{path}/term_stats"))
-    tables.field_stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
+    spark = tables.postings.sparkSession
+    postings = spark.read.parquet(f"{path}/postings")
+    (postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+     .write.mode("overwrite").partitionBy("field").parquet(f"{path}/term_stats"))
+    lengths = postings.groupBy("field", "doc_id").agg(F.max("dl").alias("dl"))
+    (lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+     .coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats"))
+    return read_search_tables(spark, path)
 
 
 def read_search_tables(spark, path: str) -> SearchTables:
