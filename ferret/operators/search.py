@@ -23,6 +23,13 @@ from .common import broadcast_if, rounded, spread
 
 K1 = 1.2
 B = 0.75
+# Postings are stored partitioned by (field, term bucket); a query batch then reads
+# only the buckets of its terms (dynamic partition pruning on the broadcast side).
+TERM_BUCKETS = 16
+
+
+def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 @dataclass
@@ -73,25 +80,26 @@ def build_search_tables(resources: DataFrame, fields=None) -> SearchTables:
     """Postings with term frequency and field length, plus per-term and per-field stats."""
     tok = tokenized_fields(resources, fields)
     postings = (tok.select("field", "doc_id", "dl", F.explode("tokens").alias("term"))
-                .groupBy("field", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
+                .groupBy("field", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+                .withColumn("tb", term_bucket(F.col("term"))))
     term_stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     field_stats = tok.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
                                            F.avg("dl").alias("avgdl"))
     return SearchTables(postings, term_stats, field_stats)
 
 
-def write_search_tables(tables: SearchTables, path: str, n_files: int | None = None) -> SearchTables:
+def write_search_tables(tables: SearchTables, path: str, salt_buckets: int = 1) -> SearchTables:
     """Persist the index and return it re-read from storage.
 
-    Postings are written once (range-partitioned and sorted by (field, term) so parquet
-    min/max statistics let a term lookup skip files and row groups); the term and field
-    statistics are then derived from the written postings, so documents are tokenized
-    exactly once."""
-    p = tables.postings
-    if n_files:
-        p = p.repartitionByRange(n_files, "field", "term")
-    (p.sortWithinPartitions("field", "term", "doc_id")
-     .write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings"))
+    Postings are written partitioned by (field, tb) where tb is the term bucket, and
+    sorted by term inside each file (parquet min/max statistics then skip row groups).
+    Rows are routed to writers by (field, tb, salt) with the salt taken from doc_id, so a
+    hot term is spread over ``salt_buckets`` files instead of one task. Term and field
+    statistics are derived from the written postings: documents are tokenized once."""
+    p = tables.postings.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salt_buckets)))
+    (p.repartition("field", "tb", "_salt").drop("_salt")
+     .sortWithinPartitions("field", "tb", "term", "doc_id")
+     .write.mode("overwrite").partitionBy("field", "tb").parquet(f"{path}/postings"))
     spark = tables.postings.sparkSession
     postings = spark.read.parquet(f"{path}/postings")
     (postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -124,7 +132,7 @@ def term_weights(tables: SearchTables, qterms: DataFrame, info: QueryInfo, field
     qt = broadcast_if(qterms, info.n_terms)
     ts = tables.term_stats.where(F.col("field").isin(fields)).join(qt, "term")
     return (ts.join(F.broadcast(tables.field_stats), "field")
-            .select("query_id", "field", "term", "qtf",
+            .select("query_id", "field", "term", term_bucket(F.col("term")).alias("tb"), "qtf",
                     idf(F.col("df"), F.col("n_docs")).alias("idf"), "avgdl"))
 
 
@@ -138,7 +146,7 @@ def term_scores(tables: SearchTables, queries: DataFrame, fields=None,
     info = info or query_info(queries)
     qterms = query_terms(queries)
     weights = broadcast_if(term_weights(tables, qterms, info, fields), info.n_terms * len(fields))
-    p = tables.postings.where(F.col("field").isin(fields)).join(weights, ["field", "term"])
+    p = tables.postings.where(F.col("field").isin(fields)).join(weights, ["field", "tb", "term"])
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
     tf_part = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)
     return p.select("query_id", "doc_id", "field", "term", "tf", "dl", "idf", "avgdl",
