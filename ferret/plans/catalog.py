@@ -15,9 +15,24 @@ Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
 
 
+_NARROW_INTS = {"int", "smallint", "tinyint"}
+
+
+def present(df: DataFrame) -> DataFrame:
+    """Result presentation shared by all driver queries: integer columns as 64-bit."""
+    if not any(t in _NARROW_INTS for _, t in df.dtypes):
+        return df
+    return df.select(*[F.col(c).cast("bigint").alias(c) if t in _NARROW_INTS else F.col(c)
+                       for c, t in df.dtypes])
+
+
 def register(name: str, sql: str | None):
     def deco(fn: Builder) -> Builder:
-        REGISTRY[name] = (fn, sql)
+        def built(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return present(fn(spark, sf_dir))
+        built.__name__ = fn.__name__
+        built.__doc__ = fn.__doc__
+        REGISTRY[name] = (built, sql)
         return fn
     return deco
 

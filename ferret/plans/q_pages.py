@@ -281,7 +281,7 @@ STANDING = "The of"
 @register("c10_all_terms", O.with_(O.RESOURCES) + f"""
 SELECT doc_id, score FROM (
   SELECT doc_id, h,
-         list_sum(list_transform({O.query_words(O.lit(STANDING))}, lambda t: {O.count_occ('h', 't')})) AS score
+         CAST(list_sum(list_transform({O.query_words(O.lit(STANDING))}, lambda t: {O.count_occ('h', 't')})) AS BIGINT) AS score
   FROM (SELECT doc_id, lower(concat_ws(' ', title, description)) AS h FROM res))
 WHERE len(list_filter({O.query_words(O.lit(STANDING))}, lambda t: NOT contains(h, t))) = 0""")
 def c10_all_terms(spark, sf_dir):

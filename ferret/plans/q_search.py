@@ -30,7 +30,7 @@ def e01_analyze(spark, sf_dir):
 
 @register("e02_term_stats", O.with_(O.RESOURCES, O.index()) + """
 SELECT field, term, df, sum_tf FROM term_stats
-JOIN (SELECT field, term, sum(tf) AS sum_tf FROM postings GROUP BY field, term) USING (field, term)""")
+JOIN (SELECT field, term, CAST(sum(tf) AS BIGINT) AS sum_tf FROM postings GROUP BY field, term) USING (field, term)""")
 def e02_term_stats(spark, sf_dir):
     t = S.build_search_tables(A.read_doc_resources(spark, sf_dir))
     cf = t.postings.groupBy("field", "term").agg(F.sum("tf").alias("sum_tf"))

@@ -237,7 +237,7 @@ def f05_exists(spark, sf_dir):
 SELECT (SELECT count(DISTINCT url_hash) FROM visited) AS visited,
        (SELECT count(*) FROM pending) AS pending,
        (SELECT count(DISTINCT url_hash) FROM seen) AS seen,
-       {len(WORKERS)} AS workers""")
+       CAST({len(WORKERS)} AS BIGINT) AS workers""")
 def f06_frontier_stats(spark, sf_dir):
     pending, seen, visited = frontier(spark, sf_dir)
     return R.frontier_stats(pending, seen, visited, len(WORKERS))
@@ -383,7 +383,7 @@ r(url, depth) AS (
   UNION
   SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.url WHERE r.depth < {rules.DEPTH_LIMIT}
 )
-SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY url
+SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY url
 ORDER BY depth, url LIMIT {rules.MAX_PAGES}""")
 def g09_reachable(spark, sf_dir):
     links = A.lineitem_links(read_table(spark, sf_dir, "lineitem"), LINK_NODES)

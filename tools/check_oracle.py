@@ -30,6 +30,20 @@ def norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "timestamp": "TIMESTAMP"}
+
+
+def type_diffs(sdtypes, rel):
+    duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    out = []
+    for c, t in sdtypes:
+        d = duck.get(c)
+        if d is not None and SPARK_TO_DUCK.get(t, t) != d:
+            out.append(f"{c}:{t}/{d}")
+    return out
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(norm(r[i]) for i in order) for r in rows]
@@ -70,8 +84,9 @@ def main():
             continue
         ok_cols = sorted(scols) == sorted(dcols)
         a, b = rows_of(scols, srows), rows_of(dcols, drows)
+        tdiff = type_diffs(df.dtypes, rel)
         if ok_cols and a == b:
-            print(f"OK   {name}: {len(srows)} rows ({ts:.1f}s)")
+            print(f"OK   {name}: {len(srows)} rows ({ts:.1f}s)" + (f" TYPES {tdiff}" if tdiff else ""))
         else:
             bad += 1
             print(f"DIFF {name}: cols {ok_cols} spark={scols} duck={dcols} rows {len(a)} vs {len(b)}")
