@@ -269,10 +269,10 @@ FROM (SELECT job_id, count(*) FILTER (WHERE is_resource) AS resources_found FROM
 FULL OUTER JOIN (SELECT job_id, count(DISTINCT link) AS urls_discovered FROM jl GROUP BY job_id) d
   ON r.job_id = d.job_id""")
 def f09_job_counts(spark, sf_dir):
-    p = wide_pages(spark, sf_dir).withColumn("job_id", F.md5(F.concat(F.lit("crawl:"), X.domain("url"))))
-    jl = X.links(p.select("page_id", "url", "html"), resolve=True).join(
-        p.select("page_id", "job_id"), "page_id").select("job_id", "link")
-    jp = p.select("job_id", C.url_has_valuable_word("url").alias("is_resource"))
+    p = wide_pages(spark, sf_dir)
+    job = lambda url: F.md5(F.concat(F.lit("crawl:"), X.domain(url)))
+    jl = X.links(p, resolve=True).select(job("src_url").alias("job_id"), "link")
+    jp = p.select(job("url").alias("job_id"), C.url_has_valuable_word("url").alias("is_resource"))
     return R.job_counts(jl, jp)
 
 

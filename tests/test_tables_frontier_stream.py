@@ -128,3 +128,20 @@ def test_fan_out_channels(spark):
     feed = spark.createDataFrame([("a", "q1"), ("b", None)], "id string, query string")
     got = sorted((r.channel, r.id) for r in L.fan_out(feed).collect())
     assert got == [("search:results:all", "a"), ("search:results:all", "b"), ("search:results:q1", "a")]
+
+
+def test_percolate_stream_equals_batch(spark, tmp_path):
+    from ferret.sources.adapters import documents_as_resources, benchmark_queries
+    from ferret.sources.tables import read_table, table_path
+    docs = read_table(spark, SF001, "documents")
+    q = benchmark_queries(read_table(spark, SF001, "benchmark"), n_words=2)
+    def recs(df):
+        r = documents_as_resources(df)
+        return r.select(F.col("doc_id").alias("record_id"),
+                        F.lower(F.concat_ws(" ", "title", "description")).alias("text"))
+    batch = {(r.record_id, r.query_id, r.score) for r in percolate(recs(docs), q).collect()}
+    stream = recs(L.stream_files(spark, docs.schema, table_path(SF001, "documents")))
+    out = str(tmp_path / "p")
+    L.percolate_stream(spark, stream, q, out, str(tmp_path / "c")).awaitTermination()
+    got = {(r.record_id, r.query_id, r.score) for r in spark.read.parquet(out).collect()}
+    assert got == batch and len(got) > 0
