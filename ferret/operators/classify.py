@@ -32,6 +32,25 @@ def detect_languages_broad(title, description, body_lower, query: str | None = N
     return F.when(F.array_contains(langs, q), langs).otherwise(F.concat(langs, F.array(F.lit(q))))
 
 
+def with_languages_broad(df: DataFrame, title, description, body_lower, query: str | None = None,
+                         out: str = "languages", languages=None) -> DataFrame:
+    """D1 as staged columns: the lower-cased head text and each intermediate list are
+    computed once per row (a lambda would otherwise re-evaluate them per list entry)."""
+    languages = [l.lower() for l in (languages or rules.LANGUAGES_BROAD)]
+    df = df.withColumn("_head", F.lower(F.concat_ws(" ", col_(title), col_(description))))
+    df = df.withColumn("_found", ordered_matches(F.col("_head"), languages))
+    df = df.withColumn("_langs", F.when(F.size("_found") > 0, F.col("_found"))
+                       .otherwise(ordered_matches(col_(body_lower), languages)))
+    langs = F.col("_langs")
+    q = _lower_query(query)
+    if q is not None:
+        if q in rules.LEGACY_FIRST_QUERIES:
+            df = df.withColumn("_langs", F.concat(F.array(F.lit(q)), F.array_remove(langs, q)))
+        langs = F.when(F.array_contains(F.col("_langs"), q), F.col("_langs")) \
+            .otherwise(F.concat(F.col("_langs"), F.array(F.lit(q))))
+    return df.withColumn(out, langs).drop("_found", "_langs")
+
+
 def detect_languages_narrow(title, description, languages=None) -> Column:
     """The narrow list, title+description only."""
     languages = languages or rules.LANGUAGES_NARROW

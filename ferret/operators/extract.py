@@ -133,17 +133,18 @@ def extract_resources(pages: DataFrame, query: str | None = None, mode: str = "b
     a = a.where(page_ok & usable("title_raw", "desc_raw"))
     a = a.withColumn("title", squeeze_ws("title_raw")).withColumn("description", squeeze_ws("desc_raw"))
     if mode == "broad":
-        langs = D.detect_languages_broad("title", "description", "body_text", query)
-        gate = C.relevance_gate_broad("title", "description", "body_text", query)
+        a = D.with_languages_broad(a, "title", "description", "body_text", query)
+        head = F.col("_head")
+        gate = head.contains(query.lower()) | F.coalesce(F.col("body_text"), F.lit("")) \
+            .contains(query.lower()) if query else F.lit(True)
         content = F.col("content_broad")
         snippets = legacy_pre_snippets(F.col("pre_code"), F.col("pre_texts"), query)
     else:
-        langs = D.detect_languages_narrow("title", "description")
+        a = a.withColumn("languages", D.detect_languages_narrow("title", "description"))
         gate = C.relevance_gate_narrow("title", "description", query)
         content = F.col("content_narrow")
         snippets = F.col("pre_code")
-    a = a.where(gate).withColumn("languages", langs).withColumn("content", content) \
-        .withColumn("code_snippets", snippets)
+    a = a.where(gate).withColumn("content", content).withColumn("code_snippets", snippets)
     rtype = D.resource_type("title", "domain", "url", broad=(mode == "broad"))
     if mode == "broad":
         quality = D.quality_broad("domain", "code_snippets", "content", query)
