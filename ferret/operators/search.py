@@ -54,6 +54,7 @@ class SearchTables:
     postings: DataFrame
     term_stats: DataFrame
     field_stats: DataFrame
+    tokens: DataFrame | None = None     # exploded (field, doc_id, dl, term) rows, when built here
 
 
 def field_texts(resources: DataFrame, fields=None) -> DataFrame:
@@ -79,13 +80,13 @@ def tokenized_fields(resources: DataFrame, fields=None) -> DataFrame:
 def build_search_tables(resources: DataFrame, fields=None) -> SearchTables:
     """Postings with term frequency and field length, plus per-term and per-field stats."""
     tok = tokenized_fields(resources, fields)
-    postings = (tok.select("field", "doc_id", "dl", F.explode("tokens").alias("term"))
-                .groupBy("field", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    tokens = tok.select("field", "doc_id", "dl", F.explode("tokens").alias("term"))
+    postings = (tokens.groupBy("field", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
                 .withColumn("tb", term_bucket(F.col("term"))))
     term_stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     field_stats = tok.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
                                            F.avg("dl").alias("avgdl"))
-    return SearchTables(postings, term_stats, field_stats)
+    return SearchTables(postings, term_stats, field_stats, tokens)
 
 
 def write_search_tables(tables: SearchTables, path: str, salt_buckets: int = 1) -> SearchTables:
@@ -96,9 +97,18 @@ def write_search_tables(tables: SearchTables, path: str, salt_buckets: int = 1)
     Rows are routed to writers by (field, tb, salt) with the salt taken from doc_id, so a
     hot term is spread over ``salt_buckets`` files instead of one task. Term and field
     statistics are derived from the written postings: documents are tokenized once."""
-    p = tables.postings.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salt_buckets)))
-    (p.repartition("field", "tb", "_salt").drop("_salt")
-     .sortWithinPartitions("field", "tb", "term", "doc_id")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salt_buckets))
+    if tables.tokens is not None:
+        # One shuffle: token rows go straight to their writer (field, tb, salt) and are
+        # counted there; the aggregation keys contain the partitioning keys.
+        t = tables.tokens.withColumn("tb", term_bucket(F.col("term"))).withColumn("_salt", salt)
+        p = (t.repartition("field", "tb", "_salt")
+             .groupBy("field", "tb", "_salt", "term", "doc_id", "dl")
+             .agg(F.count(F.lit(1)).alias("tf")).drop("_salt"))
+    else:
+        p = tables.postings.withColumn("_salt", salt).repartition("field", "tb", "_salt") \
+            .drop("_salt")
+    (p.sortWithinPartitions("field", "tb", "term", "doc_id")
      .write.mode("overwrite").partitionBy("field", "tb").parquet(f"{path}/postings"))
     spark = tables.postings.sparkSession
     postings = spark.read.parquet(f"{path}/postings")
