@@ -68,20 +68,32 @@ _SHIPPED: set[int] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``ferret`` importable in Python workers (the ``--py-files`` mechanism).
 
-    The package is zipped once per SparkContext into the shared checkpoint folder
-    and added with ``addPyFile``, so executors on any node can import it.
+    The package is zipped in memory once per SparkContext, written through the Hadoop
+    FileSystem API into the shared checkpoint folder (HDFS, object store or local) and
+    added with ``addPyFile``, so executors on any node can import it.
     """
     sc = spark.sparkContext
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
-    import shutil
+    import io
+    import zipfile
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    base = os.path.join(ensure_checkpoint_dir(spark), "pyfiles")
-    if base.startswith("file:"):
-        base = base[5:]
-    os.makedirs(base, exist_ok=True)
-    archive = shutil.make_archive(os.path.join(base, f"ferret-{os.getpid()}"), "zip",
-                                  root_dir=os.path.dirname(pkg_dir), base_dir="ferret")
-    sc.addPyFile(archive)
+    root = os.path.dirname(pkg_dir)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    uri = f"{base}/pyfiles/ferret-{os.getpid()}-{key}.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(uri)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    out.write(bytearray(buf.getvalue()))
+    out.close()
+    sc.addPyFile(fs.makeQualified(path).toString())
     _SHIPPED.add(key)
