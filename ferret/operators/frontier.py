@@ -128,7 +128,10 @@ def reachable(seeds: DataFrame, links: DataFrame, max_depth: int = rules.DEPTH_L
     """
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
-    edges = links.select("src_url", "dst_url").distinct().checkpoint()
+    # Edges are hash-partitioned by source once and checkpointed with that partitioning,
+    # so every hop shuffles only the (small) frontier side of the join.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = links.select("src_url", "dst_url").distinct().repartition(n, "src_url").checkpoint()
     visited = seeds.select(F.col("url"), F.lit(0).alias("depth")).distinct().checkpoint()
     frontier = visited
     for depth in range(1, max_depth + 1):
