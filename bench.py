@@ -38,7 +38,7 @@ def run(df):
     df.write.format("noop").mode("overwrite").save()
 
 
-WARMUP_DIR = "/root/testdata/sf0.001"
+WARMUP_DIR = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
 
 
 def main():

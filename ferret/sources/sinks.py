@@ -26,6 +26,13 @@ def newest_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
     return packed.select(key, *[F.col(f"_row.{c}").alias(c) for c in cols])
 
 
+def row_order(df: DataFrame) -> Column:
+    """Order for batches without a load sequence: a hash of the whole row. Arbitrary but
+    deterministic, so a task recomputed after an executor loss picks the same winner
+    (an id based on partition position could change with shuffle order)."""
+    return F.xxhash64(*[F.col(c) for c in df.columns])
+
+
 def _is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
@@ -39,7 +46,7 @@ def upsert_resources(existing: DataFrame, incoming: DataFrame, seq_col: str = "l
     """
     inc = incoming.withColumn("resource_id", F.md5("url"))
     if seq_col not in inc.columns:
-        inc = inc.withColumn(seq_col, F.monotonically_increasing_id())
+        inc = inc.withColumn(seq_col, row_order(incoming))
     inc = newest_per_key(inc, "resource_id", seq_col).drop(seq_col)
     present = set(inc.columns)
     ex = conform_resources(existing)
@@ -74,7 +81,7 @@ def replace_resources(existing: DataFrame, incoming: DataFrame, seq_col: str = "
     """A4: whole-row overwrite by id; the newest incoming row per id replaces the stored row."""
     inc = incoming.withColumn("resource_id", F.md5("url"))
     if seq_col not in inc.columns:
-        inc = inc.withColumn(seq_col, F.monotonically_increasing_id())
+        inc = inc.withColumn(seq_col, row_order(incoming))
     inc = conform_resources(inc, keep=[seq_col])
     inc = newest_per_key(inc, "resource_id", seq_col).drop(seq_col)
     ex = conform_resources(existing)
