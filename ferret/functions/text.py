@@ -64,13 +64,24 @@ def word_array(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def bind_once(t: Column, fn) -> Column:
+    """Evaluate ``t`` once per row and apply ``fn`` to the value (a 'let' binding).
+
+    A lambda over a word list re-evaluates any expression it references for every list
+    entry, and Catalyst may inline a column expression referenced once into such a
+    lambda. Passing the text through a one-element array binds it to a lambda variable,
+    so it is computed a single time."""
+    return F.element_at(F.transform(F.array(t), fn), 1)
+
+
 def contains_any(text, words) -> Column:
     """True when ``text`` contains any of ``words`` (plain substrings)."""
     t = col_(text)
     if not words:
         return F.lit(False)
     if len(words) > UNROLL_LIMIT:
-        return F.exists(word_array(words), lambda w: t.contains(w))
+        arr = word_array(words)
+        return bind_once(t, lambda x: F.exists(arr, lambda w: x.contains(w)))
     return reduce(lambda a, b: a | b, [t.contains(F.lit(w)) for w in words])
 
 
@@ -80,7 +91,8 @@ def ordered_matches(text, words) -> Column:
     if not words:
         return F.array().cast("array<string>")
     if len(words) > UNROLL_LIMIT:
-        return F.filter(word_array(words), lambda w: t.contains(w))
+        arr = word_array(words)
+        return bind_once(t, lambda x: F.filter(arr, lambda w: x.contains(w)))
     return F.array_compact(F.array(*[F.when(t.contains(F.lit(w)), F.lit(w)) for w in words]))
 
 

@@ -18,7 +18,10 @@ def _lower_query(query: str | None) -> str | None:
 def detect_languages_broad(title, description, body_lower, query: str | None = None,
                            languages=None) -> Column:
     """Names found in title+description (list order), else in the body; then the query
-    is moved first (legacy names) or appended when missing."""
+    is moved first (legacy names) or appended when missing.
+
+    Single-expression form; over whole tables prefer ``with_languages_broad``, which stages
+    the intermediate lists as columns so each is evaluated once per row."""
     languages = languages or rules.LANGUAGES_BROAD
     head = F.lower(F.concat_ws(" ", col_(title), col_(description)))
     found = ordered_matches(head, [l.lower() for l in languages])

@@ -298,9 +298,9 @@ SELECT doc_id, array_to_string({O.detect_languages_broad('title', 'description',
          AS languages
 FROM res""")
 def d01_detect_languages_broad(spark, sf_dir):
-    r = doc_res(spark, sf_dir)
-    return r.select("doc_id", F.array_join(D.detect_languages_broad(
-        "title", "description", F.lower("content"), LEGACY_QUERY), ",").alias("languages"))
+    r = doc_res(spark, sf_dir).withColumn("_body", F.lower("content"))
+    r = D.with_languages_broad(r, "title", "description", "_body", LEGACY_QUERY)
+    return r.select("doc_id", F.array_join("languages", ",").alias("languages"))
 
 
 @register("d02_detect_languages_narrow", O.with_(O.RESOURCES) + f"""
