@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import rules
 from ..functions import html as H
@@ -75,11 +76,41 @@ def legacy_pre_snippets(snippets, pre_texts, query: str | None) -> Column:
 
 def links(pages: DataFrame, resolve: bool = False) -> DataFrame:
     """(page_id, src_url, href, link) for every href; ``link`` is the raw value
-    (standalone crawler) or the value resolved against the page URL (distributed)."""
+    (standalone crawler) or the value resolved against the page URL (distributed).
+
+    Resolution is native; only relative links with dot segments ('./', '../') are
+    resolved by a vectorised stdlib ``urljoin``. The HTML is scanned once: other rows reach
+    the Arrow batch as NULLs (no payload) and the UDF computes only the masked rows."""
     l = pages.select("page_id", F.col("url").alias("src_url"),
                      F.posexplode(H.hrefs("html")).alias("pos", "href"))
-    target = resolve_url(F.col("src_url"), F.col("href")) if resolve else F.col("href")
-    return l.select("page_id", "src_url", "pos", "href", target.alias("link"))
+    if not resolve:
+        return l.select("page_id", "src_url", "pos", "href", F.col("href").alias("link"))
+    dots = has_dot_segments(F.col("href"))
+    joined = urljoin_udf(F.when(dots, F.col("src_url")), F.when(dots, F.col("href")))
+    link = F.when(dots, joined).otherwise(resolve_url(F.col("src_url"), F.col("href")))
+    return l.select("page_id", "src_url", "pos", "href", link.alias("link"))
+
+
+DOT_SEGMENT = r"(^|/)\.\.?(/|$|[?#])"
+
+
+def has_dot_segments(href) -> Column:
+    """A relative reference (no scheme, not '//') whose path has '.' or '..' segments."""
+    h = F.trim(col_(href))
+    return F.coalesce(~h.rlike(r"^([a-zA-Z][a-zA-Z0-9+.-]*:|//)") & h.rlike(DOT_SEGMENT), F.lit(False))
+
+
+@F.pandas_udf(T.StringType())
+def urljoin_udf(base, href):
+    """urllib.parse.urljoin over Arrow batches; rows with a NULL input are skipped."""
+    from urllib.parse import urljoin
+
+    import pandas as pd
+    out = pd.Series([None] * len(href), index=href.index, dtype="object")
+    mask = base.notna() & href.notna()
+    if mask.any():
+        out[mask] = [urljoin(b, h.strip()) for b, h in zip(base[mask], href[mask])]
+    return out
 
 
 def resolve_url(base, href) -> Column:

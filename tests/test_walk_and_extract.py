@@ -68,3 +68,14 @@ def test_links_resolution(spark):
     from urllib.parse import urljoin
     base = "https://h.io/dir/page?x=1#top"
     assert got == [urljoin(base, h) for h in ["https://a.com/x", "//cdn.org/y", "/root", "#f", "?q=1", "rel/p"]]
+
+
+def test_dot_segment_links_use_urljoin(spark):
+    from urllib.parse import urljoin
+    hrefs = ["../up/x", "./here", "a/../b", "/abs/../c", "plain", "https://z.org/./k"]
+    html = "".join(f'<a href="{h}">l</a>' for h in hrefs)
+    base = "https://h.io/d1/d2/page"
+    p = _pages(spark, [(1, base, html)])
+    got = {r.pos: r.link for r in X.links(p, resolve=True).collect()}
+    assert [got[i] for i in range(len(hrefs))][:4] == [urljoin(base, h) for h in hrefs[:4]]
+    assert got[4] == urljoin(base, "plain") and got[5] == "https://z.org/./k"
