@@ -55,6 +55,7 @@ class SearchTables:
     term_stats: DataFrame
     field_stats: DataFrame
     tokens: DataFrame | None = None     # exploded (field, doc_id, dl, term) rows, when built here
+    term_buckets: int = TERM_BUCKETS     # stored with the index; queries must use the same
 
 
 def field_texts(resources: DataFrame, fields=None) -> DataFrame:
@@ -77,16 +78,18 @@ def tokenized_fields(resources: DataFrame, fields=None) -> DataFrame:
     return t.select("doc_id", "field", F.size("tokens").alias("dl"), "tokens").where("dl > 0")
 
 
-def build_search_tables(resources: DataFrame, fields=None) -> SearchTables:
-    """Postings with term frequency and field length, plus per-term and per-field stats."""
+def build_search_tables(resources: DataFrame, fields=None,
+                        term_buckets: int = TERM_BUCKETS) -> SearchTables:
+    """Postings with term frequency and field length, plus per-term and per-field stats.
+    ``term_buckets`` sets the index's term-hash partitions (about 1024 on a cluster)."""
     tok = tokenized_fields(resources, fields)
     tokens = tok.select("field", "doc_id", "dl", F.explode("tokens").alias("term"))
     postings = (tokens.groupBy("field", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-                .withColumn("tb", term_bucket(F.col("term"))))
+                .withColumn("tb", term_bucket(F.col("term"), term_buckets)))
     term_stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     field_stats = tok.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
                                            F.avg("dl").alias("avgdl"))
-    return SearchTables(postings, term_stats, field_stats, tokens)
+    return SearchTables(postings, term_stats, field_stats, tokens, term_buckets)
 
 
 def write_search_tables(tables: SearchTables, path: str, salt_buckets: int = 1) -> SearchTables:
@@ -101,7 +104,8 @@ def write_search_tables(tables: SearchTables, path: str, salt_buckets: int = 1)
     if tables.tokens is not None:
         # One shuffle: token rows go straight to their writer (field, tb, salt) and are
         # counted there; the aggregation keys contain the partitioning keys.
-        t = tables.tokens.withColumn("tb", term_bucket(F.col("term"))).withColumn("_salt", salt)
+        t = tables.tokens.withColumn("tb", term_bucket(F.col("term"), tables.term_buckets)) \
+            .withColumn("_salt", salt)
         p = (t.repartition("field", "tb", "_salt")
              .groupBy("field", "tb", "_salt", "term", "doc_id", "dl")
              .agg(F.count(F.lit(1)).alias("tf")).drop("_salt"))
@@ -117,13 +121,16 @@ def write_search_tables(tables: SearchTables, path: str, salt_buckets: int = 1)
     lengths = postings.groupBy("field", "doc_id").agg(F.max("dl").alias("dl"))
     (lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
      .coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats"))
+    spark.createDataFrame([(tables.term_buckets,)], "term_buckets int") \
+        .write.mode("overwrite").parquet(f"{path}/meta")
     return read_search_tables(spark, path)
 
 
 def read_search_tables(spark, path: str) -> SearchTables:
+    buckets = spark.read.parquet(f"{path}/meta").first()["term_buckets"]
     return SearchTables(spark.read.parquet(f"{path}/postings"),
                         spark.read.parquet(f"{path}/term_stats"),
-                        spark.read.parquet(f"{path}/field_stats"))
+                        spark.read.parquet(f"{path}/field_stats"), term_buckets=buckets)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -142,7 +149,8 @@ def term_weights(tables: SearchTables, qterms: DataFrame, info: QueryInfo, field
     qt = broadcast_if(qterms, info.n_terms)
     ts = tables.term_stats.where(F.col("field").isin(fields)).join(qt, "term")
     return (ts.join(F.broadcast(tables.field_stats), "field")
-            .select("query_id", "field", "term", term_bucket(F.col("term")).alias("tb"), "qtf",
+            .select("query_id", "field", "term",
+                    term_bucket(F.col("term"), tables.term_buckets).alias("tb"), "qtf",
                     idf(F.col("df"), F.col("n_docs")).alias("idf"), "avgdl"))
 
 
