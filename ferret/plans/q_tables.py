@@ -148,7 +148,8 @@ def a06_change_feed(spark, sf_dir):
     return K.change_feed(u).select("id", "url", "title", "description", "type", "domain", "language")
 
 
-@register("a07_export_sample", None)
+@register("a07_export_sample", O.with_(O.RESOURCES) + """
+SELECT doc_id, url, title FROM res ORDER BY doc_id LIMIT 100""")
 def a07_export_sample(spark, sf_dir):
     return K.export_sample(A.read_doc_resources(spark, sf_dir), 100).select("doc_id", "url", "title")
 
