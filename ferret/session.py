@@ -12,31 +12,47 @@ def build_session(master: str | None = None, app: str = "ferret",
                   shuffle_partitions: int | None = None) -> SparkSession:
     """A session tuned for the jobs in this package.
 
-    On a cluster the master and most sizing come from spark-submit; the values
-    here only fill what is unset. The UI stays off (no server is opened).
+    Local runs (tests, bench) get a ``local[$BENCH_CPUS]`` master, a shuffle width equal
+    to the core count and a large driver heap. On a cluster (``SPARK_MASTER`` set or a
+    non-local ``master``) sizing comes from spark-submit; only what is unset is filled:
+    AQE starts from a wide initial shuffle (``initialPartitionNum``) and coalesces to the
+    advisory partition size, so a 100 TB shuffle is not squeezed into a fixed width.
+    The UI stays off (no server is opened).
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = os.environ.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         os.environ["PYTHONPATH"] = root + (os.pathsep + paths if paths else "")
+    local = (master or "").startswith("local") or (master is None and not os.environ.get("SPARK_MASTER"))
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or f"local[{cpus}]")
-    parts = shuffle_partitions or int(cpus)
+    if local:
+        builder = (builder.master(master or f"local[{cpus}]")
+                   .config("spark.driver.memory", os.environ.get("FERRET_DRIVER_MEMORY", "16g")))
+    elif master:
+        builder = builder.master(master)
     spark = (
         builder
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("FERRET_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
+    conf = spark.conf
+    if shuffle_partitions:
+        conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    elif local:
+        conf.set("spark.sql.shuffle.partitions", cpus)
+    else:
+        if conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) is None:
+            width = spark.sparkContext.defaultParallelism * 8
+            conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(width, 4096)))
+        if conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB") == "64MB":
+            conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256MB")
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
