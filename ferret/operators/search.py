@@ -83,7 +83,7 @@ def build_search_tables(resources: DataFrame, fields=None,
     """Postings with term frequency and field length, plus per-term and per-field stats.
     ``term_buckets`` sets the index's term-hash partitions (about 1024 on a cluster)."""
     tok = tokenized_fields(resources, fields)
-    tokens = tok.select("field", "doc_id", "dl", F.explode("tokens").alias("term"))
+    tokens = tok.select("field", "doc_id", "dl", F.posexplode("tokens").alias("pos", "term"))
     postings = (tokens.groupBy("field", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
                 .withColumn("tb", term_bucket(F.col("term"), term_buckets)))
     term_stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -106,9 +106,12 @@ def write_search_tables(tables: SearchTables, path: str, salt_buckets: int = 1)
         # counted there; the aggregation keys contain the partitioning keys.
         t = tables.tokens.withColumn("tb", term_bucket(F.col("term"), tables.term_buckets)) \
             .withColumn("_salt", salt)
+        # ``lead`` marks the one posting per (field, doc) that holds the field's first token,
+        # so field statistics need no (field, doc_id) shuffle of the postings.
         p = (t.repartition("field", "tb", "_salt")
              .groupBy("field", "tb", "_salt", "term", "doc_id", "dl")
-             .agg(F.count(F.lit(1)).alias("tf")).drop("_salt"))
+             .agg(F.count(F.lit(1)).alias("tf"), F.max(F.col("pos") == 0).alias("lead"))
+             .drop("_salt"))
     else:
         p = tables.postings.withColumn("_salt", salt).repartition("field", "tb", "_salt") \
             .drop("_salt")
@@ -118,19 +121,22 @@ def write_search_tables(tables: SearchTables, path: str, salt_buckets: int = 1)
     postings = spark.read.parquet(f"{path}/postings")
     (postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
      .write.mode("overwrite").partitionBy("field").parquet(f"{path}/term_stats"))
-    lengths = postings.groupBy("field", "doc_id").agg(F.max("dl").alias("dl"))
+    if "lead" in postings.columns:
+        lengths = postings.where("lead").select("field", "doc_id", "dl")
+    else:
+        lengths = postings.groupBy("field", "doc_id").agg(F.max("dl").alias("dl"))
     (lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+     .withColumn("term_buckets", F.lit(tables.term_buckets))
      .coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats"))
-    spark.createDataFrame([(tables.term_buckets,)], "term_buckets int") \
-        .write.mode("overwrite").parquet(f"{path}/meta")
     return read_search_tables(spark, path)
 
 
 def read_search_tables(spark, path: str) -> SearchTables:
-    buckets = spark.read.parquet(f"{path}/meta").first()["term_buckets"]
+    fs = spark.read.parquet(f"{path}/field_stats")
+    buckets = fs.select("term_buckets").first()["term_buckets"]
     return SearchTables(spark.read.parquet(f"{path}/postings"),
                         spark.read.parquet(f"{path}/term_stats"),
-                        spark.read.parquet(f"{path}/field_stats"), term_buckets=buckets)
+                        fs.drop("term_buckets"), term_buckets=buckets)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
