@@ -350,6 +350,30 @@ def search_batch(tables: SearchTables, resources: DataFrame, queries: DataFrame)
     }
 
 
+def search_report(tables: SearchTables, resources: DataFrame, queries: DataFrame) -> dict:
+    """E18 as one /search response per query: hits, totals, type facet, page language
+    facet, highlights and low-result crawl requests.
+
+    The filtered matches, and then the page, are checkpointed into the shared checkpoint
+    folder (reliable storage, so a lost executor does not force re-scoring). All outputs
+    read those, so scoring runs once instead of once per output."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(queries.sparkSession)
+    info = query_info(queries)
+    m = filtered_matches(match_scores(tables, queries, info=info), resources, queries, info)
+    m = m.checkpoint()
+    page = paged(collapse_by_url(m), queries, info).checkpoint()
+    t = totals(m, queries)
+    return {
+        "hits": format_hits(page, resources, info),
+        "totals": t,
+        "type_facet": type_facet(m),
+        "language_facet": page_language_facet(page),
+        "highlights": highlights(page, resources, queries, info),
+        "crawl_requests": low_result_queries(t, queries),
+    }
+
+
 def snapshot_search(tables: SearchTables, resources: DataFrame, queries: DataFrame,
                     limit: int = rules.SNAPSHOT_LIMIT) -> DataFrame:
     """Unpaged, uncollapsed top ``limit`` per query, then first occurrence per URL."""
