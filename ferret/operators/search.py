@@ -19,7 +19,7 @@ from pyspark.sql.window import Window as W
 
 from .. import rules
 from ..functions.text import TOKEN_PATTERN, analyze
-from .common import broadcast_if, rounded, spread
+from .common import BROADCAST_MAX_ROWS, broadcast_if, rounded, spread
 
 K1 = 1.2
 B = 0.75
@@ -331,12 +331,31 @@ def highlights(page_hits: DataFrame, resources: DataFrame, queries: DataFrame,
                     highlight_field(code, pat, "<code>", "</code>").alias("code_snippets_hl"))
 
 
-def search_batch(tables: SearchTables, resources: DataFrame, queries: DataFrame) -> dict:
+def search_batch(tables: SearchTables, resources: DataFrame, queries: DataFrame,
+                 max_weight_rows: int = BROADCAST_MAX_ROWS, _depth: int = 0) -> dict:
     """E4-E12 for a whole table of queries at once.
 
     Returns the hits page, totals, type facet and page language facet DataFrames.
+    A batch whose term weights exceed ``max_weight_rows`` is split into chunks of query
+    ids, each within the bound, and the chunk results are unioned. Every chunk keeps
+    the broadcast join and the pruned postings scan, and no query is dropped.
     """
     info = query_info(queries)
+    n_fields = len(rules.SEARCH_FIELDS)
+    need = info.n_terms * n_fields
+    if need > max_weight_rows and info.n_queries > 1 and _depth < 6:
+        k = -(-need // max_weight_rows)
+        parts = [search_batch(tables, resources,
+                              queries.where(F.pmod(F.xxhash64("query_id"), F.lit(k)) == i),
+                              max_weight_rows, _depth + 1) for i in range(k)]
+        out = {}
+        for key in ["hits", "totals", "type_facet", "language_facet", "page"]:
+            dfs = [p[key] for p in parts]
+            out[key] = dfs[0]
+            for d in dfs[1:]:
+                out[key] = out[key].unionByName(d)
+        out["info"] = info
+        return out
     scores = match_scores(tables, queries, info=info)
     m = filtered_matches(scores, resources, queries, info)
     page = paged(collapse_by_url(m), queries, info)
