@@ -138,3 +138,107 @@ def write_version(df: DataFrame, base: str, version: int) -> str:
 
 __all__ = ["upsert_resources", "replace_resources", "dedupe_resources", "change_feed",
            "export_sample", "reindex", "write_version", "primary_language"]
+
+
+# ---------------------------------------------------------------------------
+# Incremental table (A5): merge-on-read with per-batch deltas
+#
+#   <root>/base-<k>/rb=<bucket>/   compacted snapshot holding batches <= k,
+#                                  partitioned by a hash bucket of resource_id
+#   <root>/delta/batch=<n>/        rows touched by micro-batch n (full merged rows)
+#
+# A micro-batch reads only the current rows of its own keys (broadcast key semi-join,
+# which prunes base buckets dynamically) and writes just the touched rows, so its cost
+# follows the batch, not the table. Readers take the newest row per key over the latest
+# base and the later deltas; ``compact`` folds deltas into a new base.
+# ---------------------------------------------------------------------------
+
+KEY_BUCKETS = 64
+
+
+def key_bucket(c, buckets: int = KEY_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+
+
+def _fs(spark, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def latest_base(spark, root: str) -> int | None:
+    """The largest k of a complete ``base-<k>`` snapshot under ``root``."""
+    fs, p = _fs(spark, root)
+    if not fs.exists(p):
+        return None
+    best = None
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("base-") and fs.exists(st.getPath().suffix("/_SUCCESS")):
+            k = int(name[5:])
+            best = k if best is None or k > best else best
+    return best
+
+
+def _sources(spark, root: str, below: int | None):
+    """(base DataFrame or None, deltas DataFrame or None) visible to a reader at ``below``."""
+    k = latest_base(spark, root)
+    base = spark.read.parquet(f"{root}/base-{k}") if k is not None else None
+    fs, p = _fs(spark, f"{root}/delta")
+    deltas = None
+    if fs.exists(p) and len(fs.listStatus(p)) > 0:
+        d = spark.read.parquet(f"{root}/delta")
+        cond = F.col("batch") > F.lit(-1 if k is None else k)
+        if below is not None:
+            cond = cond & (F.col("batch") < F.lit(below))
+        deltas = d.where(cond)
+    return base, deltas
+
+
+def current_table(spark, root: str, below: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """The table as of batch ``below`` (exclusive): newest row per resource_id over the
+    latest base and later deltas. With ``keys`` (resource_id), only those keys are read."""
+    base, deltas = _sources(spark, root, below)
+    parts = []
+    if keys is not None:
+        kb = keys.select("resource_id").distinct().withColumn("rb", key_bucket(F.col("resource_id")))
+        kb = F.broadcast(kb) if _is_small(kb) else kb
+    if base is not None:
+        b = base.join(kb, ["rb", "resource_id"], "left_semi") if keys is not None else base
+        parts.append(b.drop("rb").withColumn("_order", F.lit(-1).cast("long")))
+    if deltas is not None:
+        d = deltas.join(kb.select("resource_id"), "resource_id", "left_semi") if keys is not None else deltas
+        parts.append(d.withColumn("_order", F.col("batch").cast("long")).drop("batch"))
+    if not parts:
+        return conform_resources(base_empty(spark))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p, allowMissingColumns=True)
+    return newest_per_key(conform_resources(u, keep=["_order"]), "resource_id", "_order") \
+        .drop("_order").select(*RESOURCE_COLUMNS)
+
+
+def base_empty(spark):
+    return spark.createDataFrame([], RESOURCE_SCHEMA)
+
+
+def upsert_batch(spark, root: str, batch: DataFrame, batch_id: int,
+                 seq_col: str = "load_seq") -> str:
+    """A5 body for one micro-batch: merge it with the current rows of its keys and write
+    the touched rows as ``delta/batch=<batch_id>`` (a retry overwrites the same folder,
+    and re-applying a batch gives the same rows)."""
+    keys = batch.select(F.md5("url").alias("resource_id"))
+    existing = current_table(spark, root, below=batch_id, keys=keys)
+    merged = upsert_resources(existing, batch, seq_col).where("touched").drop("is_new", "touched")
+    path = f"{root}/delta/batch={batch_id}"
+    merged.write.mode("overwrite").parquet(path)
+    return path
+
+
+def compact(spark, root: str, upto: int) -> str:
+    """Fold every delta up to batch ``upto`` into a new base snapshot ``base-<upto>``."""
+    t = current_table(spark, root, below=upto + 1)
+    path = f"{root}/base-{upto}"
+    (t.withColumn("rb", key_bucket(F.col("resource_id")))
+     .repartition("rb").write.mode("overwrite").partitionBy("rb").parquet(path))
+    return path

@@ -118,12 +118,29 @@ def test_resource_stream_versions(spark, tmp_path):
     base = str(tmp_path / "t")
     q = L.resource_stream(spark, table_path(SF001, "pages"), base, str(tmp_path / "ck"), query="the")
     q.awaitTermination()
-    v = L.latest_version(spark, base, 1 << 30)
-    assert v is not None
-    t = spark.read.parquet(f"{base}/v={v}")
+    t = L.current_table(spark, base)
     assert t.count() == t.select("resource_id").distinct().count() > 0
 
 
+def test_incremental_table_batches_compaction_and_retry(spark, tmp_path):
+    root = str(tmp_path / "inc")
+    b0 = spark.createDataFrame([(1, "https://a/1", "T1", "video"), (2, "https://a/2", "T2", "article")],
+                               "load_seq long, url string, title string, type string")
+    b1 = spark.createDataFrame([(3, "https://a/1", None)], "load_seq long, url string, type string")
+    K.upsert_batch(spark, root, b0, 0)
+    K.upsert_batch(spark, root, b1, 1)
+    K.upsert_batch(spark, root, b1, 1)                      # retried batch: same result
+    t = {r.url: r for r in K.current_table(spark, root).collect()}
+    assert t["https://a/1"].title == "T1" and t["https://a/1"].type is None
+    assert t["https://a/2"].type == "article" and len(t) == 2
+    K.compact(spark, root, 1)
+    b2 = spark.createDataFrame([(4, "https://a/3", "T3")], "load_seq long, url string, title string")
+    K.upsert_batch(spark, root, b2, 2)
+    t2 = {r.url: r for r in K.current_table(spark, root).collect()}
+    assert set(t2) == {"https://a/1", "https://a/2", "https://a/3"}
+    assert t2["https://a/1"].title == "T1" and t2["https://a/1"].type is None
+
+
 def test_fan_out_channels(spark):
     feed = spark.createDataFrame([("a", "q1"), ("b", None)], "id string, query string")
     got = sorted((r.channel, r.id) for r in L.fan_out(feed).collect())
