@@ -204,7 +204,12 @@ def current_table(spark, root: str, below: int | None = None, keys: DataFrame |
         kb = keys.select("resource_id").distinct().withColumn("rb", key_bucket(F.col("resource_id")))
         kb = F.broadcast(kb) if _is_small(kb) else kb
     if base is not None:
-        b = base.join(kb, ["rb", "resource_id"], "left_semi") if keys is not None else base
+        b = base
+        if keys is not None:
+            # The batch's key buckets are at most KEY_BUCKETS integers: applied as a static
+            # partition filter, only those base folders are listed and read.
+            buckets = [r.rb for r in kb.select("rb").distinct().collect()]
+            b = base.where(F.col("rb").isin(buckets)).join(kb, ["rb", "resource_id"], "left_semi")
         parts.append(b.drop("rb").withColumn("_order", F.lit(-1).cast("long")))
     if deltas is not None:
         d = deltas.join(kb.select("resource_id"), "resource_id", "left_semi") if keys is not None else deltas
