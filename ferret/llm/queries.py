@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import exact_dedup, packing, sharding, token_counts
+from . import exact_dedup, minhash, packing, sharding, token_counts
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -46,3 +46,8 @@ def op3_exact_dedup(spark, sf_dir):
 @query("op6_token_counts")
 def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
+
+
+@query("op5_minhash")
+def op5_minhash(spark, sf_dir):
+    return minhash.mark_near_duplicates(read_table(spark, sf_dir, "documents"), percent=85).drop("th")
