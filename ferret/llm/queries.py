@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import exact_dedup, minhash, packing, sharding, token_counts
+from . import decontaminate, exact_dedup, minhash, packing, sharding, token_counts, toxicity
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -51,3 +51,14 @@ def op6_token_counts(spark, sf_dir):
 @query("op5_minhash")
 def op5_minhash(spark, sf_dir):
     return minhash.mark_near_duplicates(read_table(spark, sf_dir, "documents"), percent=85).drop("th")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark, sf_dir):
+    found = decontaminate.find_contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("th")
