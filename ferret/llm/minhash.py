@@ -307,3 +307,15 @@ def mark_near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS,
     none = signed.where("n = 0").select("id", "th", "n", F.col("id").alias("component_id"))
     return some.unionByName(none).select(F.col("id").alias("doc_id"), "th", F.col("n").alias("n_shingles"), "component_id",
                                          F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group (the kept rows of ``mark_near_duplicates``) with all its columns.
+    Where that row repeats with the same id and text, one of the repeats stays."""
+    marks = materialise(mark_near_duplicates(docs, percent, words, id_col, text_col).groupBy("doc_id", "th").agg(
+        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times")).where("NOT kept OR times > 1"), "marks")
+    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"), th.alias("h"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))
+    again = rows.join(marks.where("kept"), same).groupBy("doc_id", "th").agg(F.min("row").alias("row")).select("row")
+    return rows.join(marks, same, "left_anti").select("row").unionByName(again).select("row.*")

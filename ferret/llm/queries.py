@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontaminate, exact_dedup, minhash, packing, sharding, token_counts, toxicity
+from . import decontaminate, exact_dedup, line_dedup, minhash, packing, secret_scan, sharding, token_counts, toxicity, url_filter
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -62,3 +62,70 @@ def op4_toxicity(spark, sf_dir):
 def op10_decontamination(spark, sf_dir):
     found = decontaminate.find_contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.drop("th")
+
+
+#: Captures and dated lists that both derive from the pages table: a capture's fetch time follows its id,
+#: and every host and site gets entries at times that follow its first page.
+ENTRIES_SQL = """
+  SELECT {list} AS list, target, 'add' AS action, first + 60 * (length(target) % 7) AS moment FROM t
+  UNION ALL SELECT {list}, target, 'remove', first + 60 * (length(target) % 7) + 600 * (1 + n % 11) FROM t
+  UNION ALL SELECT {list}, target, 'add', first + 60 * (length(target) % 7) + 600 * (2 + n % 13) FROM t WHERE n % 2 = 0
+"""
+LIST_SQL = "CASE length(target) % 3 WHEN 0 THEN 'adult' WHEN 1 THEN 'malware' ELSE 'spam' END"
+
+
+@query("op7_url_filter", r"""
+WITH p AS (
+  SELECT page_id, page_id * 60 AS fetched,
+         lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '\.$', '')) AS host
+  FROM pages),
+d AS (SELECT *, string_split(host, '.') AS labels FROM p),
+w AS (
+  SELECT DISTINCT page_id, fetched, host, array_to_string(labels[i:len(labels)], '.') AS target
+  FROM (SELECT *, unnest(range(1, greatest(len(labels) - 1, 1) + 1)) AS i FROM d WHERE host <> '')),
+t AS (SELECT target, min(fetched) AS first, count(*) AS n FROM w GROUP BY target),
+e AS (""" + ENTRIES_SQL.format(list=LIST_SQL) + r"""),
+o AS (SELECT list, target, moment, bool_and(action = 'add') AS is_on FROM e GROUP BY list, target, moment),
+c AS (SELECT * FROM (SELECT *, coalesce(lag(is_on) OVER (PARTITION BY list, target ORDER BY moment), false) AS was FROM o) WHERE is_on <> was),
+v AS (SELECT list, target, moment AS since, is_on, lead(moment) OVER (PARTITION BY list, target ORDER BY moment) AS until FROM c),
+h AS (
+  SELECT page_id, array_to_string(list_sort(list_distinct(list(v.list))), ',') AS lists, count(*) AS n_entries
+  FROM w JOIN v ON w.target = v.target AND v.is_on AND v.since <= fetched AND (until IS NULL OR fetched < until)
+  GROUP BY page_id)
+SELECT p.page_id, p.fetched, p.host, coalesce(h.lists, '') AS lists, coalesce(h.n_entries, 0) AS n_entries, h.page_id IS NOT NULL AS blocked
+FROM p LEFT JOIN h ON p.page_id = h.page_id""")
+def op7_url_filter(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") * 60).alias("fetched"))
+    hosts = pages.select("fetched", F.explode(url_filter.domains(url_filter.host(F.col("url")))).alias("target"))
+    t = hosts.groupBy("target").agg(F.min("fetched").alias("first"), F.count(F.lit(1)).alias("n"))
+    start, kind = F.expr("first + 60 * (length(target) % 7)"), F.expr(LIST_SQL).alias("list")
+    entries = t.select(kind, "target", F.lit("add").alias("action"), start.alias("at")) \
+        .unionByName(t.select(kind, "target", F.lit("remove").alias("action"), (start + F.expr("600 * (1 + n % 11)")).alias("at"))) \
+        .unionByName(t.where("n % 2 = 0").select(kind, "target", F.lit("add").alias("action"), (start + F.expr("600 * (2 + n % 13)")).alias("at")))
+    return url_filter.filter_captures(pages, entries)
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark, sf_dir):
+    return secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_line_dedup", r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS raw, len(parts) AS n_lines
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+c AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS s, line
+  FROM (SELECT doc_id, pos, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM l) WHERE line <> ''),
+w AS (
+  SELECT doc_id, s, pos AS lo, lead(pos, 2) OVER d AS hi, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS words
+  FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY s)),
+r AS (SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, s) AS k FROM w WHERE words IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS pos FROM r WHERE k > 1)
+SELECT l.doc_id, any_value(l.n_lines) AS n_lines, count(g.pos) AS n_removed,
+       sha256(coalesce(string_agg(l.raw, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id""")
+def op9_line_dedup(spark, sf_dir):
+    marked = line_dedup.mark_repeated_lines(read_table(spark, sf_dir, "documents"))
+    return marked.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.size("removed").cast("bigint").alias("n_removed"),
+                         F.sha2("kept_text", 256).alias("kept_sha256"))
