@@ -5,7 +5,7 @@ A document is the sequence of its non-blank lines, white space normalised. In ev
 choose the same place, so two documents that share a run of ``run`` lines are guaranteed to share
 a fingerprint there. Fingerprints that occur more than once are joined with their positions;
 around each, the match is extended both ways: the windows that chose it are compared as whole
-text (by SHA-256), and all but the first occurrence of a window are repeats. Overlapping repeats together are the longest
+text (by its 128-bit MD5), and all but the first occurrence of a window are repeats. Overlapping repeats together are the longest
 repeated runs; their lines, and blank lines inside, are deleted. First means the smallest document id, then the
 smallest position.
 
@@ -46,7 +46,7 @@ def mark_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     starts = F.sequence(F.lit(0), F.size("seq") - run)
     windows = F.transform(starts, lambda s: F.struct(
         F.array_min(F.slice("h", s + 1, run)).getField("h").alias("f"), s.alias("s"),
-        F.unhex(F.sha2(F.array_join(F.transform(F.slice("seq", s + 1, run), lambda x: x["line"]), "\n"), 256)).alias("w"),
+        F.unhex(F.md5(F.array_join(F.transform(F.slice("seq", s + 1, run), lambda x: x["line"]), "\n"))).alias("w"),
         F.element_at("seq", s + 1)["at"].alias("lo"), F.element_at("seq", s + run)["at"].alias("hi")))
     rows = materialise(seq.select("rid", "id", F.explode(windows).alias("x")).select("rid", "id", "x.*"), "windows")
     # Fingerprint places that occur once only need no comparison.
