@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import id_text
+from .common import id_text, materialise
 
 WINDOW = 8
 #: Words of a window that must not be placeholders.
@@ -44,16 +44,22 @@ NUMBER = re.compile(r"[+-]?[0-9][0-9.,:/]*%?")
 NAME, NUM, UNIT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
+TITLE, IS_NUM, IS_UNIT, END, REAL = (np.uint64(1 << k) for k in range(5))
+LITERAL = np.uint64((1 << 64) - (1 << 5))
+
+
 class _Tokens(dict):
-    """A raw word to (hash of its literal, is title-case, is a number, is a unit, ends a sentence, has letters or digits)."""
+    """A raw word to one number: a hash of its literal, and in the low bits whether it is title-case,
+    a number, a unit, ends a sentence, has letters or digits."""
 
     def __missing__(self, raw):
         import xxhash
         word = raw.decode()
         core = word.strip("\"'`()[]{}<>.,;:!?…“”‘’«»¿¡*_#-–—/\\|~=+&@^$")
         low = core.lower()
-        found = (xxhash.xxh3_64_intdigest(low.encode()), core[:1].isupper() and core[1:].islower(), bool(NUMBER.fullmatch(core)),
-                 low in UNITS, word.rstrip("\"')]}”’»").endswith((".", "!", "?", "…")), bool(core))
+        flags = (core[:1].isupper() and core[1:].islower(), NUMBER.fullmatch(core), low in UNITS,
+                 word.rstrip("\"')]}”’»").endswith((".", "!", "?", "…")), core)
+        found = xxhash.xxh3_64_intdigest(low.encode()) & int(LITERAL) | sum(bool(f) << k for k, f in enumerate(flags))
         if len(self) < WORDS_KEPT and len(raw) <= 48:
             self[raw] = found
         return found
@@ -67,13 +73,15 @@ def _tokens():
 def template(data: bytes):
     """(raw words, template hashes, slot flags) of UTF-8 text."""
     words = data.split()
-    if not words:
-        return [], np.zeros(0, np.uint64), np.zeros(0, bool)
-    lit, title, num, unit, end, real = zip(*map(_tokens().__getitem__, words), strict=True)
-    lit, title, num, unit, end, real = np.array(lit, np.uint64), *(np.array(x) for x in (title, num, unit, end, real))
-    name = title & ~np.concatenate([[True], end[:-1]])
-    unit = unit & np.concatenate([[False], num[:-1]])
-    out = np.where(num, NUM, np.where(unit, UNIT, np.where(name, NAME, lit)))
+    code = np.fromiter(map(_tokens().__getitem__, words), np.uint64, len(words))
+    num, end, real = code & IS_NUM != 0, code & END != 0, code & REAL != 0
+    name, unit = code & TITLE != 0, code & IS_UNIT != 0
+    if len(words):
+        name[0] = unit[0] = False
+    name[1:] &= ~end[:-1]
+    unit[1:] &= num[:-1]
+    out = code & LITERAL
+    out[name], out[unit], out[num] = NAME, UNIT, NUM
     slot = num | unit | name
     if not real.all():  # words of punctuation alone
         words = [w for w, r in zip(words, real.tolist(), strict=True) if r]
@@ -165,13 +173,13 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """
     spark = docs.sparkSession
     ship_package(spark)
-    bench = id_text(benchmark, item_id, item_text, binary=True).mapInArrow(_bench(window, literals, least), BENCH)
+    bench = materialise(id_text(benchmark, item_id, item_text, binary=True).mapInArrow(_bench(window, literals, least), BENCH), "items")
     sizes = [r["size"] for r in bench.select("size").distinct().collect()]  # at most `window` numbers
     keys = bench.select("h").distinct().limit(max_sent + 1).toArrow().column("h").to_numpy()
     sent = None if len(keys) > max_sent or not len(keys) else spark.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
     texts = id_text(docs, id_col, text_col, binary=True).select("id", F.xxhash64("text").alias("th"), "text")
     hits = texts.mapInArrow(_windows(sizes, sent), HITS)
-    found = hits.join(bench, "h").withColumn("apart", F.col("dpos") - F.col("ipos"))
+    found = materialise(hits.join(bench, "h").withColumn("apart", F.col("dpos") - F.col("ipos")), "matches")
     one = ["rid", "id", "th", "item_id", "apart"]
     pairs = found.select(*one, "ipos", F.explode_outer(F.arrays_zip(F.col("islots").alias("i"), F.col("dslots").alias("d"))).alias("p"))
     words = pairs.groupBy(*one, F.col("p.i").alias("word")).agg(
