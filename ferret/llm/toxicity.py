@@ -5,8 +5,9 @@ A text's features are the distinct character n-grams of its lower-cased UTF-8 by
 toxic and clean training texts, and a logistic regression is trained on the scaled features.
 
 Training fits on a bounded sample (``MAX_PER_CLASS`` labelled rows of either class, those
-with the least key hash; the class shares of all labelled rows set the intercept). Its
-features come from Spark tasks; the driver holds only the sample's feature hashes. Scoring
+with the least key hash; the class shares of all labelled rows set the intercept). Spark
+counts its features and selects the ``MAX_FEATURES`` that tell the classes apart best; the
+driver holds those and, for each sampled text, the places of the ones it has. Scoring
 runs over all rows in one pass without a shuffle; the model (at most ``MAX_FEATURES``
 hashes and weights) is broadcast.
 """
@@ -22,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import id_text
+from .common import id_text, materialise
 
 #: n-gram lengths in bytes.
 ORDERS = (4, 5, 6, 8)
-MAX_PER_CLASS = 3000
+MAX_PER_CLASS = 1500
 MAX_FEATURES = 30_000
 #: A feature occurs in so many sampled texts at least.
 MIN_TEXTS = 4
@@ -95,52 +96,57 @@ class Model:
             np.add.at(total, pairs // len(self.features), self.weights[pairs % len(self.features)])
 
 
-def _features(batches):
-    for b in batches:
-        sets = []
-        for t in b.column("text").to_pylist():
-            h = ngram_hashes(normal(t))
-            sets.append(np.unique(np.concatenate(h)).tobytes() if h else b"")
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(sets, pa.binary())], ["id", "label", "grams"])
+def _distinct(text: str) -> np.ndarray:
+    h = ngram_hashes(normal(text))
+    return np.unique(np.concatenate(h)) if h else np.zeros(0, np.uint32)
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, share: float, steps: int = 300, l2: float = 1e-3) -> Model:
-    """The model of sampled feature sets; share: of label 1 among all labelled rows."""
-    every, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint32), np.zeros(0, int))
-    every = every[counts >= MIN_TEXTS]
+def _frequencies(batches):
+    """Per feature the texts of a task that have it, by label."""
+    found: dict = {0: [], 1: []}
+    for b in batches:
+        for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
+            found[label].append(_distinct(text))
+    for label, sets in found.items():
+        if sets:
+            f, n = np.unique(np.concatenate(sets), return_counts=True)
+            for lo in range(0, len(f), 100_000):
+                part = n[lo:lo + 100_000].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(f[lo:lo + 100_000].astype(np.int64)), pa.array(part * label), pa.array(part * (1 - label))], ["f", "pos", "neg"])
+
+
+def _present(features):
+    """The places in ``features`` of those that each text has."""
+    def run(batches):
+        for b in batches:
+            places = []
+            for text in b.column("text").to_pylist():
+                s = _distinct(text)
+                at = np.minimum(np.searchsorted(features, s), len(features) - 1)
+                places.append(at[features[at] == s].astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(places, pa.binary())], ["label", "places"])
+    return run
+
+
+def fit(features: np.ndarray, ratio: np.ndarray, places: list[np.ndarray], labels: np.ndarray, share: float, steps: int = 300, l2: float = 1e-3) -> Model:
+    """Logistic regression on scaled features. places: for each sampled text the features it
+    has; share: of label 1 among all labelled rows."""
     pos = int(labels.sum())
     neg = len(labels) - pos
     prior = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
-    if not len(every) or not pos or not neg:  # nothing to tell the classes apart
+    if not len(features) or not pos or not neg:  # nothing to tell the classes apart
         return Model(np.zeros(1, np.uint32), np.zeros(1), float(prior))
-    rows, cols = [], []
-    for i, s in enumerate(sets):
-        f = np.minimum(np.searchsorted(every, s), len(every) - 1)
-        f = f[every[f] == s]
-        rows.append(np.full(len(f), i, np.int32))
-        cols.append(f.astype(np.int32))
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    del rows, cols
-    with_pos = np.bincount(col, labels[row], len(every))
-    with_neg = np.bincount(col, minlength=len(every)) - with_pos
-    ratio = np.log((with_pos + 1) / (pos + 2)) - np.log((with_neg + 1) / (neg + 2))
-    # How much of the classes' difference a feature tells: its ratio times its frequency difference.
-    telling = ratio * (with_pos / pos - with_neg / neg)
-    kept = np.sort(np.argsort(-telling, kind="stable")[:MAX_FEATURES])
-    place = np.full(len(every), -1)
-    place[kept] = np.arange(len(kept))
-    inside = place[col] >= 0
-    row, col, r = row[inside], place[col[inside]], ratio[kept]
-    w, b = np.zeros(len(kept)), 0.0
-    m, s = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    row, col = np.repeat(np.arange(len(places)), [len(p) for p in places]), np.concatenate(places)
+    w, b = np.zeros(len(features)), 0.0
+    m, s = np.zeros(len(features) + 1), np.zeros(len(features) + 1)
     for step in range(1, steps + 1):  # Adam on the whole sample
-        z = np.bincount(row, (w * r)[col], len(labels)) + b
+        z = np.bincount(row, (w * ratio)[col], len(labels)) + b
         e = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels
-        g = np.append(np.bincount(col, e[row], len(kept)) * r / len(labels) + l2 * w, e.mean())
+        g = np.append(np.bincount(col, e[row], len(features)) * ratio / len(labels) + l2 * w, e.mean())
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         d = 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-8)
         w, b = w - d[:-1], b - d[-1]
-    return Model(every[kept], w * r, float(b + prior - np.log(pos / neg)))
+    return Model(features, w * ratio, float(b + prior - np.log(pos / neg)))
 
 
 def fold(id_col: Column) -> Column:
@@ -160,10 +166,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = F.xxhash64("id")
     chosen = marked.where("label = 1").orderBy(order, "id").limit(MAX_PER_CLASS).unionByName(
         marked.where("label = 0").orderBy(order, "id").limit(MAX_PER_CLASS))
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("id", "label", "text") \
-        .mapInArrow(_features, "id long, label int, grams binary").dropDuplicates(["id"]).toArrow()
-    sets = [np.frombuffer(g, np.uint32) for g in rows.column("grams").to_pylist()]
-    return fit(sets, np.array(rows.column("label").to_pylist(), np.float64), share)
+    sample = materialise(id_text(docs, id_col, text_col).join(F.broadcast(chosen), "id").groupBy("id").agg(
+        F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text"), "sample")
+    of_sample = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pos, neg = of_sample.get(1, 0), of_sample.get(0, 0)
+    counts = sample.mapInArrow(_frequencies, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # How much of the classes' difference a feature tells: its log ratio times its frequency difference.
+    ratio = F.log((F.col("pos") + 1) / F.lit(pos + 2.0)) - F.log((F.col("neg") + 1) / F.lit(neg + 2.0))
+    best = counts.where(F.col("pos") + F.col("neg") >= MIN_TEXTS).withColumn("ratio", ratio).orderBy(
+        F.desc(F.col("ratio") * (F.col("pos") / F.lit(max(pos, 1)) - F.col("neg") / F.lit(max(neg, 1)))), "f").limit(MAX_FEATURES).select("f", "ratio").toArrow()
+    order = np.argsort(best.column("f").to_numpy())
+    features = best.column("f").to_numpy()[order].astype(np.uint32)
+    if not len(features) or not pos or not neg:
+        return fit(features, np.zeros(0), [], np.zeros(0), share)
+    rows = sample.mapInArrow(_present(features), "label int, places binary").toArrow()
+    places = [np.frombuffer(p, np.int32) for p in rows.column("places").to_pylist()]
+    return fit(features, best.column("ratio").to_numpy()[order], places, np.array(rows.column("label").to_pylist(), np.float64), share)
 
 
 def scorer(spark, model: Model):
