@@ -76,7 +76,7 @@ class Bpe:
             return self.tok.encode(word, add_special_tokens=False).ids
         return [i for p in SPACELESS.findall(word.lower()) for i in self._pretoken_ids(p)]
 
-    @lru_cache(maxsize=400_000)  # noqa: B019  one instance per worker and file
+    @lru_cache(maxsize=150_000)  # noqa: B019  one instance per worker and file
     def _pretoken_ids(self, pretoken: str) -> tuple[int, ...]:
         return tuple(t.id for t in self.pieces(pretoken))
 

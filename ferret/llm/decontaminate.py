@@ -33,7 +33,7 @@ LITERALS = 5
 #: An item with fewer template tokens is too general to look for.
 LEAST_TOKENS = 4
 MAX_SENT = 2_000_000
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 
 # Units of measure that a number is followed by.
 UNITS = frozenset("""mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz ton tons tonnes

@@ -34,7 +34,7 @@ from .components import components
 WORDS, BANDS, ROWS = 5, 32, 4
 COORDINATES = BANDS * ROWS
 BLOCK = 1024
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 OUT_BYTES = 16 << 20
 
 

@@ -26,7 +26,7 @@ from .common import id_text, materialise
 SEQUENCE = 2048
 END_ID = 1
 #: Words kept per worker; beyond that, new words are encoded each time (same ids).
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 400_000
 OUT_BYTES = 16 << 20
 
 
