@@ -63,6 +63,8 @@ class Model:
     features: np.ndarray  # sorted hashes
     weights: np.ndarray
     intercept: float
+    #: Log odds of label 1 among all labelled rows: what a text without any feature gets.
+    prior: float
 
     def __post_init__(self):
         self.flags = np.zeros(1 << 20, np.bool_)  # passes few other hashes to the exact search
@@ -70,7 +72,7 @@ class Model:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probability of label 1 for each text; texts are read in runs of about CHUNK bytes."""
-        total = np.full(len(texts), self.intercept)
+        total, seen = np.full(len(texts), self.intercept), np.zeros(len(texts), bool)
         run, starts, first, size = [], [], 0, 0
         for i, t in enumerate(texts):
             data = normal(t)
@@ -78,11 +80,11 @@ class Model:
             starts.append(size)
             size += len(data) + len(GAP)
             if size >= CHUNK or i == len(texts) - 1:
-                self._add(GAP.join(run), np.array(starts), total[first:i + 1])
+                self._add(GAP.join(run), np.array(starts), total[first:i + 1], seen[first:i + 1])
                 run, starts, first, size = [], [], i + 1, 0
-        return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(np.where(seen, total, self.prior), -40, 40)))
 
-    def _add(self, data, starts, total):
+    def _add(self, data, starts, total, seen):
         docs, found = [], []
         for h in ngram_hashes(data):
             at = np.flatnonzero(self.flags[h >> np.uint32(12)])
@@ -94,6 +96,7 @@ class Model:
         if docs:
             pairs = np.unique(np.concatenate(docs) * np.int64(len(self.features)) + np.concatenate(found))
             np.add.at(total, pairs // len(self.features), self.weights[pairs % len(self.features)])
+            seen[pairs // len(self.features)] = True
 
 
 def _distinct(text: str) -> np.ndarray:
@@ -135,7 +138,7 @@ def fit(features: np.ndarray, ratio: np.ndarray, places: list[np.ndarray], label
     neg = len(labels) - pos
     prior = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
     if not len(features) or not pos or not neg:  # nothing to tell the classes apart
-        return Model(np.zeros(1, np.uint32), np.zeros(1), float(prior))
+        return Model(np.zeros(1, np.uint32), np.zeros(1), float(prior), float(prior))
     row, col = np.repeat(np.arange(len(places)), [len(p) for p in places]), np.concatenate(places)
     w, b = np.zeros(len(features)), 0.0
     m, s = np.zeros(len(features) + 1), np.zeros(len(features) + 1)
@@ -146,7 +149,7 @@ def fit(features: np.ndarray, ratio: np.ndarray, places: list[np.ndarray], label
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         d = 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-8)
         w, b = w - d[:-1], b - d[-1]
-    return Model(features, w * ratio, float(b + prior - np.log(pos / neg)))
+    return Model(features, w * ratio, float(b + prior - np.log(pos / neg)), float(prior))
 
 
 def fold(id_col: Column) -> Column:
@@ -198,8 +201,8 @@ def scorer(spark, model: Model):
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= cut), a row per input row.
 
-    Only the text decides a score. Null and empty texts get the score of a text without features,
-    repeated rows the same score each; an empty table gives no rows, and without labels of
+    Only the text decides a score. Null, empty and other texts without any of the model's features get the share of
+    label 1 among the labelled rows as their score, repeated rows the same score each; an empty table gives no rows, and without labels of
     both classes every row has the same low score.
     """
     score = scorer(docs.sparkSession, train(docs, labels, id_col, text_col, label_col))
