@@ -4,7 +4,7 @@ Each task splits its documents into pre-tokens and emits, per chunk of documents
 per distinct pre-token: the documents of the chunk that hold it and how often. Rows are
 dealt out by pre-token, so every distinct pre-token meets its frequencies in one place; it is
 run through the merges once, and its piece count times each frequency goes back to the
-documents as partial sums. Token ids never exist. A pre-token held by thousands of documents
+documents as partial sums, packed per chunk. Token ids never exist. A pre-token held by thousands of documents
 of a chunk is salted by chunk, so a common word is spread over up to ``SALTS`` tasks.
 """
 
@@ -27,7 +27,8 @@ HOT_DOCS, SALTS = 4096, 64
 OUT_ROWS, HELD_SUMS = 50_000, 2_000_000
 
 FREQUENCIES = "pretoken string, salt long, chunk long, postings binary"
-PARTIALS = "doc long, id long, n_bytes long, n_tokens long"
+PARTIALS = "chunk long, documents binary, sums binary"
+COUNTS = "doc_id long, n_bytes long, n_tokens long"
 
 
 class _Index(dict):
@@ -98,8 +99,8 @@ def _pieces(path):
         more: list = []
         for batch in batches:
             meta = batch.filter(batch.column("pretoken").is_null())
-            for chunk, raw in zip(meta.column("chunk").to_pylist(), meta.column("postings").to_pylist(), strict=True):
-                yield _documents(chunk, np.frombuffer(raw, "<i8").reshape(-1, 4))
+            if meta.num_rows:
+                yield pa.RecordBatch.from_arrays([meta.column("chunk"), meta.column("postings"), pa.nulls(meta.num_rows, pa.binary())], ["chunk", "documents", "sums"])
             batch = batch.filter(batch.column("pretoken").is_valid())
             if not batch.num_rows:
                 continue
@@ -133,16 +134,35 @@ def _reduce(found):
 
 
 def _sums(keys, sums):
-    for lo in range(0, len(keys), OUT_ROWS):
-        k = keys[lo:lo + OUT_ROWS]
-        none = pa.nulls(len(k), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(k), none, none, pa.array(sums[lo:lo + OUT_ROWS])], ["doc", "id", "n_bytes", "n_tokens"])
-
-
-def _documents(chunk, rows):
-    doc = chunk << 16 | np.arange(len(rows))
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(rows[:, 0], mask=rows[:, 1] == 1), pa.array(rows[:, 2]), pa.array(rows[:, 3])],
-                                      ["doc", "id", "n_bytes", "n_tokens"])
+    """One row per chunk: its documents' places and sums."""
+    if len(keys):
+        cuts = np.flatnonzero(np.diff(keys >> 16)) + 1
+        chunks = (keys >> 16)[np.concatenate([[0], cuts])]
+        packed = [np.stack([k & 0xFFFF, n], 1).astype("<i8").tobytes() for k, n in zip(np.split(keys, cuts), np.split(sums, cuts), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.nulls(len(chunks), pa.binary()), pa.array(packed, pa.binary())], ["chunk", "documents", "sums"])
+
+
+def _total(batches):
+    """Documents with their counts, from rows sorted by chunk."""
+    now, docs, total = None, None, None
+    for b in batches:
+        for chunk, meta, raw in zip(*(b.column(c).to_pylist() for c in ("chunk", "documents", "sums")), strict=True):
+            if chunk != now:
+                if now is not None:
+                    yield _documents(docs, total)
+                now, docs, total = chunk, None, np.zeros(CHUNK_DOCS, np.int64)
+            if meta is not None:
+                docs = np.frombuffer(meta, "<i8").reshape(-1, 4)
+            else:
+                pairs = np.frombuffer(raw, "<i8").reshape(-1, 2)
+                total[pairs[:, 0]] += pairs[:, 1]
+    if now is not None:
+        yield _documents(docs, total)
+
+
+def _documents(rows, total):
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0], mask=rows[:, 1] == 1), pa.array(rows[:, 2]), pa.array(rows[:, 3] + total[:len(rows)])],
+                                      ["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id",
@@ -157,5 +177,5 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col:
     ship_package(docs.sparkSession)
     rows = id_text(docs, id_col, text_col, binary=True).mapInArrow(_frequencies(tokenizer), FREQUENCIES)
     parts = rows.repartition("pretoken", "salt").sortWithinPartitions("pretoken").mapInArrow(_pieces(tokenizer), PARTIALS)
-    sums = parts.groupBy("doc").agg(F.max("id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
-    return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_total, COUNTS)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
