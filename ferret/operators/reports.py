@@ -92,7 +92,8 @@ def frontier_stats(pending: DataFrame, seen: DataFrame, visited: DataFrame, n_wo
 def requests_by_endpoint(log: DataFrame, endpoint_col: str = "endpoint") -> DataFrame:
     """request lines counted by endpoint, descending."""
     return (log.groupBy(F.col(endpoint_col).alias("endpoint"))
-            .agg(F.count(F.lit(1)).alias("requests")))
+            .agg(F.count(F.lit(1)).alias("requests"))
+            .orderBy(F.desc("requests"), "endpoint"))
 
 
 def document_size(resources: DataFrame, field: str = "content") -> DataFrame:
