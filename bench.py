@@ -87,13 +87,13 @@ def jobs(spark, sf_dir, scratch, times, counts):
     tables = S.read_search_tables(spark, index_dir)
     timed("search", lambda: run(S.search_batch(tables, res, qry)["hits"]))
     timed("snapshot", lambda: run(S.snapshot_search(tables, res, qry)))
-    labels = A.label_updates(read_table(spark, sf_dir, "labels"), read_table(spark, sf_dir, "documents"))
+    labels = A.label_updates(read_table(spark, sf_dir, "labels"))
     timed("upsert", lambda: K.upsert_resources(K.dedupe_resources(res), labels)
           .write.mode("overwrite").parquet(os.path.join(scratch, "resources_v1")))
     recs = res.select(F.col("doc_id").alias("record_id"),
                       F.lower(F.concat_ws(" ", "title", "description")).alias("text"))
-    timed("percolate", lambda: run(percolate(recs, A.read_queries(spark, sf_dir, n_words=2))))
-    links = A.lineitem_links(read_table(spark, sf_dir, "lineitem"), 500)
+    timed("percolate", lambda: run(percolate(recs, A.read_queries(spark, sf_dir))))
+    links = A.lineitem_links(read_table(spark, sf_dir, "lineitem"))
     seeds = read_table(spark, sf_dir, "nation").select(
         F.concat(F.lit("https://n.example.com/"), F.col("n_nationkey").cast("string")).alias("url"))
     timed("reachable", lambda: run(G.reachable(seeds, links)))

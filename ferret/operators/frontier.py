@@ -65,9 +65,10 @@ def md5_mod(url, n: int) -> Column:
     return acc
 
 
-def assign_worker(pending: DataFrame, workers: list[str], window: int = rules.DISTRIBUTE_WINDOW) -> DataFrame:
-    """The first ``window`` pending URLs (FIFO) get a worker by md5(url) mod n."""
-    first = pending.orderBy(*FIFO).limit(window)
+def assign_worker(pending: DataFrame, workers: list[str], window: int | None = None) -> DataFrame:
+    """Every pending URL gets a worker by md5(url) mod n; with ``window``, only the first
+    so many in FIFO order (one round; the others stay pending)."""
+    first = pending if window is None else pending.orderBy(*FIFO).limit(window)
     idx = md5_mod("url", len(workers))
     arr = F.array(*[F.lit(w) for w in workers])
     return first.withColumn("worker", F.element_at(arr, (idx + 1).cast("int")))
@@ -116,13 +117,13 @@ def link_table(pages: DataFrame, mode: str = "broad", query: str | None = None,
 
 
 def reachable(seeds: DataFrame, links: DataFrame, max_depth: int = rules.DEPTH_LIMIT,
-              max_pages: int = rules.MAX_PAGES) -> DataFrame:
+              max_pages: int | None = None) -> DataFrame:
     """Hop-limited expansion from ``seeds`` (url) over ``links`` (src_url, dst_url).
 
     One join per hop against the not-yet-visited set; each hop's result is
     checkpointed to the shared checkpoint folder so lineage stays short and a lost
-    executor recomputes at most one hop. Returns (url, depth) with at most
-    ``max_pages`` rows, chosen by (depth, url).
+    executor recomputes at most one hop. Returns (url, depth) of every reached page;
+    with ``max_pages``, the first so many by (depth, url).
     """
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from .. import rules
 from ..functions.text import HTML_ENTITIES, TOKEN_PATTERN, WS_RUN
-from ..sources.adapters import ADAPTER_TYPES, URL_SLOTS
+from ..sources.adapters import ADAPTER_TYPES, REPEAT_EVERY
 from ..operators.search import B, K1
 
 
@@ -53,8 +53,8 @@ def D(x) -> str:
 
 def doc_url(alias: str = "") -> str:
     a = f"{alias}." if alias else ""
-    return (f"'https://' || {a}source || '.example.com/' || {a}lang || '/' || "
-            f"CAST({a}doc_id % {URL_SLOTS} AS VARCHAR)")
+    return (f"'https://www.example.com/' || CAST({a}doc_id - "
+            f"CASE WHEN {a}doc_id % {REPEAT_EVERY} = {REPEAT_EVERY - 1} THEN 1 ELSE 0 END AS VARCHAR)")
 
 
 RESOURCES = f"""
@@ -64,7 +64,7 @@ res0 AS (
 ),
 res AS (
   SELECT doc_id, md5(url) AS resource_id, url, title0 AS title,
-         nullif(substr(text, length(title0) + 2, 200), '') AS description,
+         nullif(substr(text, length(title0) + 2), '') AS description,
          text AS content, CAST([] AS VARCHAR[]) AS code_snippets, CAST(NULL AS VARCHAR) AS tags,
          source AS domain, {lst(ADAPTER_TYPES)}[doc_id % 5 + 1] AS type,
          [lang] AS languages, CAST(NULL AS VARCHAR) AS language,
@@ -75,13 +75,12 @@ res AS (
 )"""
 
 
-def queries(type_=None, language=None, page=0, size=10, n_words=3) -> str:
+def queries(type_=None, language=None, page=0, size=10) -> str:
     t = "CAST(NULL AS VARCHAR)" if type_ is None else lit(type_)
     lg = "CAST(NULL AS VARCHAR)" if language is None else lit(language)
     return f"""
 qry AS (
-  SELECT item_id AS query_id,
-         array_to_string(regexp_split_to_array(text, {lit(WS_RUN)})[1:{n_words}], ' ') AS q,
+  SELECT item_id AS query_id, text AS q,
          {t} AS type, {lg} AS language, {page} AS page, {size} AS size
   FROM benchmark
 )"""

@@ -378,9 +378,13 @@ def d10_default_quality(spark, sf_dir):
     return doc_res(spark, sf_dir).select("doc_id", D.default_quality().alias("quality_score"))
 
 
-@register("d11_stamp", None)
+STAMP = "2024-02-01 12:00:00"
+
+
+@register("d11_stamp", O.with_(O.RESOURCES) + f"""
+SELECT doc_id, TIMESTAMP '{STAMP}' AS indexed_date FROM res""")
 def d11_stamp(spark, sf_dir):
-    return doc_res(spark, sf_dir).select("doc_id", D.stamp().alias("indexed_date"))
+    return doc_res(spark, sf_dir).select("doc_id", D.stamp(STAMP).alias("indexed_date"))
 
 
 @register("d12_resource_id", O.with_(O.WIDE_PAGES) + """

@@ -198,7 +198,7 @@ def e08_highlight(spark, sf_dir):
     return S.highlights(page, res, qry)
 
 
-@register("e14_low_result_queries", O.with_(O.RESOURCES, O.queries(), O.index(), O.QTERMS,
+@register("e14_low_result_queries", O.with_(O.RESOURCES, O.queries(type_="video", language="es"), O.index(), O.QTERMS,
                                             O.match_scores(), O.MATCHES) + f"""
 SELECT q.query_id, q.q, CAST(coalesce(t.total, 0) AS BIGINT) AS total, md5('crawl:' || q.q) AS job_id,
        {O.lit(S.rules.LOW_RESULT_MESSAGE)} AS message,
@@ -207,5 +207,5 @@ FROM qry q LEFT JOIN (SELECT query_id, count(*) AS total FROM matches GROUP BY q
   ON q.query_id = t.query_id
 WHERE q.page = 0 AND coalesce(t.total, 0) < {S.rules.LOW_RESULT_THRESHOLD}""")
 def e14_low_result_queries(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir)
+    res, qry, t = _search_inputs(spark, sf_dir, type_="video", language="es")
     return S.low_result_queries(S.search_batch(t, res, qry)["totals"], qry)

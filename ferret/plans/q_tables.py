@@ -30,9 +30,10 @@ ex AS (
 
 LABEL_UPDATES = f"""
 inc0 AS (
-  SELECT l.doc_id AS load_seq, {O.doc_url('d')} AS url, CAST(l.quality AS DOUBLE) AS quality_score,
+  SELECT l.doc_id AS load_seq, CAST(l.quality AS DOUBLE) AS quality_score,
+         {O.doc_url('l')} || CASE WHEN l.doc_id % {A.NEW_EVERY} = 0 THEN '/new' ELSE '' END AS url,
          CASE WHEN l.toxic = 0 THEN 'tutorial' END AS type
-  FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+  FROM labels l
 ),
 inc AS (
   SELECT * EXCLUDE (_r) FROM (
@@ -76,7 +77,7 @@ def deduped(spark, sf_dir):
 
 
 def label_updates(spark, sf_dir):
-    return A.label_updates(read_table(spark, sf_dir, "labels"), read_table(spark, sf_dir, "documents"))
+    return A.label_updates(read_table(spark, sf_dir, "labels"))
 
 
 def conv_items(spark, sf_dir):
@@ -297,17 +298,18 @@ def g02_mark_visited(spark, sf_dir):
 SELECT url, md5(url) AS url_hash, pos FROM (
   SELECT unnest({O.lst(rules.DEFAULT_START_URLS_DISTRIBUTED)}) AS url,
          unnest(range({len(rules.DEFAULT_START_URLS_DISTRIBUTED)})) AS pos)
-WHERE NOT EXISTS (SELECT 1 FROM pending) AND NOT EXISTS (SELECT 1 FROM seen)
-  AND md5(url) NOT IN (SELECT url_hash FROM seen)""")
+WHERE NOT EXISTS (SELECT 1 FROM pending WHERE md5(url) NOT IN (SELECT md5(url) FROM lnk))""")
 def g03_seed_if_empty(spark, sf_dir):
-    pending, seen, _ = frontier(spark, sf_dir)
+    """The frontier of the next crawl, when every link of the pages has been visited."""
+    links, _, visited = frontier(spark, sf_dir)
+    pending, seen = G.enqueue(None, None, G.mark_visited(visited, links), links.select("url", "src_seq", "pos"), batch=2)
     return G.seed_if_empty(pending, seen, G.seed_table(spark)).select("url", "url_hash", "pos")
 
 
 @register("g04_assign_worker", O.with_(O.WIDE_PAGES, _links_sql()) + f"""
 SELECT url, src_seq, pos, {O.lst(WORKERS)}[CAST(('0x' || md5(url))::UHUGEINT % {len(WORKERS)} AS INTEGER) + 1]
          AS worker
-FROM (SELECT * FROM pending ORDER BY batch, src_seq, pos LIMIT {rules.DISTRIBUTE_WINDOW})""")
+FROM pending""")
 def g04_assign_worker(spark, sf_dir):
     pending, _, _ = frontier(spark, sf_dir)
     return G.assign_worker(pending, WORKERS).select("url", "src_seq", "pos", "worker")
@@ -317,7 +319,7 @@ def g04_assign_worker(spark, sf_dir):
 SELECT url, worker, take FROM (
   SELECT *, row_number() OVER (PARTITION BY worker ORDER BY batch, src_seq, pos) AS take FROM (
     SELECT *, {O.lst(WORKERS)}[CAST(('0x' || md5(url))::UHUGEINT % {len(WORKERS)} AS INTEGER) + 1] AS worker
-    FROM (SELECT * FROM pending ORDER BY batch, src_seq, pos LIMIT {rules.DISTRIBUTE_WINDOW})))
+    FROM pending))
 WHERE take <= {rules.BATCH_SIZE}""")
 def g05_take_batch(spark, sf_dir):
     pending, _, _ = frontier(spark, sf_dir)
@@ -339,15 +341,18 @@ def g06_seed_urls_for_query(spark, sf_dir):
 
 @register("g07_choose_start_urls", O.with_(O.queries()) + f"""
 SELECT job_id, unnest(range(len(u))) AS pos, unnest(u) AS url FROM (
-  SELECT md5('crawl:' || q) AS job_id, {_templates_sql('q')} AS u FROM qry WHERE coalesce(q, '') <> ''
-  UNION ALL
-  SELECT md5('crawl:' || {O.lit(rules.DEFAULT_QUERY)}), {O.lst(rules.DEFAULT_START_URLS_BROAD)}
-  FROM qry WHERE coalesce(q, '') = '')""")
+  SELECT md5('crawl:' || CAST(query_id AS VARCHAR)) AS job_id,
+         CASE WHEN query_id % 3 = 1 THEN ['https://a.example.com/' || CAST(query_id AS VARCHAR), 'https://b.example.com/']
+              WHEN query_id % 3 = 2 OR coalesce(q, '') = '' THEN {O.lst(rules.DEFAULT_START_URLS_BROAD)}
+              ELSE {_templates_sql('q')} END AS u
+  FROM qry)""")
 def g07_choose_start_urls(spark, sf_dir):
     q = A.read_queries(spark, sf_dir)
-    jobs = q.select(F.md5(F.concat(F.lit("crawl:"), F.coalesce("q", F.lit(rules.DEFAULT_QUERY))))
-                    .alias("job_id"), F.col("q").alias("query"),
-                    F.lit(None).cast("string").alias("start_urls"))
+    key = F.col("query_id").cast("string")
+    given = F.concat(F.lit("https://a.example.com/"), key, F.lit(",https://b.example.com/"))
+    jobs = q.select(F.md5(F.concat(F.lit("crawl:"), key)).alias("job_id"),
+                    F.when(F.col("query_id") % 3 != 2, F.col("q")).alias("query"),
+                    F.when(F.col("query_id") % 3 == 1, given).alias("start_urls"))
     return G.choose_start_urls(jobs)
 
 
@@ -370,13 +375,10 @@ def g08_link_table_narrow(spark, sf_dir):
     return G.link_table(wide_pages(spark, sf_dir), "narrow", allowed_domains=["example.com", "github.com"])
 
 
-LINK_NODES = 500
-
-
 @register("g09_reachable", f"""
 WITH RECURSIVE edges AS (
-  SELECT DISTINCT 'https://n.example.com/' || CAST(l_orderkey % {LINK_NODES} AS VARCHAR) AS src,
-                  'https://n.example.com/' || CAST(l_partkey % {LINK_NODES} AS VARCHAR) AS dst
+  SELECT DISTINCT 'https://n.example.com/' || CAST(l_orderkey AS VARCHAR) AS src,
+                  'https://n.example.com/' || CAST(l_partkey AS VARCHAR) AS dst
   FROM lineitem
 ),
 r(url, depth) AS (
@@ -384,10 +386,9 @@ r(url, depth) AS (
   UNION
   SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.url WHERE r.depth < {rules.DEPTH_LIMIT}
 )
-SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY url
-ORDER BY depth, url LIMIT {rules.MAX_PAGES}""")
+SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY url""")
 def g09_reachable(spark, sf_dir):
-    links = A.lineitem_links(read_table(spark, sf_dir, "lineitem"), LINK_NODES)
+    links = A.lineitem_links(read_table(spark, sf_dir, "lineitem"))
     seeds = read_table(spark, sf_dir, "nation").select(
         F.concat(F.lit("https://n.example.com/"), F.col("n_nationkey").cast("string")).alias("url"))
     return G.reachable(seeds, links).select("url", F.col("depth").cast("int").alias("depth"))

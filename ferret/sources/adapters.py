@@ -15,23 +15,25 @@ from .tables import conform_resources, read_table
 # FIXED VALUES: resource type assigned from doc_id % 5 in the documents adapter.
 ADAPTER_TYPES = ["article", "tutorial", "video", "documentation", "repository"]
 BASE_TIME = "2024-01-01 00:00:00"
-# Documents share a URL when doc_id differs by a multiple of this, so URL
-# collapse and upsert-by-URL have duplicates to work on.
-URL_SLOTS = 900
+# Every so many documents one repeats the URL of the document before it, so URL
+# collapse and upsert-by-URL have duplicates to work on at every size.
+REPEAT_EVERY = 10
+# Every so many label updates one goes to a URL that no document has.
+NEW_EVERY = 7
 
 
-def doc_url(doc_id, source, lang):
-    return F.concat(F.lit("https://"), source, F.lit(".example.com/"), lang, F.lit("/"),
-                    (doc_id % URL_SLOTS).cast("string"))
+def doc_url(doc_id):
+    repeats = (doc_id % REPEAT_EVERY == REPEAT_EVERY - 1).cast("bigint")
+    return F.concat(F.lit("https://www.example.com/"), (doc_id - repeats).cast("string"))
 
 
 def documents_as_resources(documents: DataFrame) -> DataFrame:
     """documents -> resource rows (one per document, keyed by doc_id)."""
     d = documents
     title = F.substring_index(d.text, "\n", 1)
-    rest = F.substring(d.text, F.length(title) + 2, 200)
+    rest = F.substr(d.text, F.length(title) + 2)
     types = F.array(*[F.lit(t) for t in ADAPTER_TYPES])
-    url = doc_url(d.doc_id, d.source, d.lang)
+    url = doc_url(d.doc_id)
     out = d.select(
         d.doc_id,
         F.md5(url).alias("resource_id"),
@@ -55,13 +57,15 @@ def read_doc_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_as_resources(read_table(spark, sf_dir, "documents"))
 
 
-def benchmark_queries(benchmark: DataFrame, n_words: int = 3, type_=None, language=None,
+def benchmark_queries(benchmark: DataFrame, n_words: int | None = None, type_=None, language=None,
                       page: int = 0, size: int = 10) -> DataFrame:
-    """benchmark -> query table: the first ``n_words`` whitespace-separated words."""
-    words = F.slice(F.split(benchmark.text, WS_RUN), 1, n_words)
+    """benchmark -> query table: the whole text, or its first ``n_words`` words where given."""
+    q = benchmark.text
+    if n_words is not None:
+        q = F.array_join(F.slice(F.split(q, WS_RUN), 1, n_words), " ")
     return benchmark.select(
         benchmark.item_id.alias("query_id"),
-        F.array_join(words, " ").alias("q"),
+        q.alias("q"),
         F.lit(type_).cast("string").alias("type"),
         F.lit(language).cast("string").alias("language"),
         F.lit(page).cast("int").alias("page"),
@@ -73,19 +77,19 @@ def read_queries(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     return benchmark_queries(read_table(spark, sf_dir, "benchmark"), **kw)
 
 
-def label_updates(labels: DataFrame, documents: DataFrame) -> DataFrame:
+def label_updates(labels: DataFrame) -> DataFrame:
     """labels -> partial resource updates: url, quality_score and type only.
 
     A label of toxic=1 sets the type to NULL, so the NULL-overwrite rule of the
-    upsert is exercised on real rows.
+    upsert is exercised on real rows; one label in ``NEW_EVERY`` goes to a new URL.
     """
-    j = labels.join(documents.select("doc_id", "source", "lang"), "doc_id")
-    url = doc_url(j.doc_id, j.source, j.lang)
-    return j.select(
-        j.doc_id.alias("load_seq"),
-        url.alias("url"),
-        j.quality.cast("double").alias("quality_score"),
-        F.when(j.toxic == 0, F.lit("tutorial")).alias("type"),
+    l = labels
+    new = F.when(l.doc_id % NEW_EVERY == 0, F.lit("/new")).otherwise(F.lit(""))
+    return l.select(
+        l.doc_id.alias("load_seq"),
+        F.concat(doc_url(l.doc_id), new).alias("url"),
+        l.quality.cast("double").alias("quality_score"),
+        F.when(l.toxic == 0, F.lit("tutorial")).alias("type"),
     )
 
 
@@ -125,11 +129,11 @@ def widen_pages(pages: DataFrame) -> DataFrame:
                     F.concat(p.html, extra, extra2).alias("html"))
 
 
-def lineitem_links(lineitem: DataFrame, n_nodes: int = 500) -> DataFrame:
-    """lineitem -> a link table (src, dst) over ``n_nodes`` synthetic URLs, distinct."""
+def lineitem_links(lineitem: DataFrame) -> DataFrame:
+    """lineitem -> a link table (src, dst), distinct: the keys of orders and parts are nodes."""
     l = lineitem
-    src = F.concat(F.lit("https://n.example.com/"), (l.l_orderkey % n_nodes).cast("string"))
-    dst = F.concat(F.lit("https://n.example.com/"), (l.l_partkey % n_nodes).cast("string"))
+    src = F.concat(F.lit("https://n.example.com/"), l.l_orderkey.cast("string"))
+    dst = F.concat(F.lit("https://n.example.com/"), l.l_partkey.cast("string"))
     return l.select(src.alias("src_url"), dst.alias("dst_url")).distinct()
 
 

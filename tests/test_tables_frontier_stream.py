@@ -99,6 +99,23 @@ def test_percolate_equals_brute_force(spark):
     assert got == exp
 
 
+def test_percolate_counts_repeats_short_words_and_spans(spark):
+    recs = spark.createDataFrame([(0, "the cat the"), (1, "xaby b"), (2, ""), (3, None), (4, "ab\tcatalog THE")],
+                                 "record_id long, text string")
+    q = spark.createDataFrame([(1, "The the"), (2, "ab"), (3, "b b"), (4, "the dog"), (5, None), (6, "cat a")],
+                              "query_id long, q string")
+    got = {(r.record_id, r.query_id): r.score for r in percolate(recs, q).collect()}
+    # "the the" sums its word twice; (4, 6): cat 1, a in "ab" and twice in "catalog"
+    assert got == {(0, 1): 4, (1, 2): 1, (1, 3): 4, (4, 2): 1, (4, 3): 2, (0, 6): 2, (4, 6): 4}
+    assert percolate(recs, q.where("query_id > 99")).count() == 0
+
+
+def test_assign_worker_leaves_nothing_out(spark):
+    rows = spark.createDataFrame([(f"https://a/{i}", 1, i, 0) for i in range(300)], "url string, batch long, src_seq long, pos int")
+    assert G.assign_worker(rows, ["w0", "w1"]).count() == 300
+    assert G.assign_worker(rows, ["w0", "w1"], window=101).count() == 101
+
+
 def test_stream_dedupe_equals_batch(spark, tmp_path):
     from ferret.sources.adapters import events_feed
     from ferret.sources.tables import read_table, table_path

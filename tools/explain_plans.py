@@ -37,11 +37,11 @@ def main():
     out = S.search_batch(idx, res, qry)
     show("E18 search_batch hits over the stored index", out["hits"])
     show("E9 type facet", out["type_facet"])
-    labels = A.label_updates(read_table(spark, sf, "labels"), read_table(spark, sf, "documents"))
+    labels = A.label_updates(read_table(spark, sf, "labels"))
     show("A3 upsert_resources", K.upsert_resources(K.dedupe_resources(res), labels))
     recs = res.select(F.col("doc_id").alias("record_id"),
                       F.lower(F.concat_ws(" ", "title", "description")).alias("text"))
-    show("H3 percolate", percolate(recs, A.read_queries(spark, sf, n_words=2)))
+    show("H3 percolate", percolate(recs, A.read_queries(spark, sf)))
     pend = X.links(A.widen_pages(pages), resolve=True).select(
         F.col("link").alias("url"), F.col("page_id").alias("src_seq"), "pos", F.lit(1).alias("batch"))
     show("G5 take_batch", G.take_batch(G.assign_worker(pend, ["w0", "w1", "w2"])))
