@@ -35,17 +35,39 @@ KINDS = ("assign", "access", "hex", "entropy")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once: inside a lambda Spark computes an outer expression anew for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: array of (start, text). The text between two
-    matches and the matches themselves, taken in turn, give the offsets."""
+    matches and the matches themselves, taken in turn, give the offsets.
+
+    Offsets are sums over the pieces before a match, taken first over blocks of about the
+    square root of the matches, so a long text with many of them stays cheap."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, e: a + e)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    ends = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-    # One pass: the running end and the list of starts so far.
+
+    def placed(s):
+        ends = F.zip_with(F.slice(s["gaps"], 1, F.size(s["found"])), s["found"], lambda g, m: F.length(g) + F.length(m))
+        return bound(F.struct(s["found"].alias("found"), ends.alias("ends"), F.ceil(F.sqrt(F.size(s["found"]))).cast("int").alias("b")), based)
+
+    def based(s):
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(s["ends"]) - 1) / s["b"]).cast("int")), lambda j: total(F.slice(s["ends"], j * s["b"] + 1, s["b"])))
+        return bound(sums, lambda x: bound(F.struct(s["found"].alias("found"), s["ends"].alias("ends"), s["b"].alias("b"), F.transform(
+            x, lambda _, j: total(F.slice(x, 1, j))).alias("bases")), started))
+
+    def started(s):
+        def start(m, i):
+            block = F.floor(i / s["b"]).cast("int")
+            inside = total(F.slice(s["ends"], block * s["b"] + 1, i - block * s["b"] + 1))
+            return F.struct((F.element_at(s["bases"], block + 1) + inside - F.length(m)).alias("start"), m.alias("text"))
+        return F.transform(s["found"], start)
+
     none = F.array().cast("array<struct<start:int,text:string>>")
-    return F.when(F.size(found) == 0, none).otherwise(F.transform(
-        F.arrays_zip(found.alias("m"), F.sequence(F.lit(1), F.size(found)).alias("i")),
-        lambda x: F.struct((F.aggregate(F.slice(ends, 1, x["i"]), F.lit(0), lambda a, e: a + e) - F.length(x["m"])).alias("start"), x["m"].alias("text"))))
+    return bound(found, lambda f: F.when(F.size(f) == 0, none).otherwise(
+        bound(F.struct(f.alias("found"), F.split(text, pattern, -1).alias("gaps")), placed)))
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -80,12 +102,12 @@ def dense_stretch(text: Column) -> Column:
     at which entropy reaches the class's limit; null where no window does."""
     limit = F.when(text.rlike("^[0-9a-fA-F]+$"), LIMITS["hex"]).otherwise(LIMITS["mixed"])
     most = (math.log2(WINDOW) - limit) * WINDOW  # the sum of terms must not exceed this
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(text, i, F.lit(1)))
+    codes = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("sum"),
                     F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
-    def step(s, i):
-        new, old = at(i), F.when(i > WINDOW, at(i - WINDOW)).otherwise(F.lit(-1))
+    def step(at, s, i):
+        new, old = F.element_at(at, i), F.when(i > WINDOW, F.element_at(at, i - WINDOW)).otherwise(F.lit(-1))
         # counts after the old character left; then the new one enters
         c_old, c_new = F.element_at(s["counts"], F.greatest(old, F.lit(1))), F.element_at(s["counts"], new)
         c_mid = c_new - (old == new).cast("int")
@@ -95,7 +117,8 @@ def dense_stretch(text: Column) -> Column:
         return F.struct(counts.alias("counts"), total.alias("sum"), F.when(hit, F.coalesce(s["first"], i - WINDOW)).otherwise(s["first"]).alias("first"),
                         F.when(hit, i).otherwise(s["last"]).alias("last"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), zero, step, lambda s: F.when(s["first"].isNotNull(), F.struct(s["first"].alias("first"), s["last"].alias("last"))))
+    return bound(codes, lambda at: F.aggregate(F.sequence(F.lit(1), F.length(text)), zero, lambda s, i: step(at, s, i), lambda s: F.when(
+        s["first"].isNotNull(), F.struct(s["first"].alias("first"), s["last"].alias("last")))))
 
 
 def entropy_spans(text: Column) -> Column:
@@ -117,6 +140,16 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of the base spans (sorted by start, not empty). Base spans are held in blocks
+    of about the square root of their number; only blocks that reach a span are looked into."""
+    width = F.ceil(F.sqrt(F.size(base))).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(base) - 1) / width).cast("int")), lambda j: F.slice(base, j * width + 1, width))
+    blocks = F.transform(parts, lambda p: F.struct(p.alias("part"), F.element_at(p, 1)["start"].alias("start"), F.array_max(F.transform(p, lambda x: x["end"])).alias("end")))
+    meets = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
+    return bound(blocks, lambda every: F.filter(spans, lambda s: ~F.exists(every, lambda k: meets(k, s) & F.exists(k["part"], lambda x: meets(x, s)))))
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans, a row per input row.
 
@@ -130,6 +163,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", assign.alias("a"), access.alias("k"), hexes.alias("h"), entropy_spans(F.col("t")).alias("e"))
     base = F.array_sort(F.concat("a", "k", "h"))
     rows = rows.withColumn("base", base)
-    more = F.filter(F.col("e"), lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    rows = rows.withColumn("more", F.when((F.size("base") == 0) | (F.size("e") == 0), F.col("e")).otherwise(_apart(F.col("e"), F.col("base"))))
+    more = F.col("more")
     return rows.select("doc_id", F.size("a").cast("bigint").alias("n_assign"), F.size("k").cast("bigint").alias("n_access"), F.size("h").cast("bigint").alias("n_hex"),
                        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", more))).alias("spans"))
