@@ -59,6 +59,8 @@ def mark_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = docs.join(gone, "rid", "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed), lambda i: F.element_at(lines, i + 1)), "\n")
+    # The lines enter as a lambda's variable, else the text would be split anew for every line.
+    kept = F.element_at(F.transform(F.array(lines), lambda every: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(every) - 1), removed), lambda i: F.element_at(every, i + 1)), "\n")), 1)
     return out.select(F.col("id").alias("doc_id"), "text", F.size(lines).alias("n_lines"), F.array_sort(removed).alias("removed"),
                       F.when(F.size(removed) == 0, F.coalesce("text", F.lit(""))).otherwise(kept).alias("kept_text"))
