@@ -4,7 +4,7 @@ Each task splits its documents into pre-tokens and emits, per chunk of documents
 per distinct pre-token: the documents of the chunk that hold it and how often. Rows are
 dealt out by pre-token, so every distinct pre-token meets its frequencies in one place; it is
 run through the merges once, and its piece count times each frequency goes back to the
-documents as partial sums, packed per chunk. Token ids never exist. A pre-token held by thousands of documents
+documents as partial sums, packed per chunk. Token ids never exist. A pre-token held by hundreds of documents
 of a chunk is salted by chunk, so a common word is spread over up to ``SALTS`` tasks.
 """
 
@@ -23,7 +23,7 @@ from .common import id_text
 #: A chunk is closed at so many pre-tokens; it bounds a task's memory. Documents in a chunk
 #: are numbered in 16 bits.
 CHUNK_TOKENS, CHUNK_DOCS = 3_000_000, 1 << 16
-HOT_DOCS, SALTS = 4096, 64
+HOT_DOCS, SALTS = 512, 256
 OUT_ROWS, HELD_SUMS = 50_000, 2_000_000
 
 FREQUENCIES = "pretoken string, salt long, chunk long, postings binary"
