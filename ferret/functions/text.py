@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,9 +19,9 @@ WS_RUN = WS_CLASS + "+"
 # runs of letters, digits and underscore.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
 
-# FIXED VALUES: the HTML entities decoded in text and attribute values ("&amp;" last).
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                 ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# HTML character references: decimal, hexadecimal, and names from the standard library's table.
+REFERENCE_PATTERN = r"&(?:#[0-9]{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z][A-Za-z0-9]{1,9});"
+REFERENCE_NAMES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 
 NETLOC_PATTERN = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
 
@@ -40,11 +41,27 @@ def clean_text(c) -> Column:
     return F.coalesce(F.regexp_replace(squeezed, r"<[^>]+>", ""), F.lit(""))
 
 
+def _referenced(ref: Column) -> Column:
+    """The character of one reference; an unknown name stays as written."""
+    code = F.when(F.lower(F.substring(ref, 3, 1)) == "x", F.conv(F.substring(ref, F.lit(4), F.length(ref) - 4), 16, 10)) \
+        .otherwise(F.substring(ref, F.lit(3), F.length(ref) - 3)).cast("int")
+    names = F.str_to_map(F.lit("\n".join(f"{k}={v}" for k, v in REFERENCE_NAMES.items())), F.lit("\n"), F.lit("="))
+    named = F.element_at(names, F.substring(ref, F.lit(2), F.length(ref) - 2))
+    return F.when(F.substring(ref, 2, 1) == "#", F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")) \
+        .otherwise(F.coalesce(named, ref))
+
+
 def html_unescape(c) -> Column:
-    out = col_(c)
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """HTML character references decoded, each once ("&amp;lt;" becomes "&lt;")."""
+    text = col_(c)
+
+    def decode(t):
+        found = F.struct(F.regexp_extract_all(t, F.lit(REFERENCE_PATTERN), 0).alias("refs"),
+                         F.split(t, REFERENCE_PATTERN, -1).alias("pieces"))
+        return bind_once(found, lambda f: F.concat(F.element_at(f["pieces"], 1), F.array_join(F.zip_with(
+            f["refs"], F.slice(f["pieces"], 2, F.size(f["refs"])), lambda r, p: F.concat(_referenced(r), p)), "")))
+
+    return bind_once(text, lambda t: F.when(t.contains("&"), decode(t)).otherwise(t))
 
 
 def count_occurrences(text, term) -> Column:

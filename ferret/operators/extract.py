@@ -1,9 +1,8 @@
 """Page extraction (B1-B13): pages (page_id, url, html) -> resource rows.
 
 Single-tag fields are native regex expressions (functions.html). Tree-dependent
-fields come from one ``mapInPandas`` walk (functions.walk) over (page_id, html);
-its output is joined back on page_id, which both sides carry in the same order
-and partitioning (the walk is a narrow per-partition map).
+fields come from one ``mapInPandas`` walk (functions.walk) that passes url and html through,
+so the native fields follow in the same stage, without a join.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from . import predicates as C
 
 def title(html="html") -> Column:
     """B1: first <title> text, else first <h1> text."""
-    return F.coalesce(H.first_tag_text(html, "title"), H.first_tag_text(html, "h1"))
+    return F.coalesce(H.first_tag_text(html, "title"), H.own_text(html, "h1"))
 
 
 def meta_description(html="html") -> Column:

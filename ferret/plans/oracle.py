@@ -8,8 +8,8 @@ Literals are cast to DOUBLE so DuckDB never switches to DECIMAL arithmetic.
 from __future__ import annotations
 
 from .. import rules
-from ..functions.text import HTML_ENTITIES, TOKEN_PATTERN, WS_RUN
-from ..sources.adapters import ADAPTER_TYPES, REPEAT_EVERY
+from ..functions.text import REFERENCE_NAMES, REFERENCE_PATTERN, TOKEN_PATTERN, WS_RUN
+from ..sources.adapters import ADAPTER_TYPES, ODD_MARKUP, REPEAT_EVERY
 from ..operators.search import B, K1
 
 
@@ -32,11 +32,17 @@ def ordered_matches(expr: str, words) -> str:
     return f"list_filter([{items}], lambda x: x IS NOT NULL)"
 
 
+NAMED = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in REFERENCE_NAMES.items()) + "}"
+
+
 def unescape(expr: str) -> str:
-    out = expr
-    for ent, ch in HTML_ENTITIES:
-        out = f"replace({out}, {lit(ent)}, {lit(ch)})"
-    return out
+    pattern = lit(REFERENCE_PATTERN)
+    one = (f"CASE WHEN regexp_matches(z[1], '^&#[xX]') THEN chr(CAST('0x' || substr(z[1], 4, length(z[1]) - 4) AS INTEGER)) "
+           f"WHEN starts_with(z[1], '&#') THEN chr(CAST(substr(z[1], 3, length(z[1]) - 3) AS INTEGER)) "
+           f"ELSE coalesce({NAMED}[substr(z[1], 2, length(z[1]) - 2)], z[1]) END")
+    return (f"list_transform([{expr}], lambda e: CASE WHEN contains(e, '&') THEN regexp_split_to_array(e, {pattern})[1] || "
+            f"array_to_string(list_transform(list_zip(regexp_extract_all(e, {pattern}), regexp_split_to_array(e, {pattern})[2:]), "
+            f"lambda z: {one} || z[2]), '') ELSE e END)[1]")
 
 
 def squeeze(expr: str) -> str:
@@ -199,20 +205,34 @@ def first_tag_text(html: str, tag: str) -> str:
     return f"nullif({unescape(f'regexp_extract({html}, {lit(H.first_text_of(tag))}, 1)')}, '')"
 
 
+def own_text(html: str, tag: str) -> str:
+    left = f"regexp_replace(x, {lit(H.VOID_PATTERN)}, chr(1), 'g')"
+    for _ in range(H.NESTING):
+        left = f"regexp_replace({left}, {lit(H.CHILD_PATTERN)}, chr(1), 'g')"
+    found = f"regexp_extract_all({html}, {lit(H.element_pattern(tag))}, 1)"
+    texts = f"flatten(list_transform({found}, lambda x: regexp_split_to_array({left}, {lit(H.OWN_TEXT_SPLIT)})))"
+    return unescape(f"list_filter({texts}, lambda y: y <> '')[1]")
+
+
+def unquoted(value: str) -> str:
+    return f"(CASE WHEN regexp_matches({value}, '^[\"'']') THEN substr({value}, 2, length({value}) - 2) ELSE {value} END)"
+
+
 def meta_content(html: str, name: str) -> str:
     tag = f"regexp_extract({html}, {lit(H.meta_tag_pattern(name))}, 0)"
-    val = unescape(f"regexp_extract({tag}, {lit(H.CONTENT_ATTR)}, 1)")
-    return f"(CASE WHEN regexp_extract({tag}, {lit(H.CONTENT_ATTR)}, 0) <> '' THEN {val} END)"
+    value = f"nullif(regexp_extract({tag}, {lit(H.CONTENT_ATTR)}, 1), '')"
+    return unescape(f"list_transform([{value}], lambda v: {unquoted('v')})[1]")
 
 
 def body_text(html: str) -> str:
-    body = f"regexp_extract({html}, {lit(H.BODY_PATTERN)}, 1)"
+    rest = f"regexp_replace(regexp_replace({html}, {lit(H.HEAD_PATTERN)}, ''), {lit(H.TITLE_PATTERN)}, '', 'g')"
+    body = f"CASE WHEN regexp_matches({html}, {lit(H.HAS_BODY_PATTERN)}) THEN regexp_extract({html}, {lit(H.BODY_PATTERN)}, 1) ELSE {rest} END"
     pieces = f"list_filter(regexp_split_to_array({body}, {lit(H.TAG_RUN_PATTERN)}), lambda x: x <> '')"
     return f"lower({unescape(f'array_to_string({pieces}, {lit(chr(32))})')})"
 
 
 def title(html: str) -> str:
-    return f"coalesce({first_tag_text(html, 'title')}, {first_tag_text(html, 'h1')})"
+    return f"coalesce({first_tag_text(html, 'title')}, {own_text(html, 'h1')})"
 
 
 def netloc(url: str) -> str:
@@ -220,7 +240,9 @@ def netloc(url: str) -> str:
 
 
 def hrefs(html: str) -> str:
-    return f"list_transform(regexp_extract_all({html}, {lit(H.HREF_PATTERN)}, 1), lambda x: {unescape('x')})"
+    tags = f"regexp_extract_all(regexp_replace({html}, {lit(H.COMMENT_PATTERN)}, '', 'g'), {lit(H.LINK_TAG_PATTERN)}, 0)"
+    values = f"list_filter(list_transform({tags}, lambda t: regexp_extract(t, {lit(H.HREF_ATTR)}, 1)), lambda t: t <> '')"
+    return f"list_transform(list_transform({values}, lambda v: {unquoted('v')}), lambda x: {unescape('x')})"
 
 
 def pre_code_texts(html: str) -> str:
@@ -240,7 +262,7 @@ def ordered(expr: str, words) -> str:
     return ordered_matches(expr, words)
 
 
-WIDE_PAGES = """
+WIDE_PAGES = f"""
 wpages AS (
   SELECT page_id,
          url || CASE page_id % 5 WHEN 1 THEN '/tutorial' WHEN 2 THEN '/docs/reference'
@@ -250,7 +272,8 @@ wpages AS (
                  WHEN 3 THEN '<h2>Introduction</h2><a href="https://github.com/x">x</a>'
                  ELSE '' END
               || CASE WHEN page_id % 6 = 5
-                 THEN '<meta name="description" content="A guide to cobol">' ELSE '' END AS html
+                 THEN '<meta name="description" content="A guide to cobol">' ELSE '' END
+              || CASE WHEN page_id % 7 = 3 THEN {lit(ODD_MARKUP)} ELSE '' END AS html
   FROM pages
 )"""
 

@@ -106,6 +106,12 @@ def conversation_pages(conversations: DataFrame) -> DataFrame:
     )
 
 
+#: Markup in forms that the raw pages never use: quotings, a comment, references, a nested heading.
+ODD_MARKUP = ("<a href='/single'>s</a><a class=c href=plain>u</a><!-- <a href=\"/hidden\">h</a> -->"
+              "<a data-href=\"/no\">n</a>&copy; 2024 &#8212; &#x2019;s &unknown;<h1><b>Bold</b> own</h1>"
+              "<meta name='description' content='single &quot;quoted&quot;'>")
+
+
 def widen_pages(pages: DataFrame) -> DataFrame:
     """Test fixture: append fragments so rule branches the raw pages never reach are hit.
 
@@ -120,13 +126,14 @@ def widen_pages(pages: DataFrame) -> DataFrame:
     )
     extra2 = F.when(p.page_id % 6 == 5,
                     F.lit('<meta name="description" content="A guide to cobol">')).otherwise(F.lit(""))
+    extra3 = F.when(p.page_id % 7 == 3, F.lit(ODD_MARKUP)).otherwise(F.lit(""))
     suffix = (F.when(p.page_id % 5 == 1, F.lit("/tutorial"))
               .when(p.page_id % 5 == 2, F.lit("/docs/reference"))
               .when(p.page_id % 5 == 3, F.lit("/file.zip"))
               .when(p.page_id % 5 == 4, F.lit("/checkout"))
               .otherwise(F.lit("")))
     return p.select(p.page_id, F.concat(p.url, suffix).alias("url"),
-                    F.concat(p.html, extra, extra2).alias("html"))
+                    F.concat(p.html, extra, extra2, extra3).alias("html"))
 
 
 def lineitem_links(lineitem: DataFrame) -> DataFrame:

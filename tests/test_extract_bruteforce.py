@@ -4,6 +4,7 @@ str.count); tree fields come from the same walk helper."""
 
 import html as htmllib
 import re
+from html.parser import HTMLParser
 from urllib.parse import urlparse
 
 import pytest
@@ -23,12 +24,21 @@ def first_text(h, tag):
     return v or None
 
 
+class Metas(HTMLParser):
+    """The attributes of every meta element."""
+
+    def __init__(self, h):
+        super().__init__()
+        self.found = []
+        self.feed(h)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "meta":
+            self.found.append(dict(attrs))
+
+
 def meta(h, name):
-    m = re.search(rf"(?i)<meta\s[^>]*name\s*=\s*[\"']{name}[\"'][^>]*>", h)
-    if not m:
-        return None
-    c = re.search(r"(?i)\scontent\s*=\s*\"([^\"]*)\"", m.group(0))
-    return htmllib.unescape(c.group(1)) if c else None
+    return next((m.get("content") for m in Metas(h).found if m.get("name") == name), None)
 
 
 def body_text(h):
