@@ -2,9 +2,9 @@
 
 Fields that depend on the element tree (direct text of <p>, ordered content
 selectors, class/id/heading signals, ``pre code`` text) cannot be expressed with
-a regex. ``page_walk`` runs the walk per Arrow batch through ``mapInPandas`` on a
-two-column projection (page_id, html), so the rest of the row never reaches Python
-and Spark keeps partitioning the work.
+a regex. ``page_walk`` runs the walk per Arrow batch through ``mapInPandas`` on page_id, url
+and html, which pass through, so native fields follow without a join and Spark keeps
+partitioning the work.
 """
 
 from __future__ import annotations

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,7 +161,3 @@ def enrich_resources(resources: DataFrame, at: str | None = None) -> DataFrame:
     r = r.withColumn("quality_score", quality_processor("content", "code_snippets",
                                                         "description", "url"))
     return r.withColumn("indexed_date", stamp(at)).withColumn("resource_id", resource_id("url"))
-
-
-def any_of(cols) -> Column:
-    return reduce(lambda a, b: a | b, cols)

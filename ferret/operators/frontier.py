@@ -117,24 +117,31 @@ def link_table(pages: DataFrame, mode: str = "broad", query: str | None = None,
 
 
 def reachable(seeds: DataFrame, links: DataFrame, max_depth: int = rules.DEPTH_LIMIT,
-              max_pages: int | None = None) -> DataFrame:
+              max_pages: int | None = None, hub_edges: int = 100_000) -> DataFrame:
     """Hop-limited expansion from ``seeds`` (url) over ``links`` (src_url, dst_url).
 
     One join per hop against the not-yet-visited set; each hop's result is
     checkpointed to the shared checkpoint folder so lineage stays short and a lost
     executor recomputes at most one hop. Returns (url, depth) of every reached page;
-    with ``max_pages``, the first so many by (depth, url).
+    with ``max_pages``, the first so many by (depth, url). A page with more than ``hub_edges``
+    links is a hub, whose links are spread.
     """
-    spark = seeds.sparkSession
-    ensure_checkpoint_dir(spark)
-    # Edges are hash-partitioned by source once and checkpointed with that partitioning,
-    # so every hop shuffles only the (small) frontier side of the join.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = links.select("src_url", "dst_url").distinct().repartition(n, "src_url").checkpoint()
+    ensure_checkpoint_dir(seeds.sparkSession)
+    # Edges are dealt by source once and checkpointed, AQE choosing the width. The edges of a hub
+    # go to several places by their target, and its frontier row goes to each of them.
+    edges = links.select("src_url", "dst_url").distinct().checkpoint()
+    hubs = (edges.groupBy("src_url").agg(F.ceil(F.count(F.lit(1)) / F.lit(hub_edges)).alias("places"))
+            .where("places > 1").checkpoint())
+    place = F.pmod(F.xxhash64("dst_url"), F.coalesce("places", F.lit(1)))
+    edges = (edges.join(hubs, "src_url", "left").select("src_url", place.alias("place"), "dst_url")
+             .repartition("src_url", "place").checkpoint())
+    hubs = hubs.withColumnRenamed("src_url", "url")
     visited = seeds.select(F.col("url"), F.lit(0).alias("depth")).distinct().checkpoint()
     frontier = visited
     for depth in range(1, max_depth + 1):
-        nxt = (frontier.join(edges, frontier.url == edges.src_url)
+        dealt = frontier.join(hubs, "url", "left").select(
+            "url", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("places", F.lit(1)) - 1)).alias("place"))
+        nxt = (dealt.join(edges, (dealt.url == edges.src_url) & (dealt.place == edges.place))
                .select(F.col("dst_url").alias("url")).distinct()
                .join(visited.select("url"), "url", "left_anti")
                .withColumn("depth", F.lit(depth))).checkpoint()

@@ -76,12 +76,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def scratch_table_path(spark: SparkSession, name: str) -> str:
-    """A location for an intermediate table below the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
-
-
 _SHIPPED: set[int] = set()
 
 

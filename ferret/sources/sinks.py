@@ -128,16 +128,8 @@ def reindex(src: DataFrame, target_schema) -> DataFrame:
                         .cast(f.dataType).alias(f.name) for f in target_schema.fields])
 
 
-def write_version(df: DataFrame, base: str, version: int) -> str:
-    """Write a table version below ``base``; returns its path. Re-running a version
-    overwrites it, so a retried batch is idempotent."""
-    path = f"{base}/v={version}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
 __all__ = ["upsert_resources", "replace_resources", "dedupe_resources", "change_feed",
-           "export_sample", "reindex", "write_version", "primary_language"]
+           "export_sample", "reindex", "primary_language"]
 
 
 # ---------------------------------------------------------------------------

@@ -179,3 +179,11 @@ def test_percolate_stream_equals_batch(spark, tmp_path):
     L.percolate_stream(spark, stream, q, out, str(tmp_path / "c")).awaitTermination()
     got = {(r.record_id, r.query_id, r.score) for r in spark.read.parquet(out).collect()}
     assert got == batch and len(got) > 0
+
+
+def test_reachable_spreads_hub_links(spark):
+    links = spark.createDataFrame([("hub", f"p{i}") for i in range(20)] + [("p3", "q"), ("q", "hub")], "src_url string, dst_url string")
+    seeds = spark.createDataFrame([("hub",)], "url string")
+    for hub_edges in (3, 100):
+        got = {(r.url, r.depth) for r in G.reachable(seeds, links, max_depth=2, hub_edges=hub_edges).collect()}
+        assert got == {("hub", 0), ("q", 2)} | {(f"p{i}", 1) for i in range(20)}
