@@ -3,7 +3,9 @@
 A text's words become template tokens: numbers, names (title-case words inside a sentence)
 and units (after a number) become typed placeholders, whose words are the slots; other words
 are lower-cased and stripped of punctuation. Windows of ``WINDOW`` template tokens are hash-joined with
-those of the benchmark (an item with fewer tokens is one window). Windows that
+those of the benchmark (an item with fewer tokens is one window). An item's window with too few
+literals is looked for by its words as they are, and lengthened until it holds enough literals to be
+looked for as a template. Windows that
 match at the same distance belong together; the item's slot words must map to the
 document's one to one way (each item word always to the same document word), else the match
 is dropped. Equal words are a verbatim copy, others a re-parameterised question.
@@ -28,7 +30,7 @@ from ..session import ship_package
 from .common import id_text, materialise
 
 WINDOW = 8
-#: Words of a window that must not be placeholders.
+#: Words of a template window that must not be placeholders.
 LITERALS = 5
 #: An item with fewer template tokens is too general to look for.
 LEAST_TOKENS = 4
@@ -46,6 +48,7 @@ NAME, NUM, UNIT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25),
 
 TITLE, IS_NUM, IS_UNIT, END, REAL = (np.uint64(1 << k) for k in range(5))
 LITERAL = np.uint64((1 << 64) - (1 << 5))
+AS_IS, BASE = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x9E6C63D0876A9A47)
 
 
 class _Tokens(dict):
@@ -71,7 +74,7 @@ def _tokens():
 
 
 def template(data: bytes):
-    """(raw words, template hashes, slot flags) of UTF-8 text."""
+    """(raw words, template hashes, slot flags, hashes of the words as they are) of UTF-8 text."""
     words = data.split()
     code = np.fromiter(map(_tokens().__getitem__, words), np.uint64, len(words))
     num, end, real = code & IS_NUM != 0, code & END != 0, code & REAL != 0
@@ -80,16 +83,19 @@ def template(data: bytes):
         name[0] = unit[0] = False
     name[1:] &= ~end[:-1]
     unit[1:] &= num[:-1]
-    out = code & LITERAL
+    plain = code & LITERAL
+    out = plain.copy()
     out[name], out[unit], out[num] = NAME, UNIT, NUM
     slot = num | unit | name
     if not real.all():  # words of punctuation alone
         words = [w for w, r in zip(words, real.tolist(), strict=True) if r]
-        out, slot = out[real], slot[real]
-    return words, out, slot
+        out, slot, plain = out[real], slot[real], plain[real]
+    return words, out, slot, plain
 
 
 def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
+    if WINDOW < size <= len(tokens):
+        return _long_hashes(tokens, size)
     h = np.full(max(0, len(tokens) - size + 1), size, np.uint64)
     for k in range(size if len(h) else 0):
         h = (h ^ tokens[k:k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
@@ -97,12 +103,50 @@ def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+def _long_hashes(tokens, size):
+    """Hashes of long windows from running sums: the work does not grow with the size."""
+    t = (tokens ^ (tokens >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    t ^= t >> np.uint64(29)
+    power = np.full(len(t), BASE, np.uint64)
+    power[0] = 1
+    sums = np.zeros(len(t) + 1, np.uint64)
+    np.cumsum(t * np.cumprod(power), out=sums[1:])
+    back = np.full(len(t) - size + 1, pow(int(BASE), -1, 1 << 64), np.uint64)
+    back[0] = 1
+    h = ((sums[size:] - sums[:-size]) * np.cumprod(back) ^ np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def _hashes_of(form, tokens, plain):
+    """Window hashes of a form: (size, whether words are taken as they are)."""
+    size, as_is = form
+    return window_hashes(plain, size) ^ AS_IS if as_is else window_hashes(tokens, size)
+
+
 def _slots(words, slot, at, size):
     core = "\"'`()[]{}<>.,;:!?"
     return [words[i].decode().strip(core) for i in range(at, at + size) if slot[i]]
 
 
-BENCH = "h long, item_id long, ipos int, size int, islots array<string>"
+def item_windows(slot: np.ndarray, window: int, literals: int, least: int):
+    """(place, size, whether words are taken as they are) of the windows by which an item is looked for."""
+    n = len(slot)
+    size = min(window, n)
+    if size < least:
+        return
+    need = min(literals, size - 1)
+    before = np.concatenate([[0], np.cumsum(~slot)])  # literals before a place
+    for at in range(n - size + 1):
+        if before[at + size] - before[at] >= need:
+            yield at, size, False
+        else:
+            yield at, size, True
+            end = int(np.searchsorted(before, before[at] + need))
+            if end <= n:
+                yield at, end - at, False
+
+
+BENCH = "h long, item_id long, ipos int, size int, as_is boolean, islots array<string>"
 
 
 def _bench(window, literals, least):
@@ -110,24 +154,45 @@ def _bench(window, literals, least):
         for b in batches:
             rows = []
             for item, data in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words, tokens, slot = template(data)
-                size = min(window, len(words))
-                if size < least:
-                    continue
-                for at, h in enumerate(window_hashes(tokens, size).view(np.int64).tolist()):
-                    if size - int(slot[at:at + size].sum()) >= min(literals, size - 1):
-                        rows.append((h, item, at, size, _slots(words, slot, at, size)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["h", "item_id", "ipos", "size", "islots"])
+                words, tokens, slot, plain = template(data)
+                hashes: dict = {}
+                for at, *form in item_windows(slot, window, literals, least):
+                    size, as_is = form = tuple(form)
+                    if form not in hashes:
+                        hashes[form] = _hashes_of(form, tokens, plain).view(np.int64)
+                    rows.append((int(hashes[form][at]), item, at, size, as_is, [] if as_is else _slots(words, slot, at, size)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["h", "item_id", "ipos", "size", "as_is", "islots"])
     return run
 
 
+def _limits(window, literals, least):
+    def run(batches):
+        for b in batches:
+            rows = []
+            for item, data in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                slot = template(data)[2]
+                forms = [as_is for _, _, as_is in item_windows(slot, window, literals, least)]
+                if all(forms):
+                    rows.append((item, len(slot), "verbatim only" if forms else "never"))
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.string()], strict=True)], ["item_id", "tokens", "found"])
+    return run
+
+
+def limited_items(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS,
+                  least: int = LEAST_TOKENS) -> DataFrame:
+    """item_id, tokens and found: the items that are never looked for (too few tokens), and those found verbatim only (too few literals)."""
+    ship_package(benchmark.sparkSession)
+    return id_text(benchmark, item_id, item_text, binary=True).mapInArrow(_limits(window, literals, least), "item_id long, tokens int, found string")
+
+
 HITS = "rid long, id long, th long, h long, dpos int, dslots array<string>"
 
 
-def _windows(sizes, sent):
-    """sent: a broadcast of the sorted hashes to look for, or None for all windows."""
+def _windows(forms, sent):
+    """forms: sizes and whether words are taken as they are; sent: a broadcast of the sorted hashes to look for, or None for all windows."""
     def run(batches):
         rid = TaskContext.get().partitionId() << 33
         wanted = flags = None
@@ -138,10 +203,10 @@ def _windows(sizes, sent):
         for b in batches:
             rows = []
             for doc, th, data in zip(*(b.column(c).to_pylist() for c in ("id", "th", "text")), strict=True):
-                words, tokens, slot = template(data)
+                words, tokens, slot, plain = template(data)
                 rid += 1
-                for size in sizes:
-                    hashes = window_hashes(tokens, size)
+                for size, as_is in forms:
+                    hashes = _hashes_of((size, as_is), tokens, plain)
                     at = np.arange(len(hashes))
                     if wanted is not None:
                         at = np.flatnonzero(flags[hashes >> np.uint64(42)])
@@ -149,7 +214,7 @@ def _windows(sizes, sent):
                             near = wanted[np.minimum(np.searchsorted(wanted, hashes[at]), len(wanted) - 1)]
                             at = at[near == hashes[at]]
                     for i in at.tolist():
-                        rows.append((rid, doc, th, int(hashes[i].view(np.int64)), i, _slots(words, slot, i, size)))
+                        rows.append((rid, doc, th, int(hashes[i].view(np.int64)), i, [] if as_is else _slots(words, slot, i, size)))
                     if len(rows) >= 20_000:
                         yield _hits(rows)
                         rows = []
@@ -168,17 +233,17 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                       item_text: str = "text", window: int = WINDOW, literals: int = LITERALS, least: int = LEAST_TOKENS, max_sent: int = MAX_SENT) -> DataFrame:
     """doc_id, th (hash of the text), item_id, windows (matched) and kind, a row per document row and item found in it.
 
-    Null and empty texts match nothing; items with under ``least`` template tokens are not looked for; null
+    Null and empty texts match nothing; items with under ``least`` template tokens are not looked for (see ``limited_items``); null
     ids stay null; repeated rows are found each; an empty benchmark or table gives no rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
     bench = materialise(id_text(benchmark, item_id, item_text, binary=True).mapInArrow(_bench(window, literals, least), BENCH), "items")
-    sizes = [r["size"] for r in bench.select("size").distinct().collect()]  # at most `window` numbers
+    forms = [tuple(r) for r in bench.select("size", "as_is").distinct().collect()]  # at most twice the longest item's tokens
     keys = bench.select("h").distinct().limit(max_sent + 1).toArrow().column("h").to_numpy()
     sent = None if len(keys) > max_sent or not len(keys) else spark.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
     texts = id_text(docs, id_col, text_col, binary=True).select("id", F.xxhash64("text").alias("th"), "text")
-    hits = texts.mapInArrow(_windows(sizes, sent), HITS)
+    hits = texts.mapInArrow(_windows(forms, sent), HITS)
     found = materialise(hits.join(bench, "h").withColumn("apart", F.col("dpos") - F.col("ipos")), "matches")
     one = ["rid", "id", "th", "item_id", "apart"]
     pairs = found.select(*one, "ipos", F.explode_outer(F.arrays_zip(F.col("islots").alias("i"), F.col("dslots").alias("d"))).alias("p"))
@@ -187,7 +252,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     places = words.groupBy(*one).agg(
         F.bool_and(F.col("low").isNull() | (F.col("low") == F.col("high"))).alias("consistent"),
         F.bool_and(F.col("low").isNull() | (F.col("low") == F.col("word"))).alias("same"))
-    counts = found.groupBy(*one).agg(F.count(F.lit(1)).alias("windows"))
+    counts = found.groupBy(*one).agg(F.count_distinct("ipos").alias("windows"))
     kept = places.where("consistent").join(counts, ["rid", "item_id", "apart"]).groupBy(places["rid"], places["id"], places["th"], places["item_id"])
     return kept.agg(F.sum("windows").alias("windows"), F.max("same").alias("same")).select(
         F.col("id").alias("doc_id"), "th", "item_id", "windows", F.when(F.col("same"), "verbatim").otherwise("re-parameterised").alias("kind"))

@@ -205,6 +205,21 @@ def test_decontamination(spark, empty):
     assert decontaminate.find_contaminated(empty, bench).count() == 0
 
 
+def test_decontamination_of_items_dense_in_slots(spark):
+    dense = "Sort 3 9 4 1 then 8 2 7 and 5 6 0 last 11 12 13 done"
+    items = [(1, "What is 12 + 7 - 3 * 4 / 2 + 9 ?"), (2, "Add 12 and 30 together"), (3, "Anna Bob Carl Dora Emil Fritz Gina Hans Ida Jon"), (4, dense), (5, "tiny one"), (6, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    other = "Sort 30 90 40 10 then 80 20 70 and 50 60 100 last 21 22 23 done"
+    texts = [(i, f"some words before it. {t} and more after it") for i, t in items[:4]] + [
+        (11, "What is 13 + 7 - 3 * 4 / 2 + 9 ?"), (12, "Add 12 and 31 together"), (14, "x. " + other), (15, "x. " + other.replace("done", "gone"))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for sent in (1000, 1):
+        rows = decontaminate.find_contaminated(df, bench, max_sent=sent).collect()
+        assert sorted((r.doc_id, r.item_id, r.kind) for r in rows) == [(i, i, "verbatim") for i in (1, 2, 3, 4)] + [(14, 4, "re-parameterised")]
+    assert sorted(map(tuple, decontaminate.limited_items(bench).collect())) == [
+        (1, 8, "verbatim only"), (2, 5, "verbatim only"), (3, 10, "verbatim only"), (5, 2, "never"), (6, 0, "never")]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(list("abcdeinorst"), 5)) for _ in range(300)]
