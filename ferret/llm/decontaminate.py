@@ -5,7 +5,8 @@ and units (after a number) become typed placeholders, whose words are the slots;
 are lower-cased and stripped of punctuation. Windows of ``WINDOW`` template tokens are hash-joined with
 those of the benchmark (an item with fewer tokens is one window). An item's window with too few
 literals is looked for by its words as they are, and lengthened until it holds enough literals to be
-looked for as a template. Windows that
+looked for as a template. An item's first word is never a placeholder for a name or unit, as nothing is before it; a
+document's windows that begin with one are also looked for with that word as it is, by the first windows. Windows that
 match at the same distance belong together; the item's slot words must map to the
 document's one to one way (each item word always to the same document word), else the match
 is dropped. Equal words are a verbatim copy, others a re-parameterised question.
@@ -103,20 +104,38 @@ def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def _long_hashes(tokens, size):
-    """Hashes of long windows from running sums: the work does not grow with the size."""
+def _spread(tokens):
     t = (tokens ^ (tokens >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    t ^= t >> np.uint64(29)
+    return t ^ (t >> np.uint64(29))
+
+
+def _long_hashes(tokens, size, first=None):
+    """Hashes of long windows from running sums: the work does not grow with the size."""
+    t = _spread(tokens)
     power = np.full(len(t), BASE, np.uint64)
     power[0] = 1
     sums = np.zeros(len(t) + 1, np.uint64)
     np.cumsum(t * np.cumprod(power), out=sums[1:])
     back = np.full(len(t) - size + 1, pow(int(BASE), -1, 1 << 64), np.uint64)
     back[0] = 1
-    h = ((sums[size:] - sums[:-size]) * np.cumprod(back) ^ np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (sums[size:] - sums[:-size]) * np.cumprod(back)
+    if first is not None:
+        h += _spread(first[:len(h)]) - t[:len(h)]
+    h = (h ^ np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
 
 
+def lead_hashes(tokens: np.ndarray, plain: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at some places, their first word as it is."""
+    if size > WINDOW:
+        return _long_hashes(tokens, size, plain)[at]
+    h = np.full(len(at), size, np.uint64)
+    for k in range(size):
+        h = (h ^ (tokens[at + k] if k else plain[at])) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def _hashes_of(form, tokens, plain):
     """Window hashes of a form: (size, whether words are taken as they are)."""
     size, as_is = form
@@ -188,11 +207,12 @@ def limited_items(benchmark: DataFrame, item_id: str = "item_id", item_text: str
     return id_text(benchmark, item_id, item_text, binary=True).mapInArrow(_limits(window, literals, least), "item_id long, tokens int, found string")
 
 
-HITS = "rid long, id long, th long, h long, dpos int, dslots array<string>"
+HITS = "rid long, id long, th long, h long, dpos int, lead boolean, dslots array<string>"
 
 
 def _windows(forms, sent):
-    """forms: sizes and whether words are taken as they are; sent: a broadcast of the sorted hashes to look for, or None for all windows."""
+    """forms: sizes, whether words are taken as they are, and whether templates at an item's start have the size;
+    sent: a broadcast of the sorted hashes to look for, or None for all windows."""
     def run(batches):
         rid = TaskContext.get().partitionId() << 33
         wanted = flags = None
@@ -200,21 +220,32 @@ def _windows(forms, sent):
             wanted = sent.value
             flags = np.zeros(1 << 22, bool)
             flags[wanted >> np.uint64(42)] = True
+
+        def sought(hashes):
+            if wanted is None:
+                return range(len(hashes))
+            at = np.flatnonzero(flags[hashes >> np.uint64(42)])
+            if len(at):
+                near = wanted[np.minimum(np.searchsorted(wanted, hashes[at]), len(wanted) - 1)]
+                at = at[near == hashes[at]]
+            return at.tolist()
+
         for b in batches:
             rows = []
             for doc, th, data in zip(*(b.column(c).to_pylist() for c in ("id", "th", "text")), strict=True):
                 words, tokens, slot, plain = template(data)
+                leads = np.flatnonzero((tokens == NAME) | (tokens == UNIT))
                 rid += 1
-                for size, as_is in forms:
+                for size, as_is, starts in forms:
                     hashes = _hashes_of((size, as_is), tokens, plain)
-                    at = np.arange(len(hashes))
-                    if wanted is not None:
-                        at = np.flatnonzero(flags[hashes >> np.uint64(42)])
-                        if len(at):
-                            near = wanted[np.minimum(np.searchsorted(wanted, hashes[at]), len(wanted) - 1)]
-                            at = at[near == hashes[at]]
-                    for i in at.tolist():
-                        rows.append((rid, doc, th, int(hashes[i].view(np.int64)), i, [] if as_is else _slots(words, slot, i, size)))
+                    for i in sought(hashes):
+                        rows.append((rid, doc, th, int(hashes[i].view(np.int64)), i, False, [] if as_is else _slots(words, slot, i, size)))
+                    at = leads[leads <= len(tokens) - size] if starts else leads[:0]
+                    if len(at):
+                        hashes = lead_hashes(tokens, plain, size, at)
+                        for k in sought(hashes):
+                            i = int(at[k])
+                            rows.append((rid, doc, th, int(hashes[k].view(np.int64)), i, True, _slots(words, slot, i + 1, size - 1)))
                     if len(rows) >= 20_000:
                         yield _hits(rows)
                         rows = []
@@ -224,9 +255,9 @@ def _windows(forms, sent):
 
 
 def _hits(rows):
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.string())]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.bool_(), pa.list_(pa.string())]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                      ["rid", "id", "th", "h", "dpos", "dslots"])
+                                      ["rid", "id", "th", "h", "dpos", "lead", "dslots"])
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
@@ -239,12 +270,12 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     spark = docs.sparkSession
     ship_package(spark)
     bench = materialise(id_text(benchmark, item_id, item_text, binary=True).mapInArrow(_bench(window, literals, least), BENCH), "items")
-    forms = [tuple(r) for r in bench.select("size", "as_is").distinct().collect()]  # at most twice the longest item's tokens
+    forms = [tuple(r) for r in bench.groupBy("size", "as_is").agg(F.max(F.expr("ipos = 0 AND NOT as_is"))).collect()]  # at most twice the longest item's tokens
     keys = bench.select("h").distinct().limit(max_sent + 1).toArrow().column("h").to_numpy()
     sent = None if len(keys) > max_sent or not len(keys) else spark.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
     texts = id_text(docs, id_col, text_col, binary=True).select("id", F.xxhash64("text").alias("th"), "text")
     hits = texts.mapInArrow(_windows(forms, sent), HITS)
-    found = materialise(hits.join(bench, "h").withColumn("apart", F.col("dpos") - F.col("ipos")), "matches")
+    found = materialise(hits.join(bench, "h").where("NOT lead OR ipos = 0").withColumn("apart", F.col("dpos") - F.col("ipos")), "matches")
     one = ["rid", "id", "th", "item_id", "apart"]
     pairs = found.select(*one, "ipos", F.explode_outer(F.arrays_zip(F.col("islots").alias("i"), F.col("dslots").alias("d"))).alias("p"))
     words = pairs.groupBy(*one, F.col("p.i").alias("word")).agg(

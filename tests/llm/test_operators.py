@@ -220,6 +220,22 @@ def test_decontamination_of_items_dense_in_slots(spark):
         (1, 8, "verbatim only"), (2, 5, "verbatim only"), (3, 10, "verbatim only"), (5, 2, "never"), (6, 0, "never")]
 
 
+def test_decontamination_of_items_inside_a_text(spark):
+    """An item's first word follows what makes it look like a name or a unit."""
+    long = "Given that 1 2 3 4 5 6 7 8 are numbers say which of them is odd"
+    items = [(1, "What is the capital of France"), (2, "In which year did the long war end"), (3, long)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = [("Some text. Question: What is the capital of France", 1, "verbatim"), ("(A) What is the capital of France?", 1, "verbatim"),
+             ("A heading\nWhat is the capital of France", 1, "verbatim"), ("Question: What is the capital of Spain", 1, "re-parameterised"),
+             ("Question 12. In which year did the long war end", 2, "verbatim"), ("Question: " + long, 3, "verbatim")]
+    texts = [(i, t) for i, (t, _, _) in enumerate(found)] + [(90, "Question: Where is the capital of France"), (91, "Question: What was the capital of France")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for sent in (1000, 1):
+        rows = decontaminate.find_contaminated(df, bench, max_sent=sent).collect()
+        assert sorted((r.doc_id, r.item_id, r.kind) for r in rows) == [(i, item, kind) for i, (_, item, kind) in enumerate(found)]
+        assert {r.windows for r in rows if r.item_id == 3} == {decontaminate.find_contaminated(df.selectExpr("doc_id", f"'{long}' AS text").limit(1), bench).first().windows}
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(list("abcdeinorst"), 5)) for _ in range(300)]
