@@ -5,7 +5,10 @@ are searched by sliding-window Shannon entropy, each by its character class: hex
 mixed letters and digits. A window's entropy is log2(w) - sum(c * log2(c)) / w over the counts c of its
 characters; moving it by one character changes two counts, so the sum is kept by incremental
 counts. Where windows reach the class's limit, the stretch they cover is a span of kind ``entropy``,
-unless an allow-list pattern suppresses the candidate or a base span overlaps it.
+unless a base span overlaps it. The allow-list: windows that overlap a string that says it is an
+example are left out (the pieces between such strings are searched), and so are pieces that are a UUID, digits
+and marks, or words joined by marks. Words have no digit and few changes of case; a key of letters of one
+case looks like them and is not found.
 
 Offsets are code points, ends exclusive. A pattern's offsets come from the lengths of the
 pieces between its matches.
@@ -28,9 +31,13 @@ CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
 WINDOW = 20
 #: Least entropy (bits a character) of a window, by character class.
 LIMITS = {"hex": 3.0, "mixed": 3.7}
-#: Candidates that are no secrets: UUIDs, words joined by marks, and strings that say they are examples.
-ALLOW = (r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^[A-Za-z]*([+/=_-]+[A-Za-z]*)*$",
-         r"(?i)example|sample|placeholder|dummy|xxxx|0123456789|abcdefgh", r"^[0-9+/=_-]+$")
+#: Strings that say they are examples, and pieces that are no secrets: UUIDs, digits and marks.
+EXAMPLES = r"(?i)example|sample|placeholder|dummy|x{4,}|0123456789|abcdefgh"
+ALLOW = (r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^[0-9+/=_-]+$")
+#: A word's letter before a change of case, as in getHTTPCode.
+CHANGE = r"[a-z](?=[A-Z])|[A-Z](?=[A-Z][a-z])"
+#: Words have at least so many letters for each change of case (one change is always allowed).
+LETTERS = 5
 KINDS = ("assign", "access", "hex", "entropy")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 
@@ -121,15 +128,33 @@ def dense_stretch(text: Column) -> Column:
         s["first"].isNotNull(), F.struct(s["first"].alias("first"), s["last"].alias("last")))))
 
 
+def _pieces(run: Column) -> Column:
+    """The parts of a candidate (start, text) between the strings that say they are examples."""
+    def cut(marks):
+        after = lambda i: F.element_at(marks, i)["start"] + F.length(F.element_at(marks, i)["text"])
+        return F.transform(F.split(run["text"], EXAMPLES, -1), lambda gap, i: F.struct(
+            (run["start"] + F.when(i == 0, 0).otherwise(after(i))).alias("start"), gap.alias("text")))
+    return F.when(run["text"].rlike(EXAMPLES), bound(matches(run["text"], EXAMPLES), cut)).otherwise(F.array(run))
+
+
+def are_words(text: Column) -> Column:
+    """Whether a string is words joined by marks: no digit, and few changes of case in every word and in all."""
+    changes = lambda x: F.regexp_count(x, F.lit(CHANGE))
+    few = lambda x: changes(x) * LETTERS <= F.length(x)
+    each = F.forall(F.split(text, "[+/=_-]+", -1), lambda x: (changes(x) <= 1) | few(x))
+    return ~text.rlike("[0-9]") & few(F.regexp_replace(text, "[+/=_-]+", " ")) & each
+
+
 def entropy_spans(text: Column) -> Column:
     """Span arrays of kind entropy, before base spans suppress any."""
     def allowed(x):
-        out = F.lit(False)
+        out = are_words(x)
         for p in ALLOW:
             out = out | x.rlike(p)
         return out
 
-    found = F.filter(matches(text, CANDIDATE), lambda x: ~allowed(x["text"]))
+    pieces = F.flatten(F.transform(matches(text, CANDIDATE), _pieces))
+    found = F.filter(pieces, lambda x: (F.length(x["text"]) >= WINDOW) & ~allowed(x["text"]))
     dense = F.filter(F.transform(found, lambda x: F.struct(x["start"].alias("start"), dense_stretch(x["text"]).alias("d"))), lambda x: x["d"].isNotNull())
     spans = F.transform(dense, lambda x: F.struct((x["start"] + x["d"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (x["start"] + x["d"]["last"]).alias("end")))
     return _where(text, text.rlike(CANDIDATE), spans)

@@ -172,6 +172,23 @@ def test_secret_scan(spark):
     assert got[6].spans == "entropy:4:32" and not got[7].spans.count("entropy") and got[8].spans == ""
 
 
+def test_secrets_beside_allowed_strings(spark):
+    secret = "8fJ2kQ9zLm4Xw7RtB1vN6cPdS3hY"
+    letters = "aKdJwPqLzXmNbVcRtYuIoH"
+    by_chance = "8fJ2kQ9zLm4Xw7RtB1vNxxXx6cPdS3hY8fJ2kQ9zLm4XwT5g"
+    want = {f"/samples/{secret}": secret, f"see {secret}/example": secret, by_chance: by_chance[:20], f"key {letters} end": letters, f"docs/of/the/module/{letters}": letters,
+            "EXAMPLE8fJ2kQ9zLm4XwDUMMY": None, "getHTTPResponseCodeFromServer": None, "GitHub-Desktop-release-macOS/YouTube": None, "a_" * 6000: None, f"/samples/{'a_' * 6000}": None}
+    texts = list(enumerate(want))
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, t in texts:
+        spans = [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x]
+        if want[t] is None:
+            assert not spans, t[:40]
+        else:
+            at = t.index(want[t])
+            assert any(a <= at and at + len(want[t]) <= b for a, b in spans), (t, got[i])
+
+
 def test_entropy_counts_are_incremental(spark):
     text = "8fJ2kQ9zLm4Xw7RtB1vN6cPdS3hY8fffffffffffffffffff"
 
