@@ -9,6 +9,10 @@ text (by its 128-bit MD5), and all but the first occurrence of a window are repe
 repeated runs; their lines, and blank lines inside, are deleted. First means the smallest document id, then the
 smallest position.
 
+With ``words`` there are also windows measured by their content: the shortest run from a line on that holds so
+many words, one line if it is long enough. The registered query does without, as its SQL does: there
+a passage on one or two lines stays, however often it repeats.
+
 Only rows of equal window text meet, by a partial aggregate and a join that Spark can
 split, so a line that a third of all documents hold is no single task's work.
 """
@@ -31,23 +35,31 @@ def _lines(text):
     return F.filter(every, lambda x: x["line"] != "")
 
 
-def mark_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def mark_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int | None = None) -> DataFrame:
     """doc_id, text, n_lines, removed (places of deleted lines, from 0) and kept_text, a row per input row.
 
     Null text is one empty line and keeps being null in ``text`` (kept_text is empty). Texts with fewer than ``run`` non-blank lines
-    lose nothing. Null ids come last in the order of occurrence; repeated rows are ordered among themselves,
+    lose nothing, unless ``words`` is given and a line or a shorter run holds so many. Null ids come last in the order of occurrence; repeated rows are ordered among themselves,
     so one keeps its lines. An empty table gives no rows.
     """
     docs = materialise(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
                        .withColumn("rid", F.monotonically_increasing_id()), "lines")
     last = F.lit((1 << 63) - 1)
-    seq = docs.select("rid", F.coalesce("id", last).alias("id"), _lines(F.coalesce("text", F.lit(""))).alias("seq")).where(F.size("seq") >= run)
-    seq = seq.withColumn("h", F.transform("seq", lambda x, i: F.struct(F.xxhash64(x["line"]).alias("h"), (-i).alias("i"))))
-    starts = F.sequence(F.lit(0), F.size("seq") - run)
-    windows = F.transform(starts, lambda s: F.struct(
-        F.array_min(F.slice("h", s + 1, run)).getField("h").alias("f"), s.alias("s"),
-        F.unhex(F.md5(F.array_join(F.transform(F.slice("seq", s + 1, run), lambda x: x["line"]), "\n"))).alias("w"),
-        F.element_at("seq", s + 1)["at"].alias("lo"), F.element_at("seq", s + run)["at"].alias("hi")))
+    seq = docs.select("rid", F.coalesce("id", last).alias("id"), _lines(F.coalesce("text", F.lit(""))).alias("seq")).where(F.size("seq") >= (1 if words else run))
+    count = lambda line: [F.size(F.split(line, " ")).alias("c")] if words else []
+    seq = seq.withColumn("h", F.transform("seq", lambda x, i: F.struct(F.xxhash64(x["line"]).alias("h"), (-i).alias("i"), *count(x["line"]))))
+
+    if words:
+        held = lambda s, n: F.aggregate(F.slice("h", s + 1, n), F.lit(0), lambda a, x: a + x["c"])
+        least = lambda s, n: (held(s, n) >= words) & (held(s, n - 1) < words)
+        lengths = lambda s: F.filter(F.sequence(F.lit(1), F.lit(run)), lambda n: (s + n <= F.size("seq")) & ((n == run) | least(s, n)))
+        places = F.flatten(F.transform(F.sequence(F.lit(0), F.size("seq") - 1), lambda s: F.transform(lengths(s), lambda n: F.struct(s.alias("s"), n.alias("n")))))
+    else:
+        places = F.transform(F.sequence(F.lit(0), F.size("seq") - run), lambda s: F.struct(s.alias("s"), F.lit(run).alias("n")))
+    windows = F.transform(places, lambda p: F.struct(
+        F.array_min(F.slice("h", p["s"] + 1, p["n"])).getField("h").alias("f"), p["s"].alias("s"),
+        F.unhex(F.md5(F.array_join(F.transform(F.slice("seq", p["s"] + 1, p["n"]), lambda x: x["line"]), "\n"))).alias("w"),
+        F.element_at("seq", p["s"] + 1)["at"].alias("lo"), F.element_at("seq", p["s"] + p["n"])["at"].alias("hi")))
     rows = materialise(seq.select("rid", "id", F.explode(windows).alias("x")).select("rid", "id", "x.*"), "windows")
     # Fingerprint places that occur once only need no comparison.
     repeated = rows.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")

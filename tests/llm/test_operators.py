@@ -208,6 +208,29 @@ def test_line_dedup(docs, empty):
     assert line_dedup.mark_repeated_lines(empty).count() == 0
 
 
+def test_line_dedup_by_content(spark):
+    """With words: a long line alone is a window; without: as before."""
+    rng = np.random.default_rng(7)
+    lines = [" ".join(f"w{k}_{j}" for j in range(n)) for k, n in enumerate((1, 2, 3, 5, 6, 9, 12, 1, 4, 7))]
+    texts = [(i, "\n".join(["", "  ", *lines][k] for k in rng.integers(0, 12, rng.integers(1, 7)))) for i in range(60)] + [(60, None), (61, lines[6]), (62, f"x\n\n{lines[6]} ")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for words in (6, None):
+        seen, want = set(), {}
+        for i, t in texts:
+            seq = [(at, " ".join(x.split())) for at, x in enumerate((t or "").split("\n")) if x.strip()]
+            want[i] = set()
+            for s in range(len(seq)):
+                short = [n for n in (1, 2) if words and s + n <= len(seq) and sum(len(x.split()) for _, x in seq[s:s + n]) >= words][:1]
+                for n in short + [3] * (s + 3 <= len(seq)):
+                    w = tuple(x for _, x in seq[s:s + n])
+                    if w in seen:
+                        want[i] |= set(range(seq[s][0], seq[s + n - 1][0] + 1))
+                    seen.add(w)
+        rows = line_dedup.mark_repeated_lines(df, words=words).collect()
+        assert {r.doc_id: r.removed for r in rows} == {i: sorted(x) for i, x in want.items()}
+        assert ({61, 62} <= {i for i, x in want.items() if x}) == bool(words)
+
+
 def test_decontamination(spark, empty):
     item = "If Anna buys 12 red apples and Anna sells 5 of them at 30 km from home how many apples remain in the green basket"
     bench = spark.createDataFrame([(1, item), (2, "tiny one"), (3, None)], "item_id long, text string")
