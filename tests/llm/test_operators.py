@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -155,6 +156,19 @@ def test_minhash_chains_and_blocks(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in brute_components(texts, 80)}
 
 
+def test_minhash_first_common_band_by_whole_keys():
+    """Coordinates of an earlier band that agree in their kept 16 bits only do not hide a pair."""
+    one = np.arange(minhash.COORDINATES, dtype=np.uint32)
+    two = one.copy()
+    two[3] += 1 << 16
+    assert minhash.band_keys(one)[0] != minhash.band_keys(two)[0] and (minhash.band_keys(one)[1:] == minhash.band_keys(two)[1:]).all()
+    for band, found in ((1, [10, 11]), (2, [])):  # their first common band is 1
+        cell = pa.RecordBatch.from_pydict({
+            "cell": [5, 5], "band": pa.array([band] * 2, pa.int32()), "v": [10, 11], "comp": [10, 11], "r": [1, 1], "n": [100, 100],
+            "sig": [s.astype("<u2").tobytes() for s in (one, two)], "bands": [minhash.band_keys(s).tolist() for s in (one, two)]})
+        assert [v for b in minhash._agreeing(85)([cell]) for v in b.column("v").to_pylist()] == found
+
+
 BASE_PATTERNS = (("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
                  ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))
 
