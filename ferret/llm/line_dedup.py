@@ -1,14 +1,17 @@
-"""Repeated runs of lines, by winnowing (DataFrame functions only).
+"""Repeated runs of lines, by hashes of all their windows (DataFrame functions only).
 
-A document is the sequence of its non-blank lines, white space normalised. In every window of
-``run`` consecutive lines the rightmost line of least hash is a fingerprint. Equal windows
-choose the same place, so two documents that share a run of ``run`` lines are guaranteed to share
-a fingerprint there. Fingerprints that occur more than once are joined with their positions;
-around each, the match is extended both ways: the windows that chose it are compared as whole
-text (by its 128-bit MD5), and all but the first occurrence of a window are repeats. Overlapping repeats together are the longest
+A document is the sequence of its non-blank lines, white space normalised. Every window of ``run``
+consecutive lines is materialised with the 128-bit MD5 of its text, and windows are grouped by that
+hash: all but the first occurrence of a window are repeats. Overlapping repeats together are the longest
 repeated runs; their lines, and blank lines inside, are deleted. First means the smallest document id, then the
 smallest position.
 
+This is not winnowing with extension. Each window also carries the least line hash in it, and windows
+whose least hash occurs once are left out before the grouping; equal windows share it, so this saves
+work and decides nothing. No positions are joined and no match is extended: a run is found
+by each of its windows, so the result is that of joining and extending, for a row per line instead
+of one per fingerprint.
+
 With ``words`` there are also windows measured by their content: the shortest run from a line on that holds so
 many words, one line if it is long enough. The registered query does without, as its SQL does: there
 a passage on one or two lines stays, however often it repeats.
@@ -61,7 +64,7 @@ def mark_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.unhex(F.md5(F.array_join(F.transform(F.slice("seq", p["s"] + 1, p["n"]), lambda x: x["line"]), "\n"))).alias("w"),
         F.element_at("seq", p["s"] + 1)["at"].alias("lo"), F.element_at("seq", p["s"] + p["n"])["at"].alias("hi")))
     rows = materialise(seq.select("rid", "id", F.explode(windows).alias("x")).select("rid", "id", "x.*"), "windows")
-    # Fingerprint places that occur once only need no comparison.
+    # Windows whose least hash occurs once repeat nowhere: this saves work and decides nothing.
     repeated = rows.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
     near = rows.join(repeated, "f", "left_semi")
     least = near.groupBy("w", "id", "rid").agg(F.min("s").alias("s")).groupBy("w").agg(
