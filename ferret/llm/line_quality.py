@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .secret_scan import bound
 
-SPACE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 RUN = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Characters lost by removed lines (percent) beyond which a text is rejected.
@@ -44,17 +44,17 @@ MARK_WORDS = 8
 RULES = ("punctuation", "navigation", "boilerplate")
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def repeated_words(words: Column) -> Column:
+    """Words inside windows of eight words that the array holds twice or more."""
+    # A slice per window would copy the whole array each time: hashes of 2, 4 and 8 words are built from those of half the length.
+    def joined(h, width):
+        return bound(h, lambda a: F.zip_with(a, F.slice(a, width + 1, F.size(a)), lambda x, y: F.xxhash64(x, y)))
 
-
-def repeated_words(words: Column, run: int = RUN) -> Column:
-    """Words inside windows of ``run`` words that the array holds twice or more."""
     def windows(h):
-        return F.transform(F.sequence(F.lit(1), F.size(h) - (run - 1)), lambda i: F.xxhash64(F.slice(h, i, run)))
+        return bound(joined(joined(joined(h, 1), 2), 4), lambda a: F.slice(a, 1, F.size(a) - (RUN - 1)))
 
     def covered(at):  # sorted starts: each covers up to the next one
-        steps = F.transform(at, lambda p, i: F.least(F.lit(run), F.coalesce(F.get(at, i + 1) - p, F.lit(run))))
+        steps = F.transform(at, lambda p, i: F.least(F.lit(RUN), F.coalesce(F.get(at, i + 1) - p, F.lit(RUN))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
     def again(s):  # windows in the order of their hashes: equal ones are neighbours
@@ -65,25 +65,29 @@ def repeated_words(words: Column, run: int = RUN) -> Column:
         placed = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(bound(bound(placed, lambda s: F.sort_array(again(s))), covered))
 
-    return F.when(F.size(words) <= run, F.lit(0)).otherwise(
+    return F.when(F.size(words) <= RUN, F.lit(0)).otherwise(
         bound(bound(F.transform(words, lambda w: F.xxhash64(w)), windows), found)).cast("bigint")
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
+def _line(text: Column, at: Column) -> Column:
+    """A line with its place, words, and the code points of its words."""
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return bound(words, lambda w: F.struct(text.alias("line"), at.alias("at"), w.alias("words"), F.size(w).alias("n"),
+                                           F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).alias("chars"), _symbols(text).alias("symbols")))
+
+
+def _symbols(text: Column) -> Column:
+    return F.when(text.rlike(f"[{SYMBOLS}]"), F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]", ""))).otherwise(F.lit(0))
 
 
-def line_rule(line: Column, n_words: Column, seen_before: Column) -> Column:
+def line_rule(x: Column, seen_before: Column) -> Column:
     """The first rule a line with words fails, else null."""
-    size = F.length(F.regexp_replace(line, SPACE, ""))
-    symbols = size - F.length(_without(F.regexp_replace(line, SPACE, ""), SYMBOLS))
-    shouts = F.length(line) - F.length(_without(line, "!"))
-    marked = line.rlike(ENDS)
-    punctuation = (symbols * SYMBOL_SHARE >= size) | ((n_words >= 5) & (shouts * SHOUT_SHARE >= n_words)) | ((n_words >= MARK_WORDS) & ~marked)
-    parts = F.size(F.filter(F.split(line, SPACE, -1), lambda w: w.isin(*SEPARATORS)))
-    navigation = (parts >= MENU_LEAST) & (parts * MENU_SHARE >= n_words)
-    phrase = F.lower(line).rlike("|".join(PHRASES))
-    boilerplate = ((n_words <= PHRASE_WORDS) & phrase) | seen_before
+    line, n = x["line"], x["n"]
+    shouts = F.length(line) - F.length(F.replace(line, F.lit("!"), F.lit("")))
+    punctuation = (x["symbols"] * SYMBOL_SHARE >= x["chars"]) | ((n >= 5) & (shouts * SHOUT_SHARE >= n)) | ((n >= MARK_WORDS) & ~line.rlike(ENDS))
+    parts = F.size(F.filter(x["words"], lambda w: w.isin(*SEPARATORS)))
+    navigation = line.rlike(f"[{''.join(SEPARATORS)}]") & (parts >= MENU_LEAST) & (parts * MENU_SHARE >= n)
+    boilerplate = ((n <= PHRASE_WORDS) & F.lower(line).rlike("|".join(PHRASES))) | seen_before
     return F.when(navigation, "navigation").when(punctuation, "punctuation").when(boilerplate, "boilerplate")
 
 
@@ -96,15 +100,13 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verdict and lose nothing. Null ids stay null, repeated rows are judged each, an empty table gives no rows, and very
     long texts are judged whole. Of equal lines the first is judged by the other rules, the later ones fail.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    # A line with its number of words; runs of equal lines are found by sorting (line, place).
-    parts = F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(x.alias("line"), i.alias("at"), F.size(_words(x)).alias("n")))
-    rows = rows.select("doc_id", "text", "t", _words(F.col("t")).alias("words"), parts.alias("lines"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("lines"))
+    rows = rows.withColumn("lines", F.transform("lines", _line))
 
     def later(s):  # places of lines equal to an earlier one
         return F.transform(F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["line"] == x["line"], F.lit(False))), lambda x: x["at"])
 
-    worded = F.filter("lines", lambda x: x["n"] > 0)
+    worded = F.transform(F.filter("lines", lambda x: x["n"] > 0), lambda x: F.struct(x["line"].alias("line"), x["at"].alias("at")))
     repeats = bound(worded, lambda w: F.when(F.size(F.array_distinct(F.transform(w, lambda x: x["line"]))) == F.size(w), F.array().cast("array<int>"))
                     .otherwise(bound(F.sort_array(w), later)))
     rows = rows.withColumn("repeats", repeats)
@@ -112,16 +114,16 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     flags = F.when(F.size("repeats") == 0, F.array().cast("array<boolean>")).otherwise(_marks(F.col("repeats"), F.size("lines")))
     judged = bound(F.struct(F.col("lines").alias("l"), flags.alias("f")), lambda s: F.transform(s["l"], lambda x, i: F.struct(
         x["line"].alias("line"), x["at"].alias("at"),
-        F.when(x["n"] > 0, line_rule(x["line"], x["n"], F.coalesce(F.get(s["f"], i), F.lit(False)))).alias("rule"))))
+        F.when(x["n"] > 0, line_rule(x, F.coalesce(F.get(s["f"], i), F.lit(False)))).alias("rule"))))
     rows = rows.withColumn("judged", judged)
     gone = F.filter("judged", lambda x: x["rule"].isNotNull())
     size = lambda lines: F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x["line"]))
+    total = lambda name: F.aggregate("lines", F.lit(0), lambda a, x: a + x[name]).cast("bigint").alias(name)
     rows = rows.select(
         "doc_id", "text", F.array_join(F.transform(F.filter("judged", lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n").alias("clean_text"),
         F.transform(gone, lambda x: F.struct(x["at"].alias("at"), x["rule"].alias("rule"))).alias("removed"),
-        F.size("words").cast("bigint").alias("n_words"), F.length(F.regexp_replace("t", SPACE, "")).cast("bigint").alias("word_chars"),
-        (F.length("t") - F.length(_without(F.col("t"), SYMBOLS))).cast("bigint").alias("n_symbols"),
-        F.size("repeats").cast("bigint").alias("n_dup_lines"), repeated_words(F.col("words")).alias("n_repeat_words"),
+        total("n").alias("n_words"), total("chars").alias("word_chars"), total("symbols").alias("n_symbols"),
+        F.size("repeats").cast("bigint").alias("n_dup_lines"), repeated_words(F.flatten(F.transform("lines", lambda x: x["words"]))).alias("n_repeat_words"),
         size(gone).alias("cut"), size(F.col("judged")).alias("all"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     return rows.withColumn("lost", F.when(F.col("all") > 0, 100 * F.col("cut").cast("double") / F.col("all")).otherwise(F.lit(0.0))) \
