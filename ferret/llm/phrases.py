@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import materialise
-from .vocabulary import Numbering, pair_hashes, passes, word_filter, word_hashes
+from .vocabulary import FILTER_BITS, Numbering, pair_hashes, passes, word_filter, word_hashes
 
 MAX_WORDS = 5
 MIN_COUNT = 100
@@ -50,7 +50,7 @@ def piece_words(text: bytes) -> list[bytes]:
     return BREAKS.sub(b" . ", text.lower()).split()
 
 
-def _chunks(batches):
+def _chunks(batches, size):
     """(language, distinct words, word numbers) of chunks of documents; number 0 ends a piece."""
     open_, held = {}, 0
     for b in batches:
@@ -62,7 +62,7 @@ def _chunks(batches):
             words.append(END)
             lists.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
             held += len(words)
-            if held >= CHUNK_WORDS:
+            if held >= size:
                 yield from ((k, list(i), np.concatenate(x)) for k, (i, x) in open_.items())
                 open_, held = {}, 0
     yield from ((k, list(i), np.concatenate(x)) for k, (i, x) in open_.items())
@@ -76,15 +76,17 @@ def _batches(lang, words, columns, n, names):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part[0]), pa.string()), *part, pa.array(n[lo:lo + OUT_ROWS])], names)
 
 
-def _words(batches):
-    for lang, words, ids in _chunks(batches):
-        n = np.bincount(ids, minlength=len(words))
-        yield from _batches(lang, words, [np.arange(1, len(words))], n[1:], ["lang", "w1", "n"])
+def _words(size):
+    def run(batches):
+        for lang, words, ids in _chunks(batches, size):
+            n = np.bincount(ids, minlength=len(words))
+            yield from _batches(lang, words, [np.arange(1, len(words))], n[1:], ["lang", "w1", "n"])
+    return run
 
 
-def _pairs(frequent):
+def _pairs(frequent, size):
     def run(batches):
-        for lang, words, ids in _chunks(batches):
+        for lang, words, ids in _chunks(batches, size):
             good = passes(frequent.value, word_hashes(words, lang))
             good[0] = False
             at = np.flatnonzero(good[ids[:-1]] & good[ids[1:]])
@@ -93,11 +95,11 @@ def _pairs(frequent):
     return run
 
 
-def _suffixes(frequent, depth):
+def _suffixes(frequent, depth, size):
     names = ["lang", *(f"w{i + 1}" for i in range(depth)), "n"]
 
     def run(batches):
-        for lang, words, ids in _chunks(batches):
+        for lang, words, ids in _chunks(batches, size):
             h = word_hashes(words, lang)
             good = np.zeros(len(ids) + depth, bool)
             inside = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
@@ -149,27 +151,26 @@ def _subtrees(depth, least):
 
 
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT,
-                  budget: int = BUDGET, filter_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+                  budget: int = BUDGET, filter_bits: int = FILTER_BITS, chunk_words: int = CHUNK_WORDS) -> tuple[DataFrame, DataFrame]:
     """Two tables: (lang, phrase, words, n) of every phrase of 1 to ``max_words`` words (3 at least) that occurs
     ``min_count`` times or more, overlaps included, and (lang, total) of all word occurrences."""
     spark = docs.sparkSession
     ship_package(spark)
-    more = {"bits": filter_bits} if filter_bits else {}
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    every = materialise(rows.mapInArrow(_words, "lang string, w1 string, n long").groupBy("lang", "w1").agg(F.sum("n").alias("n")), "words")
+    every = materialise(rows.mapInArrow(_words(chunk_words), "lang string, w1 string, n long").groupBy("lang", "w1").agg(F.sum("n").alias("n")), "words")
     totals = every.groupBy("lang").agg(F.sum("n").alias("total"))
     roots = every.where(F.col("n") >= min_count)
-    often = word_filter(roots.select(F.col("lang").alias("space"), "w1", F.lit(None).cast("string").alias("w2")), **more)
-    pairs = materialise(rows.mapInArrow(_pairs(often), "lang string, w1 string, w2 string, n long").groupBy("lang", "w1", "w2")
+    often = word_filter(roots.select(F.col("lang").alias("space"), "w1", F.lit(None).cast("string").alias("w2")), filter_bits)
+    pairs = materialise(rows.mapInArrow(_pairs(often, chunk_words), "lang string, w1 string, w2 string, n long").groupBy("lang", "w1", "w2")
                         .agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), "pairs")
-    chained = word_filter(pairs.select(F.col("lang").alias("space"), "w1", "w2"), **more)
+    chained = word_filter(pairs.select(F.col("lang").alias("space"), "w1", "w2"), filter_bits)
     mass = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     room = max(budget, -(-mass // MAX_GROUPS))
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-mass // room))
     heavy = pairs.where(F.col("n") > room).select("lang", "w1", "w2", F.lit(True).alias("heavy"))
     names = [f"w{i + 1}" for i in range(max_words)]
     schema = ", ".join(["lang string", *(f"{c} string" for c in names), "n long"])
-    leaves = rows.mapInArrow(_suffixes(chained, max_words), schema).join(F.broadcast(heavy), ["lang", "w1", "w2"], "left") \
+    leaves = rows.mapInArrow(_suffixes(chained, max_words, chunk_words), schema).join(F.broadcast(heavy), ["lang", "w1", "w2"], "left") \
         .withColumn("heavy", F.coalesce("heavy", F.lit(False)))
     spread = F.when(F.col("heavy"), F.xxhash64(*names[2:])).otherwise(F.lit(0))
     nodes = leaves.withColumn("spread", spread).repartition(groups, "lang", "w1", "w2", "spread").sortWithinPartitions("lang", *names) \
@@ -180,7 +181,7 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
 
 
 def mine_collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, top: int = TOP,
-                      budget: int = BUDGET, filter_bits: int | None = None) -> DataFrame:
+                      budget: int = BUDGET, filter_bits: int = FILTER_BITS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` phrases of 2 to ``max_words`` words of each language.
 
     a is a phrase's count, n the language's word occurrences. Cut after its first k words, a
@@ -191,7 +192,7 @@ def mine_collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "
     Null text is empty, a null language is ``und``; empty texts add nothing. Repeated rows count each. A text of any length is read
     whole. An empty table gives no rows. Products are held in 38 digits.
     """
-    counts, totals = phrase_counts(docs, lang_col, text_col, max_words, min_count, budget, filter_bits)
+    counts, totals = phrase_counts(docs, lang_col, text_col, max_words, min_count, budget, filter_bits, chunk_words)
     found = counts.where("words >= 2")
     shorter = lambda at: F.array_join(F.slice(F.split("phrase", " "), at, F.col("words") - 1), " ").alias("phrase")
     longer = found.where("words >= 3")

@@ -54,7 +54,7 @@ def terms(text: bytes) -> list[bytes]:
 POSTINGS = "block long, term binary, n_docs long, n_terms long, docs binary, counts binary"
 
 
-def _postings(wanted):
+def _postings(wanted, block_terms):
     def run(batches):
         block, index, docs, lists, held = TaskContext.get().partitionId() << 32, Numbering(), [], [], 0
         for b in batches:
@@ -65,7 +65,7 @@ def _postings(wanted):
                 docs.append((doc or 0, doc is None, len(found)))
                 lists.append(np.fromiter(map(index.__getitem__, found), np.int64, len(found)))
                 held += len(found)
-                if held >= BLOCK_TERMS or len(docs) == BLOCK_DOCS:
+                if held >= block_terms or len(docs) == BLOCK_DOCS:
                     yield from _block(block, wanted, index, docs, lists)
                     block, index, docs, lists, held = block + 1, Numbering(), [], [], 0
         if docs:
@@ -95,9 +95,9 @@ def _block(block, wanted, index, docs, lists):
 class Block:
     """The posting lists of one block with range maxima. Documents are numbered in the order of their ids."""
 
-    def __init__(self, ids, n_terms, lists, corpus_docs, corpus_terms, frequencies):
+    def __init__(self, ids, n_terms, lists, corpus_docs, corpus_terms, frequencies, leaf=LEAF):
         """lists: term -> (places of documents, counts); ids: sorted; frequencies: term -> documents of the corpus."""
-        self.ids = ids
+        self.ids, self.leaf = ids, leaf
         self.size = len(ids)
         length = 100 - LENGTH_SHARE + LENGTH_SHARE * n_terms * corpus_docs // max(corpus_terms, 1)
         self.number, docs, impacts, ends = {}, [], [], [0]
@@ -176,7 +176,7 @@ class Block:
                 if -bound < kept[0][0]:
                     break
                 continue
-            if b - a <= LEAF:
+            if b - a <= self.leaf:
                 n = hi - lo
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 score = np.zeros(b - a, np.int64)
@@ -194,7 +194,7 @@ class Block:
         return sorted(((s, -p) for s, p in kept), key=lambda x: (-x[0], x[1]))
 
 
-def read_block(table, corpus_docs, corpus_terms, frequencies):
+def read_block(table, corpus_docs, corpus_terms, frequencies, leaf):
     """The rows of one block as a Block, and the ids of its documents (None: null, sorted last)."""
     head = table.filter(pc.is_null(table.column("term")))
     docs = np.frombuffer(head.column("docs")[0].as_py(), "<i8").reshape(-1, 3)
@@ -207,21 +207,21 @@ def read_block(table, corpus_docs, corpus_terms, frequencies):
         if term in frequencies:
             lists[term] = place[np.frombuffer(at, "<u4")], np.frombuffer(tf, "<u4")
     ids = [None if null else int(i) for i, null, _ in docs[order]]
-    return Block(ids, docs[order, 2], lists, corpus_docs, corpus_terms, frequencies)
+    return Block(ids, docs[order, 2], lists, corpus_docs, corpus_terms, frequencies, leaf)
 
 
-def _search(plan, size):
+def _search(plan, size, leaf):
     schema = pa.schema([("query", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
 
     def run(table):
         queries, corpus_docs, corpus_terms, frequencies = plan.value
-        block = read_block(table, corpus_docs, corpus_terms, frequencies)
+        block = read_block(table, corpus_docs, corpus_terms, frequencies, leaf)
         found = [(q, block.ids[place], score) for q, asked in queries for score, place in block.best(asked, size)]
         return pa.Table.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(3)], schema=schema)
     return run
 
 
-def _search_part(rows: DataFrame, queries: list, size: int) -> DataFrame:
+def _search_part(rows: DataFrame, queries: list, size: int, block_terms: int, leaf: int) -> DataFrame:
     """query, doc_id, score: the best of every block for queries [(number, text)]."""
     spark = rows.sparkSession
     asked = []
@@ -233,17 +233,17 @@ def _search_part(rows: DataFrame, queries: list, size: int) -> DataFrame:
     wanted = sorted({t for _, q in asked for t, _ in q})
     names = spark.createDataFrame(pa.table({"space": pa.array([""] * len(wanted), pa.string()), "w1": pa.array([t.decode() for t in wanted], pa.string()),
                                             "w2": pa.nulls(len(wanted), pa.string())}))
-    postings = materialise(rows.mapInArrow(_postings(word_filter(names)), POSTINGS), "postings")
+    postings = materialise(rows.mapInArrow(_postings(word_filter(names), block_terms), POSTINGS), "postings")
     corpus = postings.where("term is null").agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("terms")).first()
     held = postings.where("term is not null").groupBy("term").agg(F.sum("n_docs").alias("n")) \
         .join(F.broadcast(names.select(F.col("w1").cast("binary").alias("term"))), "term", "left_semi").toArrow()  # a row per query term
     frequencies = dict(zip(held.column("term").to_pylist(), held.column("n").to_pylist(), strict=True))
     plan = spark.sparkContext.broadcast((asked, corpus["docs"], corpus["terms"], frequencies))
-    return postings.groupBy("block").applyInArrow(_search(plan, size), "query long, doc_id long, score long")
+    return postings.groupBy("block").applyInArrow(_search(plan, size, leaf), "query long, doc_id long, score long")
 
 
 def ranked_search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id",
-                  query_text: str = "text", size: int = SIZE, query_bytes: int = QUERY_BYTES) -> DataFrame:
+                  query_text: str = "text", size: int = SIZE, query_bytes: int = QUERY_BYTES, block_terms: int = BLOCK_TERMS, leaf: int = LEAF) -> DataFrame:
     """The query's id, rank (from 1), doc_id and score: the ``size`` documents of highest score above 0 for every query.
 
     Equal scores are ordered by id, null ids last; repeated documents are ranked each. A repeated query is searched for
@@ -265,7 +265,7 @@ def ranked_search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", t
     found = None
     for part in parts:
         some = asked if part is None else asked.where(F.col("part") == part)
-        hits = _search_part(rows, [(r["query"], r["text"]) for r in some.select("query", "text").collect()], size)
+        hits = _search_part(rows, [(r["query"], r["text"]) for r in some.select("query", "text").collect()], size, block_terms, leaf)
         found = hits if found is None else found.unionByName(hits)
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
