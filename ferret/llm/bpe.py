@@ -70,15 +70,9 @@ class Bpe:
             return SPACED.findall(text)
         return [bytes(map(BYTES.__getitem__, s)).decode() for s, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
-    def word_ids(self, word: str) -> list[int]:
-        """Token ids of a word without white space (``spaceless`` files)."""
-        if not self.known_split or UNUSUAL.search(word) or any(s in word for s in self.specials):
-            return self.tok.encode(word, add_special_tokens=False).ids
-        return [i for p in SPACELESS.findall(word.lower()) for i in self._pretoken_ids(p)]
-
-    @lru_cache(maxsize=150_000)  # noqa: B019  one instance per worker and file
-    def _pretoken_ids(self, pretoken: str) -> tuple[int, ...]:
-        return tuple(t.id for t in self.pieces(pretoken))
+    def plain(self, text: str) -> bool:
+        """Whether ``SPACELESS`` cuts the text's lower-case form exactly as the file does (``known_split`` files)."""
+        return not UNUSUAL.search(text) and not any(s in text for s in self.specials)
 
 
 @lru_cache(maxsize=4)

@@ -7,13 +7,12 @@ those of the benchmark (an item with fewer tokens is one window). An item's wind
 literals is looked for by its words as they are, and lengthened until it holds enough literals to be
 looked for as a template. An item's first word is never a placeholder for a name or unit, as nothing is before it; a
 document's windows that begin with one are also looked for with that word as it is, by the first windows. Windows that
-match at the same distance belong together; the item's slot words must map to the
-document's one to one way (each item word always to the same document word), else the match
-is dropped. Equal words are a verbatim copy, others a re-parameterised question.
+match at the same distance belong together. A window whose words equal the item's is a verbatim copy and counts
+whatever other windows hold. In the other windows the item's slot words must map to the document's one way (each
+item word always to the same document word), else these are dropped; they show a re-parameterised question.
 
-The benchmark's window hashes are sent to the tasks when there are at most
-``MAX_SENT`` (16 MB), so only matching windows leave a task; with more, all windows are
-joined by a shuffle. Either way the join decides.
+Tasks get a filter of fixed size over the benchmark's window hashes, so few other windows leave a
+task; the join decides.
 """
 
 from __future__ import annotations
@@ -27,15 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import id_text, materialise
+from .common import id_text, materialise, prepare
+from .vocabulary import hash_filter, passes
 
 WINDOW = 8
 #: Words of a template window that must not be placeholders.
 LITERALS = 5
 #: An item with fewer template tokens is too general to look for.
 LEAST_TOKENS = 4
-MAX_SENT = 2_000_000
 WORDS_KEPT = 150_000
 
 # Units of measure that a number is followed by.
@@ -203,7 +201,7 @@ def _limits(window, literals, least):
 def limited_items(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS,
                   least: int = LEAST_TOKENS) -> DataFrame:
     """item_id, tokens and found: the items that are never looked for (too few tokens), and those found verbatim only (too few literals)."""
-    ship_package(benchmark.sparkSession)
+    prepare(benchmark.sparkSession)
     return id_text(benchmark, item_id, item_text, binary=True).mapInArrow(_limits(window, literals, least), "item_id long, tokens int, found string")
 
 
@@ -212,23 +210,12 @@ HITS = "rid long, id long, th long, h long, dpos int, lead boolean, dslots array
 
 def _windows(forms, sent):
     """forms: sizes, whether words are taken as they are, and whether templates at an item's start have the size;
-    sent: a broadcast of the sorted hashes to look for, or None for all windows."""
+    sent: a broadcast filter of the hashes to look for."""
     def run(batches):
         rid = TaskContext.get().partitionId() << 33
-        wanted = flags = None
-        if sent is not None:
-            wanted = sent.value
-            flags = np.zeros(1 << 22, bool)
-            flags[wanted >> np.uint64(42)] = True
 
         def sought(hashes):
-            if wanted is None:
-                return range(len(hashes))
-            at = np.flatnonzero(flags[hashes >> np.uint64(42)])
-            if len(at):
-                near = wanted[np.minimum(np.searchsorted(wanted, hashes[at]), len(wanted) - 1)]
-                at = at[near == hashes[at]]
-            return at.tolist()
+            return np.flatnonzero(passes(sent.value, hashes)).tolist()
 
         for b in batches:
             rows = []
@@ -261,31 +248,28 @@ def _hits(rows):
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-                      item_text: str = "text", window: int = WINDOW, literals: int = LITERALS, least: int = LEAST_TOKENS, max_sent: int = MAX_SENT) -> DataFrame:
+                      item_text: str = "text", window: int = WINDOW, literals: int = LITERALS, least: int = LEAST_TOKENS) -> DataFrame:
     """doc_id, th (hash of the text), item_id, windows (matched) and kind, a row per document row and item found in it.
 
     Null and empty texts match nothing; items with under ``least`` template tokens are not looked for (see ``limited_items``); null
     ids stay null; repeated rows are found each; an empty benchmark or table gives no rows.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     bench = materialise(id_text(benchmark, item_id, item_text, binary=True).mapInArrow(_bench(window, literals, least), BENCH), "items")
     forms = [tuple(r) for r in bench.groupBy("size", "as_is").agg(F.max(F.expr("ipos = 0 AND NOT as_is"))).collect()]  # at most twice the longest item's tokens
-    keys = bench.select("h").distinct().limit(max_sent + 1).toArrow().column("h").to_numpy()
-    sent = None if len(keys) > max_sent or not len(keys) else spark.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
+    sent = hash_filter(bench.select("h"))
     texts = id_text(docs, id_col, text_col, binary=True).select("id", F.xxhash64("text").alias("th"), "text")
     hits = texts.mapInArrow(_windows(forms, sent), HITS)
     found = materialise(hits.join(bench, "h").where("NOT lead OR ipos = 0").withColumn("apart", F.col("dpos") - F.col("ipos")), "matches")
     one = ["rid", "id", "th", "item_id", "apart"]
-    pairs = found.select(*one, "ipos", F.explode_outer(F.arrays_zip(F.col("islots").alias("i"), F.col("dslots").alias("d"))).alias("p"))
-    words = pairs.groupBy(*one, F.col("p.i").alias("word")).agg(
-        F.min("p.d").alias("low"), F.max("p.d").alias("high"), F.count_distinct("ipos").alias("windows"))
-    places = words.groupBy(*one).agg(
-        F.bool_and(F.col("low").isNull() | (F.col("low") == F.col("high"))).alias("consistent"),
-        F.bool_and(F.col("low").isNull() | (F.col("low") == F.col("word"))).alias("same"))
-    counts = found.groupBy(*one).agg(F.count_distinct("ipos").alias("windows"))
-    kept = places.where("consistent").join(counts, ["rid", "item_id", "apart"]).groupBy(places["rid"], places["id"], places["th"], places["item_id"])
-    return kept.agg(F.sum("windows").alias("windows"), F.max("same").alias("same")).select(
+    found = found.withColumn("same", F.col("as_is") | (F.col("islots") == F.col("dslots")))
+    pairs = found.where("NOT same").select(*one, F.explode(F.arrays_zip(F.col("islots").alias("i"), F.col("dslots").alias("d"))).alias("p"))
+    words = pairs.groupBy(*one, F.col("p.i").alias("word")).agg(F.min("p.d").alias("low"), F.max("p.d").alias("high"))
+    torn = words.where("low != high").select("rid", "item_id", "apart").distinct()
+    others = found.where("NOT same").join(torn, ["rid", "item_id", "apart"], "left_anti")
+    kept = found.where("same").unionByName(others, allowMissingColumns=True).groupBy("rid", "id", "th", "item_id")
+    return kept.agg(F.count_distinct("apart", "ipos").alias("windows"), F.bool_and("same").alias("same")).select(
         F.col("id").alias("doc_id"), "th", "item_id", "windows", F.when(F.col("same"), "verbatim").otherwise("re-parameterised").alias("kind"))
 
 

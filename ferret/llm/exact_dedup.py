@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import integer_id, materialise
 
 #: Share of the rows from which a digest is heavy. 1 / SUPPORT bounds counters and broadcast rows.
 SUPPORT = 0.005
@@ -41,7 +41,7 @@ def _winners(rows: DataFrame) -> DataFrame:
 
 
 def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return materialise(docs.select(F.col(id_col).cast("bigint").alias("id"), text_digest(F.col(text_col)).alias("sha"))
+    return materialise(docs.select(integer_id(docs, id_col).alias("id"), text_digest(F.col(text_col)).alias("sha"))
                        .withColumn("rid", F.monotonically_increasing_id()), "digests")
 
 
@@ -71,9 +71,9 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with the same id, one of the repeats stays."""
     rows = _digests(docs, id_col, text_col)
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       F.col(id_col).cast("bigint").alias("id"), text_digest(F.col(text_col)).alias("sha"))
+                       F.col(id_col).cast("bigint").alias("id"), text_digest(F.col(text_col)).alias("sha"), F.monotonically_increasing_id().alias("place"))
     found = _decide(rows, wide, support).where(F.col("id").eqNullSafe(F.col("keep_id")))
     once = found.where(F.col("keep_rows") == 1).select("row")
-    # A min of whole rows needs no memory per group and picks the same row every time.
-    again = found.where(F.col("keep_rows") > 1).groupBy("sha").agg(F.min("row").alias("row")).select("row")
+    # The first of them in reading order; whole rows need not be comparable (a map is not).
+    again = found.where(F.col("keep_rows") > 1).groupBy("sha").agg(F.min_by("row", "place").alias("row")).select("row")
     return once.unionByName(again).select("row.*")

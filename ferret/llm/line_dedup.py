@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import integer_id, materialise
 
 #: Lines of a run that is deleted when repeated.
 RUN = 3
@@ -45,7 +45,7 @@ def mark_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lose nothing, unless ``words`` is given and a line or a shorter run holds so many. Null ids come last in the order of occurrence; repeated rows are ordered among themselves,
     so one keeps its lines. An empty table gives no rows.
     """
-    docs = materialise(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    docs = materialise(docs.select(integer_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
                        .withColumn("rid", F.monotonically_increasing_id()), "lines")
     last = F.lit((1 << 63) - 1)
     seq = docs.select("rid", F.coalesce("id", last).alias("id"), _lines(F.coalesce("text", F.lit(""))).alias("seq")).where(F.size("seq") >= (1 if words else run))

@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import id_text, materialise
+from .common import id_text, materialise, prepare
 from .components import components
 
 WORDS, BANDS, ROWS = 5, 32, 4
@@ -280,17 +279,19 @@ def mark_near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS,
     other. Repeated rows are each their own row of one class: rows that repeat the smallest id are
     all kept. An empty table gives no rows.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     texts = id_text(docs, id_col, text_col, binary=True)
     signed = materialise(texts.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(_sign(words), SIGNED), "signed")
     classes = materialise(signed.where("n > 0").groupBy("sk").agg(
-        F.min("id").alias("cid"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-        .withColumn("v", F.monotonically_increasing_id()), "classes")
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .select("sk", F.col("first.id").alias("cid"), F.col("first.th").alias("cth"), "n", "bands", "sig").withColumn("v", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("v", F.posexplode("bands").alias("band", "bk"))
     reps = buckets.groupBy("bk").agg(F.min("v").alias("r"), F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = materialise(buckets.join(reps, "bk"), "buckets")
-    wanted = classes.join(shared.select("v").distinct(), "v", "left_semi").select("v", "sk", "cid")
-    sets = materialise(texts.join(wanted, texts["id"].eqNullSafe(wanted["cid"])).select("v", "sk", "text").mapInArrow(_sets(words), "v long, set binary"), "sets")
+    wanted = classes.join(shared.select("v").distinct(), "v", "left_semi").select("v", "sk", "cid", "cth")
+    # By id and text: null and repeated ids of other texts would meet every such class.
+    known = texts.withColumn("th", F.xxhash64("text"))
+    sets = materialise(known.join(wanted, known["id"].eqNullSafe(wanted["cid"]) & (known["th"] == wanted["cth"])).select("v", "sk", "text").mapInArrow(_sets(words), "v long, set binary"), "sets")
     stars = shared.where("v != r").select(F.col("r").alias("u"), "v").distinct()
     sizes = classes.select(F.col("v").alias("w"), F.col("n").alias("m"))
     stars = stars.join(sizes, F.col("u") == F.col("w")).select("u", "v", F.col("m").alias("nu")).join(sizes, F.col("v") == F.col("w")) \
@@ -315,7 +316,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS,
     marks = materialise(mark_near_duplicates(docs, percent, words, id_col, text_col).groupBy("doc_id", "th").agg(
         F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times")).where("NOT kept OR times > 1"), "marks")
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"), th.alias("h"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"), th.alias("h"), F.monotonically_increasing_id().alias("place"))
     same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))
-    again = rows.join(marks.where("kept"), same).groupBy("doc_id", "th").agg(F.min("row").alias("row")).select("row")
+    again = rows.join(marks.where("kept"), same).groupBy("doc_id", "th").agg(F.min_by("row", "place").alias("row")).select("row")
     return rows.join(marks, same, "left_anti").select("row").unionByName(again).select("row.*")

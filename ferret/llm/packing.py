@@ -19,51 +19,58 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .bpe import bpe
-from .common import id_text, materialise
+from .bpe import SPACELESS, bpe
+from .common import id_text, materialise, prepare
 
 SEQUENCE = 2048
 END_ID = 1
-#: Words kept per worker; beyond that, new words are encoded each time (same ids).
-WORDS_KEPT = 400_000
+#: Pre-tokens kept per worker; beyond that, new ones are encoded each time (same ids).
+PRETOKENS_KEPT = 750_000
 OUT_BYTES = 16 << 20
 
 
-class _Words(dict):
-    """Word bytes to the bytes of its ids."""
+class _Ids(dict):
+    """Pre-tokens to the bytes of their ids. Words that differ in case or punctuation share them."""
 
     def __init__(self, path):
         super().__init__()
         self.bpe = bpe(path)
         self.kind = np.dtype("<u2") if self.bpe.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
-    def __missing__(self, word):
-        ids = np.array(self.bpe.word_ids(word.decode()), self.kind).tobytes()
-        if len(self) < WORDS_KEPT and len(word) <= 48:
-            self[word] = ids
+    def __missing__(self, pretoken):
+        ids = np.array([t.id for t in self.bpe.pieces(pretoken)], self.kind).tobytes()
+        if len(self) < PRETOKENS_KEPT and len(pretoken) <= 48:
+            self[pretoken] = ids
         return ids
 
+    def text(self, text: str) -> bytes:
+        if not self.bpe.spaceless:
+            return self._whole(text)
+        if self.bpe.known_split and self.bpe.plain(text):
+            return b"".join(map(self.__getitem__, SPACELESS.findall(text.lower())))
+        return b"".join(self._word(w) for w in text.split(" "))
+
+    def _word(self, word):
+        if self.bpe.known_split and self.bpe.plain(word):
+            return b"".join(map(self.__getitem__, SPACELESS.findall(word.lower())))
+        return self._whole(word)
+
+    def _whole(self, text):
+        return np.array(self.bpe.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
 
 @lru_cache(maxsize=4)
-def _words(path):
-    return _Words(path)
+def _ids(path):
+    return _Ids(path)
 
 
 def _encode(path, end_id):
     def run(batches):
-        words = _words(path)
-        kind, end = words.kind, np.array([end_id], words.kind).tobytes()
-        get, whole = words.__getitem__, not words.bpe.spaceless
+        ids_of = _ids(path)
+        kind, end = ids_of.kind, np.array([end_id], ids_of.kind).tobytes()
         at, part = 0, TaskContext.get().partitionId()
         for b in batches:
-            out = []
-            for data in b.column("text").to_pylist():
-                if whole:
-                    ids = np.array(words.bpe.tok.encode(data.decode(), add_special_tokens=False).ids, kind).tobytes()
-                else:
-                    ids = b"".join(map(get, data.split()))
-                out.append(ids + end)
+            out = [ids_of.text(data.decode()) + end for data in b.column("text").to_pylist()]
             n = np.fromiter(map(len, out), np.int64, len(out)) // kind.itemsize
             ends = at + np.cumsum(n)
             yield pa.RecordBatch.from_arrays(
@@ -113,7 +120,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col
     needs. An empty table gives no pieces. Documents lie in the order of their input
     partitions, which the written ids of pass 1 fix, so a repeated task cuts the same.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     encoded = materialise(id_text(docs, id_col, text_col, binary=True)
                           .mapInArrow(_encode(tokenizer, end_id), ENCODED), "pack")
     totals = encoded.groupBy("part").agg(F.max(F.col("local") + F.col("n")).alias("total"))

@@ -27,8 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import materialise
+from .common import materialise, prepare
 from .vocabulary import FILTER_BITS, Numbering, pair_hashes, passes, word_filter, word_hashes
 
 MAX_WORDS = 5
@@ -155,7 +154,7 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     """Two tables: (lang, phrase, words, n) of every phrase of 1 to ``max_words`` words (3 at least) that occurs
     ``min_count`` times or more, overlaps included, and (lang, total) of all word occurrences."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     every = materialise(rows.mapInArrow(_words(chunk_words), "lang string, w1 string, n long").groupBy("lang", "w1").agg(F.sum("n").alias("n")), "words")
     totals = every.groupBy("lang").agg(F.sum("n").alias("total"))

@@ -29,8 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import materialise
+from .common import id_text, materialise, prepare
 from .vocabulary import Numbering, passes, word_filter, word_hashes
 
 SIZE = 10
@@ -251,8 +250,8 @@ def ranked_search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", t
     queries find nothing. Without documents or queries there are no rows. Texts of any length are read whole.
     """
     spark = docs.sparkSession
-    ship_package(spark)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    prepare(spark)
+    rows = id_text(docs, id_col, text_col, binary=True)
     asked = materialise(queries.select(F.col(query_id).alias("name"), F.col(query_text).alias("text")).withColumn("query", F.monotonically_increasing_id()), "queries")
     sizes = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
     total = asked.agg(F.coalesce(F.sum(sizes), F.lit(0)).alias("n")).first()["n"]

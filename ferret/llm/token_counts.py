@@ -16,9 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
 from .bpe import bpe
-from .common import id_text
+from .common import id_text, prepare
 
 #: A chunk is closed at so many pre-tokens; it bounds a task's memory. Documents in a chunk
 #: are numbered in 16 bits.
@@ -174,7 +173,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col:
     and 0 tokens, a null id stays null, repeated rows are counted each, an empty table gives
     no rows. The input has to be a table read (its tasks then see the same rows when they run again).
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = id_text(docs, id_col, text_col, binary=True).mapInArrow(_frequencies(tokenizer), FREQUENCIES)
     parts = rows.repartition("pretoken", "salt").sortWithinPartitions("pretoken").mapInArrow(_pieces(tokenizer), PARTIALS)
     counts = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_total, COUNTS)

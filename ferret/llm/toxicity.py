@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct character n-grams of its lower-cased UTF-8 bytes
-(hashed to 32 bits). Each feature is scaled by its log ratio of document frequencies in
+A text's features are the distinct n-grams of its lower-cased characters (code points,
+hashed to 32 bits). Each feature is scaled by its log ratio of document frequencies in
 toxic and clean training texts, and a logistic regression is trained on the scaled features.
 
 Training fits on a bounded sample (``MAX_PER_CLASS`` labelled rows of either class, those
@@ -22,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import id_text, materialise
+from .common import id_text, materialise, prepare
 
-#: n-gram lengths in bytes.
+#: n-gram lengths in characters.
 ORDERS = (4, 5, 6, 8)
 MAX_PER_CLASS = 1500
 MAX_FEATURES = 30_000
@@ -34,13 +33,13 @@ MIN_TEXTS = 4
 CUT = 0.3
 FOLDS, HELD_OUT = 4, 2
 BASE = np.uint32(0x01000193)
-GAP = b"\0" * max(ORDERS)
+GAP = "\0" * max(ORDERS)
 CHUNK = 1 << 18
 
 
-def ngram_hashes(data: bytes) -> list[np.ndarray]:
-    """For each order the hash of the n-gram that starts at each byte."""
-    b = np.frombuffer(data, np.uint8).astype(np.uint32)
+def ngram_hashes(text: str) -> list[np.ndarray]:
+    """For each order the hash of the n-gram that starts at each character."""
+    b = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     out, h = [], np.zeros(len(b), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         if len(b) < n:
@@ -53,9 +52,9 @@ def ngram_hashes(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def normal(text: str) -> bytes:
+def normal(text: str) -> str:
     """Lower-cased, white space as one space, one space on either side."""
-    return f" {' '.join(text.lower().split())} ".encode()
+    return f" {' '.join(text.lower().split())} "
 
 
 @dataclass
@@ -71,7 +70,7 @@ class Model:
         self.flags[self.features >> np.uint32(12)] = True
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Probability of label 1 for each text; texts are read in runs of about CHUNK bytes."""
+        """Probability of label 1 for each text; texts are read in runs of about CHUNK characters."""
         total, seen = np.full(len(texts), self.intercept), np.zeros(len(texts), bool)
         run, starts, first, size = [], [], 0, 0
         for i, t in enumerate(texts):
@@ -160,7 +159,7 @@ def fold(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled documents outside the held-out fold. Null labels and ids without a
     document are left out; a document with several labels counts as toxic if one says so."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     marked = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label")) \
         .where(F.col("id").isNotNull() & F.col("label").isNotNull() & (fold(F.col("id")) != HELD_OUT)) \
         .groupBy("id").agg(F.max("label").alias("label"))

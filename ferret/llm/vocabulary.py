@@ -60,11 +60,20 @@ def _row_hashes(words, spaces):
 
 def word_filter(words: DataFrame, bits: int = FILTER_BITS):
     """A broadcast filter over the rows (space, w1, w2) of words (w2 null in every row) or of word pairs."""
-    parts = words.select("space", "w1", "w2").mapInArrow(_bits(bits), "slot long, mask long")
+    return _collected(words.select("space", "w1", "w2").mapInArrow(_bits(bits), "slot long, mask long"), bits)
+
+
+def hash_filter(hashes: DataFrame, bits: int = FILTER_BITS):
+    """A broadcast filter over a column h of 64-bit hashes."""
+    at = F.col("h").bitwiseAND(F.lit(bits - 1))
+    return _collected(hashes.select(F.shiftrightunsigned(at, 6).alias("slot"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("mask")), bits)
+
+
+def _collected(parts: DataFrame, bits: int):
     found = parts.groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
     table = np.zeros(bits >> 6, np.int64)
     table[found.column("slot").to_numpy()] = found.column("mask").to_numpy()
-    return words.sparkSession.sparkContext.broadcast(table.tobytes())
+    return parts.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
 def passes(raw: bytes, hashes: np.ndarray) -> np.ndarray:

@@ -252,10 +252,10 @@ def test_decontamination(spark, empty):
     mixed = item.replace("Anna buys", "Maria buys").replace("30 km", "30 mi")  # one name becomes two
     texts = [(1, "before " + item + " after"), (2, "x " + other), (3, "unrelated words here and there"), (4, None), (5, ""), (6, mixed), (1, "before " + item + " after")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    for sent in (1000, 1):  # hashes sent to the tasks, and all windows joined by a shuffle
-        rows = decontaminate.find_contaminated(df, bench, max_sent=sent).collect()
-        assert Counter((r.doc_id, r.item_id, r.kind) for r in rows) == {(1, 1, "verbatim"): 2, (2, 1, "re-parameterised"): 1}
-    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()) == [3, 4, 5, 6]
+    rows = decontaminate.find_contaminated(df, bench).collect()
+    # Document 6 holds eight words in a row as they are: that counts, though its other windows contradict each other.
+    assert Counter((r.doc_id, r.item_id, r.kind) for r in rows) == {(1, 1, "verbatim"): 2, (2, 1, "re-parameterised"): 1, (6, 1, "verbatim"): 1}
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()) == [3, 4, 5]
     assert decontaminate.find_contaminated(empty, bench).count() == 0
 
 
@@ -267,9 +267,8 @@ def test_decontamination_of_items_dense_in_slots(spark):
     texts = [(i, f"some words before it. {t} and more after it") for i, t in items[:4]] + [
         (11, "What is 13 + 7 - 3 * 4 / 2 + 9 ?"), (12, "Add 12 and 31 together"), (14, "x. " + other), (15, "x. " + other.replace("done", "gone"))]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    for sent in (1000, 1):
-        rows = decontaminate.find_contaminated(df, bench, max_sent=sent).collect()
-        assert sorted((r.doc_id, r.item_id, r.kind) for r in rows) == [(i, i, "verbatim") for i in (1, 2, 3, 4)] + [(14, 4, "re-parameterised")]
+    rows = decontaminate.find_contaminated(df, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in rows) == [(i, i, "verbatim") for i in (1, 2, 3, 4)] + [(14, 4, "re-parameterised")]
     assert sorted(map(tuple, decontaminate.limited_items(bench).collect())) == [
         (1, 8, "verbatim only"), (2, 5, "verbatim only"), (3, 10, "verbatim only"), (5, 2, "never"), (6, 0, "never")]
 
@@ -284,10 +283,9 @@ def test_decontamination_of_items_inside_a_text(spark):
              ("Question 12. In which year did the long war end", 2, "verbatim"), ("Question: " + long, 3, "verbatim")]
     texts = [(i, t) for i, (t, _, _) in enumerate(found)] + [(90, "Question: Where is the capital of France"), (91, "Question: What was the capital of France")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    for sent in (1000, 1):
-        rows = decontaminate.find_contaminated(df, bench, max_sent=sent).collect()
-        assert sorted((r.doc_id, r.item_id, r.kind) for r in rows) == [(i, item, kind) for i, (_, item, kind) in enumerate(found)]
-        assert {r.windows for r in rows if r.item_id == 3} == {decontaminate.find_contaminated(df.selectExpr("doc_id", f"'{long}' AS text").limit(1), bench).first().windows}
+    rows = decontaminate.find_contaminated(df, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in rows) == [(i, item, kind) for i, (_, item, kind) in enumerate(found)]
+    assert {r.windows for r in rows if r.item_id == 3} == {decontaminate.find_contaminated(df.selectExpr("doc_id", f"'{long}' AS text").limit(1), bench).first().windows}
 
 
 def test_toxicity(spark):
