@@ -4,7 +4,8 @@ The suffixes of all pieces, cut at ``max_words`` words, form a forest by their f
 is built in three passes over the texts, each counting inside chunks of a task first:
 
 1. single words (the roots);
-2. pairs of words that occur often enough by themselves (the prefixes of the partition);
+2. pairs of words that occur often enough by themselves (the prefixes of the partition), sent as
+   one row per first word and chunk;
 3. suffixes whose successive pairs are all frequent, cut where one is not. A phrase is frequent
    only if all its pairs are, so nothing that counts is lost.
 
@@ -14,7 +15,7 @@ spills), and its subtrees are read off the sorted rows, batch by batch: a node's
 the total of the leaves below it. Nodes that a batch or a heavy prefix cuts are emitted in parts and summed up.
 
 What a task holds is bounded by a chunk or a batch, whatever the corpus is. Broadcast are two
-filters of fixed size, and the prefixes above the budget, of which there are fewer than ``MAX_GROUPS``.
+filters of fixed size, fewer than ``MAX_COMMON`` first words, and fewer than ``MAX_GROUPS`` prefixes above the budget.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ TOP = 2000
 #: Words of a chunk, and suffixes of a group of prefixes.
 CHUNK_WORDS, BUDGET = 2_000_000, 4_000_000
 MAX_GROUPS = 1 << 16
+#: A first word with more than this part of all words is heavy: the words after it are dealt to PARTS groups. There are fewer than MAX_COMMON.
+MAX_COMMON, PARTS = 4096, 64
 OUT_ROWS = 50_000
 
 # FIXED VALUES: what ends a piece. Words are separated by spaces and tabs.
@@ -83,14 +86,56 @@ def _words(size):
     return run
 
 
-def _pairs(frequent, size):
+def _pairs(frequent, heavy, size):
+    """Per first word (and part of a heavy one) the words that follow it in a chunk, in one row."""
     def run(batches):
         for lang, words, ids in _chunks(batches, size):
-            good = passes(frequent.value, word_hashes(words, lang))
+            h = word_hashes(words, lang)
+            good = passes(frequent.value, h)
             good[0] = False
+            parted = np.fromiter(((lang, w) in heavy.value for w in words), bool, len(words))
             at = np.flatnonzero(good[ids[:-1]] & good[ids[1:]])
             key, n = np.unique(ids[at] << 32 | ids[at + 1], return_counts=True)
-            yield from _batches(lang, words, [key >> 32, key & 0xFFFFFFFF], n, ["lang", "w1", "w2", "n"])
+            first, second = key >> 32, key & 0xFFFFFFFF
+            part = np.where(parted[first], (h[second] >> np.uint64(20)).astype(np.int64) % PARTS, 0)
+            order = np.lexsort((part, first))
+            first, second, part, n = first[order], second[order], part[order], n[order]
+            starts = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (part[1:] != part[:-1])])) if len(first) else np.zeros(0, np.int64)
+            text = pa.array(words, pa.binary()).cast(pa.string())
+            ends = np.append(starts[1:], len(first))
+            for lo in range(0, len(starts), OUT_ROWS):
+                row = slice(lo, lo + OUT_ROWS)
+                at, to = starts[row], ends[row][-1]
+                offsets = pa.array(np.append(at, to) - at[0], pa.int32())
+                joined = pc.binary_join(pa.ListArray.from_arrays(offsets, text.take(pa.array(second[at[0]:to]))), " ")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(at), pa.string()), text.take(pa.array(first[at])), pa.array(part[at]), joined,
+                     pa.ListArray.from_arrays(offsets, pa.array(n[at[0]:to], pa.int32()))], ["lang", "w1", "part", "followers", "counts"])
+    return run
+
+
+FOLLOWERS = "lang string, w1 string, part long, followers string, counts array<int>"
+
+
+def _follower_counts(least):
+    """Pair counts from rows sorted by first word and part; the pairs of rows that a batch cuts are emitted whatever their count."""
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.ones(b.num_rows, bool)
+            new[1:] = False
+            for c in ("lang", "w1", "part"):
+                new[1:] |= pc.not_equal(b.column(c)[1:], b.column(c)[:-1]).to_numpy(zero_copy_only=False)
+            run_of = np.cumsum(new) - 1
+            lists = pc.split_pattern(b.column("followers"), " ")
+            table = pa.table({"run": run_of[pc.list_parent_indices(lists).to_numpy()], "w2": pc.list_flatten(lists), "n": pc.list_flatten(b.column("counts")).cast(pa.int64())})
+            sums = table.group_by(["run", "w2"]).aggregate([("n", "sum")])
+            r, n = sums.column("run").to_numpy(), sums.column("n_sum").to_numpy()
+            keep = (n >= least) | (r == 0) | (r == run_of[-1])
+            at, rows = pa.array(np.flatnonzero(new)[r[keep]]), sums.filter(pa.array(keep))
+            for part in pa.table([b.column("lang").take(at), b.column("w1").take(at), rows.column("w2"), rows.column("n_sum")], ["lang", "w1", "w2", "n"]).to_batches(OUT_ROWS):
+                yield part
     return run
 
 
@@ -160,7 +205,11 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     totals = every.groupBy("lang").agg(F.sum("n").alias("total"))
     roots = every.where(F.col("n") >= min_count)
     often = word_filter(roots.select(F.col("lang").alias("space"), "w1", F.lit(None).cast("string").alias("w2")), filter_bits)
-    pairs = materialise(rows.mapInArrow(_pairs(often, chunk_words), "lang string, w1 string, w2 string, n long").groupBy("lang", "w1", "w2")
+    corpus = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
+    common = roots.where(F.col("n") > max(corpus // MAX_COMMON, min_count)).select("lang", F.col("w1").cast("binary")).collect()
+    heavy_roots = spark.sparkContext.broadcast(frozenset((r[0], bytes(r[1])) for r in common))
+    followers = rows.mapInArrow(_pairs(often, heavy_roots, chunk_words), FOLLOWERS).repartition("lang", "w1", "part").sortWithinPartitions("lang", "w1", "part")
+    pairs = materialise(followers.mapInArrow(_follower_counts(min_count), "lang string, w1 string, w2 string, n long").groupBy("lang", "w1", "w2")
                         .agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), "pairs")
     chained = word_filter(pairs.select(F.col("lang").alias("space"), "w1", "w2"), filter_bits)
     mass = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
