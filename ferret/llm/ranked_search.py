@@ -233,12 +233,13 @@ def _search_part(rows: DataFrame, queries: list, size: int, block_terms: int, le
     names = spark.createDataFrame(pa.table({"space": pa.array([""] * len(wanted), pa.string()), "w1": pa.array([t.decode() for t in wanted], pa.string()),
                                             "w2": pa.nulls(len(wanted), pa.string())}))
     postings = materialise(rows.mapInArrow(_postings(word_filter(names), block_terms), POSTINGS), "postings")
-    corpus = postings.where("term is null").agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("terms")).first()
+    corpus = postings.where("term is null").agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("terms")).first()
     held = postings.where("term is not null").groupBy("term").agg(F.sum("n_docs").alias("n")) \
         .join(F.broadcast(names.select(F.col("w1").cast("binary").alias("term"))), "term", "left_semi").toArrow()  # a row per query term
     frequencies = dict(zip(held.column("term").to_pylist(), held.column("n").to_pylist(), strict=True))
     plan = spark.sparkContext.broadcast((asked, corpus["docs"], corpus["terms"], frequencies))
-    return postings.groupBy("block").applyInArrow(_search(plan, size, leaf), "query long, doc_id long, score long")
+    # A partition for every block: by their bytes, many blocks would be one task's work.
+    return postings.repartition(max(corpus["blocks"], 1), "block").groupBy("block").applyInArrow(_search(plan, size, leaf), "query long, doc_id long, score long")
 
 
 def ranked_search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id",
