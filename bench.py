@@ -26,7 +26,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from ferret.operators import extract as X  # noqa: E402
 from ferret.operators import frontier as G  # noqa: E402
 from ferret.operators import reports as R  # noqa: E402
-from ferret.operators import search as S  # noqa: E402
+from ferret.operators import stored_index as I  # noqa: E402
 from ferret.session import build_session  # noqa: E402
 from ferret.sources import adapters as A  # noqa: E402
 from ferret.sources import sinks as K  # noqa: E402
@@ -83,10 +83,10 @@ def jobs(spark, sf_dir, scratch, times, counts):
 
     timed("extract", lambda: run(X.extract_resources(pages, query="the")))
     index_dir = os.path.join(scratch, "index")
-    timed("index", lambda: S.write_search_tables(S.build_search_tables(res), index_dir))
-    tables = S.read_search_tables(spark, index_dir)
-    timed("search", lambda: run(S.search_batch(tables, res, qry)["hits"]))
-    timed("snapshot", lambda: run(S.snapshot_search(tables, res, qry)))
+    timed("index", lambda: I.write_index(res, index_dir))
+    index = I.open_index(spark, index_dir)
+    timed("search", lambda: run(I.search(index, qry)["hits"]))
+    timed("snapshot", lambda: run(I.snapshot(index, qry)))
     labels = A.label_updates(read_table(spark, sf_dir, "labels"))
     timed("upsert", lambda: K.upsert_resources(K.dedupe_resources(res), labels)
           .write.mode("overwrite").parquet(os.path.join(scratch, "resources_v1")))

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window as W
 
 from .. import rules
 from ..functions.text import TOKEN_PATTERN, analyze
-from .common import BROADCAST_MAX_ROWS, broadcast_if, rounded, spread
+from .common import broadcast_if, rounded, spread
 
 K1 = 1.2
 B = 0.75
@@ -54,12 +54,11 @@ class SearchTables:
     postings: DataFrame
     term_stats: DataFrame
     field_stats: DataFrame
-    tokens: DataFrame | None = None     # exploded (field, doc_id, dl, term) rows, when built here
-    term_buckets: int = TERM_BUCKETS     # stored with the index; queries must use the same
+    term_buckets: int = TERM_BUCKETS
 
 
-def field_texts(resources: DataFrame, fields=None) -> DataFrame:
-    """(doc_id, field, text): one row per searchable field value; arrays joined by a space."""
+def field_texts(resources: DataFrame, fields=None, keep=()) -> DataFrame:
+    """(*keep, doc_id, field, text): one row per searchable field value; arrays joined by a space."""
     fields = fields or rules.SEARCH_FIELDS
     parts = []
     for f in fields:
@@ -67,8 +66,8 @@ def field_texts(resources: DataFrame, fields=None) -> DataFrame:
         if f == "code_snippets":
             c = F.array_join(F.col(f), " ")
         parts.append(F.struct(F.lit(f).alias("field"), c.alias("text")))
-    return (resources.select("doc_id", F.explode(F.array(*parts)).alias("fv"))
-            .select("doc_id", "fv.field", "fv.text")
+    return (resources.select(*keep, "doc_id", F.explode(F.array(*parts)).alias("fv"))
+            .select(*keep, "doc_id", "fv.field", "fv.text")
             .where(F.col("text").isNotNull()))
 
 
@@ -89,54 +88,7 @@ def build_search_tables(resources: DataFrame, fields=None,
     term_stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     field_stats = tok.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
                                            F.avg("dl").alias("avgdl"))
-    return SearchTables(postings, term_stats, field_stats, tokens, term_buckets)
-
-
-def write_search_tables(tables: SearchTables, path: str, salt_buckets: int = 1) -> SearchTables:
-    """Persist the index and return it re-read from storage.
-
-    Postings are written partitioned by (field, tb) where tb is the term bucket, and
-    sorted by term inside each file (parquet min/max statistics then skip row groups).
-    Rows are routed to writers by (field, tb, salt) with the salt taken from doc_id, so a
-    hot term is spread over ``salt_buckets`` files instead of one task. Term and field
-    statistics are derived from the written postings: documents are tokenized once."""
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salt_buckets))
-    if tables.tokens is not None:
-        # One shuffle: token rows go straight to their writer (field, tb, salt) and are
-        # counted there; the aggregation keys contain the partitioning keys.
-        t = tables.tokens.withColumn("tb", term_bucket(F.col("term"), tables.term_buckets)) \
-            .withColumn("_salt", salt)
-        # ``lead`` marks the one posting per (field, doc) that holds the field's first token,
-        # so field statistics need no (field, doc_id) shuffle of the postings.
-        p = (t.repartition("field", "tb", "_salt")
-             .groupBy("field", "tb", "_salt", "term", "doc_id", "dl")
-             .agg(F.count(F.lit(1)).alias("tf"), F.max(F.col("pos") == 0).alias("lead"))
-             .drop("_salt"))
-    else:
-        p = tables.postings.withColumn("_salt", salt).repartition("field", "tb", "_salt") \
-            .drop("_salt")
-    (p.sortWithinPartitions("field", "tb", "term", "doc_id")
-     .write.mode("overwrite").partitionBy("field", "tb").parquet(f"{path}/postings"))
-    spark = tables.postings.sparkSession
-    postings = spark.read.parquet(f"{path}/postings")
-    (postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-     .write.mode("overwrite").partitionBy("field").parquet(f"{path}/term_stats"))
-    if "lead" in postings.columns:
-        lengths = postings.where("lead").select("field", "doc_id", "dl")
-    else:
-        lengths = postings.groupBy("field", "doc_id").agg(F.max("dl").alias("dl"))
-    (lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-     .withColumn("term_buckets", F.lit(tables.term_buckets))
-     .coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats"))
-    return read_search_tables(spark, path)
-
-
-def read_search_tables(spark, path: str) -> SearchTables:
-    fs = spark.read.parquet(f"{path}/field_stats")
-    buckets = fs.select("term_buckets").first()["term_buckets"]
-    return SearchTables(spark.read.parquet(f"{path}/postings"),
-                        spark.read.parquet(f"{path}/term_stats"),
-                        fs.drop("term_buckets"), term_buckets=buckets)
+    return SearchTables(postings, term_stats, field_stats, term_buckets)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -331,31 +283,11 @@ def highlights(page_hits: DataFrame, resources: DataFrame, queries: DataFrame,
                     highlight_field(code, pat, "<code>", "</code>").alias("code_snippets_hl"))
 
 
-def search_batch(tables: SearchTables, resources: DataFrame, queries: DataFrame,
-                 max_weight_rows: int = BROADCAST_MAX_ROWS, _depth: int = 0) -> dict:
-    """E4-E12 for a whole table of queries at once.
+def search_batch(tables: SearchTables, resources: DataFrame, queries: DataFrame) -> dict:
+    """E4-E12 for a whole table of queries at once, over tables that are not stored (see ``stored_index`` for those that are).
 
-    Returns the hits page, totals, type facet and page language facet DataFrames.
-    A batch whose term weights exceed ``max_weight_rows`` is split into chunks of query
-    ids, each within the bound, and the chunk results are unioned. Every chunk keeps
-    the broadcast join and the pruned postings scan, and no query is dropped.
-    """
+    Returns the hits page, totals, type facet and page language facet DataFrames."""
     info = query_info(queries)
-    n_fields = len(rules.SEARCH_FIELDS)
-    need = info.n_terms * n_fields
-    if need > max_weight_rows and info.n_queries > 1 and _depth < 6:
-        k = -(-need // max_weight_rows)
-        parts = [search_batch(tables, resources,
-                              queries.where(F.pmod(F.xxhash64("query_id"), F.lit(k)) == i),
-                              max_weight_rows, _depth + 1) for i in range(k)]
-        out = {}
-        for key in ["hits", "totals", "type_facet", "language_facet", "page"]:
-            dfs = [p[key] for p in parts]
-            out[key] = dfs[0]
-            for d in dfs[1:]:
-                out[key] = out[key].unionByName(d)
-        out["info"] = info
-        return out
     scores = match_scores(tables, queries, info=info)
     m = filtered_matches(scores, resources, queries, info)
     page = paged(collapse_by_url(m), queries, info)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import analyze
 from ..operators import search as S
+from ..operators import stored_index as I
+from ..session import scratch_dir
 from ..sources import adapters as A
 from . import oracle as O
 from .catalog import register
@@ -136,8 +138,8 @@ SELECT query_id, rank, doc_id, rscore, url FROM (
   WHERE rank <= 100)
 WHERE _u = 1""")
 def e13_snapshot_search(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir)
-    return S.snapshot_search(t, res, qry).select("query_id", "rank", "doc_id", "rscore", "url")
+    index = I.write_index(A.read_doc_resources(spark, sf_dir), scratch_dir(spark, "index"))
+    return I.snapshot(index, A.read_queries(spark, sf_dir)).select("query_id", "rank", "doc_id", "rscore", "url")
 
 
 @register("e15_explain", O.with_(O.RESOURCES, O.queries(), O.index(), O.QTERMS,
@@ -172,8 +174,43 @@ def e17_match_all(spark, sf_dir):
 
 @register("e18_search_batch", _hits_sql(page=0, size=20))
 def e18_search_batch(spark, sf_dir):
-    res, qry, t = _search_inputs(spark, sf_dir, page=0, size=20)
-    return S.search_batch(t, res, qry)["hits"]
+    res, qry = A.read_doc_resources(spark, sf_dir), A.read_queries(spark, sf_dir, page=0, size=20)
+    return I.search(I.write_index(res, scratch_dir(spark, "index")), qry)["hits"]
+
+
+@register("e19_stored_index_search", _hits_sql(page=0, size=20))
+def e19_stored_index_search(spark, sf_dir):
+    """The index is written, forgotten by the catalog as at the end of a session, and opened again."""
+    path = scratch_dir(spark, "index")
+    I.write_index(A.read_doc_resources(spark, sf_dir), path)
+    I.forget_index(spark, path)
+    return I.search(I.open_index(spark, path), A.read_queries(spark, sf_dir, page=0, size=20))["hits"]
+
+
+# Every third query asks for a domain, every third for a type and language, the others for a list field and a field that is always empty.
+FILTERS_SQL = """
+qf AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'src' || (item_id % 20) END AS f_domain,
+              CASE item_id % 3 WHEN 1 THEN 'video' END AS f_type, CASE item_id % 3 WHEN 1 THEN 'en' END AS f_language,
+              CASE item_id % 3 WHEN 2 THEN 'fr' END AS f_languages, CASE item_id % 12 WHEN 2 THEN 'none' END AS f_tags FROM benchmark),
+kept AS (
+  SELECT s.query_id, s.doc_id, s.score, round(s.score, 6) AS rscore, r.url, r.type, r.plang, r.timestamp
+  FROM scores s JOIN res r USING (doc_id) JOIN qf f USING (query_id)
+  WHERE coalesce(r.domain = f.f_domain, f.f_domain IS NULL) AND coalesce(r.type = f.f_type, f.f_type IS NULL)
+    AND (f.f_language IS NULL OR coalesce(r.language = f.f_language, FALSE) OR list_contains(r.languages, f.f_language))
+    AND (f.f_languages IS NULL OR list_contains(r.languages, f.f_languages))
+    AND (f.f_tags IS NULL OR coalesce(r.tags = f.f_tags, FALSE)))"""
+
+
+@register("e05_any_field_filters", O.with_(O.RESOURCES, O.queries(page=0, size=20), O.index(), O.QTERMS, O.match_scores(), FILTERS_SQL,
+                                           O.COLLAPSED.replace("FROM matches", "FROM kept"), O.PAGE) + O.FORMAT_HITS)
+def e05_any_field_filters(spark, sf_dir):
+    """E5 with filters on any record field, other ones for each query."""
+    n = F.col("query_id")
+    when = lambda rest, value: F.when(n % 3 == rest, value)
+    wanted = F.create_map(F.lit("domain"), when(0, F.concat(F.lit("src"), n % 20)), F.lit("type"), when(1, F.lit("video")), F.lit("language"), when(1, F.lit("en")),
+                          F.lit("languages"), when(2, F.lit("fr")), F.lit("tags"), F.when(n % 12 == 2, F.lit("none")))
+    qry = A.read_queries(spark, sf_dir, page=0, size=20).withColumn("filters", wanted)
+    return I.search(I.write_index(A.read_doc_resources(spark, sf_dir), scratch_dir(spark, "index")), qry)["hits"]
 
 
 def _hl_sql(text: str, pre: str = "<em>", post: str = "</em>") -> str:

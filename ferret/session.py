@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -76,6 +77,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder of this application below the shared checkpoint folder (not created yet)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ferret/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 _SHIPPED: set[int] = set()
 
 

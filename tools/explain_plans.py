@@ -13,7 +13,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from ferret.operators import extract as X  # noqa: E402
 from ferret.operators import frontier as G  # noqa: E402
-from ferret.operators import search as S  # noqa: E402
+from ferret.operators import stored_index as I  # noqa: E402
 from ferret.session import build_session  # noqa: E402
 from ferret.sources import adapters as A  # noqa: E402
 from ferret.sources import sinks as K  # noqa: E402
@@ -33,8 +33,7 @@ def main():
     res = A.read_doc_resources(spark, sf)
     qry = A.read_queries(spark, sf)
     show("B13 extract_resources (broad)", X.extract_resources(pages, query="the"))
-    idx = S.write_search_tables(S.build_search_tables(res), tempfile.mkdtemp())
-    out = S.search_batch(idx, res, qry)
+    out = I.search(I.write_index(res, tempfile.mkdtemp()), qry)
     show("E18 search_batch hits over the stored index", out["hits"])
     show("E9 type facet", out["type_facet"])
     labels = A.label_updates(read_table(spark, sf, "labels"))
