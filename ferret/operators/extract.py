@@ -1,20 +1,18 @@
 """Page extraction (B1-B13): pages (page_id, url, html) -> resource rows.
 
-Single-tag fields are native regex expressions (functions.html). Tree-dependent
-fields come from one ``mapInPandas`` walk (functions.walk) that passes url and html through,
-so the native fields follow in the same stage, without a join.
+Single-tag fields are regex expressions (functions.html), tree-dependent ones come from a fold over the page's
+tokens (functions.elements): one scan, no join, no shuffle, no Python.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import rules
+from ..functions import elements as E
 from ..functions import html as H
-from ..functions.text import clean_text, col_, html_unescape, netloc, squeeze_ws
-from ..functions.walk import page_walk
+from ..functions.text import bind_once, clean_text, col_, html_unescape, netloc, squeeze_ws
 from . import classify as D
 from .common import spread
 from . import predicates as C
@@ -57,11 +55,6 @@ def body_text(html="html") -> Column:
     return H.body_text(html)
 
 
-def code_snippets_native(html="html") -> Column:
-    """B7 (regex form, simple <pre><code> blocks)."""
-    return H.pre_code_texts(html)
-
-
 def legacy_pre_snippets(snippets, pre_texts, query: str | None) -> Column:
     """For five legacy queries, when there are no code snippets, <pre> texts that
     contain the query."""
@@ -75,20 +68,10 @@ def legacy_pre_snippets(snippets, pre_texts, query: str | None) -> Column:
 
 def links(pages: DataFrame, resolve: bool = False) -> DataFrame:
     """(page_id, src_url, href, link) for every href; ``link`` is the raw value
-    (standalone crawler) or the value resolved against the page URL (distributed).
-
-    Resolution is native; only relative links with dot segments ('./', '../') are
-    resolved by a vectorised stdlib ``urljoin``. The HTML is scanned once: other rows reach
-    the Arrow batch as NULLs (no payload) and the UDF computes only the masked rows."""
+    (standalone crawler) or the value resolved against the page URL (distributed)."""
     l = pages.select("page_id", F.col("url").alias("src_url"),
-                     F.posexplode(H.hrefs("html")).alias("pos", "href"))
-    if not resolve:
-        return l.select("page_id", "src_url", "pos", "href", F.col("href").alias("link"))
-    from ..session import ship_package
-    ship_package(pages.sparkSession)
-    dots = has_dot_segments(F.col("href"))
-    joined = urljoin_udf(F.when(dots, F.col("src_url")), F.when(dots, F.col("href")))
-    link = F.when(dots, joined).otherwise(resolve_url(F.col("src_url"), F.col("href")))
+                     F.posexplode(E.hrefs("html")).alias("pos", "href"))
+    link = resolve_url(F.col("src_url"), F.col("href")) if resolve else F.col("href")
     return l.select("page_id", "src_url", "pos", "href", link.alias("link"))
 
 
@@ -101,22 +84,32 @@ def has_dot_segments(href) -> Column:
     return F.coalesce(~h.rlike(r"^([a-zA-Z][a-zA-Z0-9+.-]*:|//)") & h.rlike(DOT_SEGMENT), F.lit(False))
 
 
-@F.pandas_udf(T.StringType())
-def urljoin_udf(base, href):
-    """urllib.parse.urljoin over Arrow batches; rows with a NULL input are skipped."""
-    from urllib.parse import urljoin
+def without_dots(base, href) -> Column:
+    """A reference with '.' or '..' in its path, resolved as ``urljoin`` does: the segments are folded from the left, '..'
+    takes the one before away."""
+    b, h = col_(base), F.trim(col_(href))
+    origin = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    base_path = F.split(F.regexp_extract(b, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/", -1)
+    path = F.regexp_extract(h, r"^([^?#]*)", 1)
+    rest = F.regexp_extract(h, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(F.element_at(base_path, -1) == "", base_path).otherwise(F.slice(base_path, 1, F.size(base_path) - 1))
+    merged = bind_once(F.concat(folder, F.split(path, "/", -1)), lambda m: F.filter(m, lambda x, i: (i == 0) | (i == F.size(m) - 1) | (x != "")))
+    segments = F.when(path.startswith("/"), F.split(path, "/", -1)).otherwise(merged)
 
-    import pandas as pd
-    out = pd.Series([None] * len(href), index=href.index, dtype="object")
-    mask = base.notna() & href.notna()
-    if mask.any():
-        out[mask] = [urljoin(b, h.strip()) for b, h in zip(base[mask], href[mask])]
-    return out
+    def step(done, x):
+        return F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+
+    def joined(all_):
+        kept = F.aggregate(all_, F.array().cast("array<string>"), step)
+        ended = F.when(F.element_at(all_, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+        return F.array_join(ended, "/")
+
+    out = bind_once(segments, joined)
+    return F.concat(origin, F.when(out == "", "/").otherwise(F.when(out.startswith("/"), out).otherwise(F.concat(F.lit("/"), out))), rest)
 
 
 def resolve_url(base, href) -> Column:
-    """urljoin for the forms links take in practice: absolute, scheme-relative, root-relative,
-    fragment, query and plain relative paths. Dot segments are kept as written."""
+    """urljoin: absolute, scheme-relative, root-relative, fragment, query and relative references, with dot segments."""
     b, h = col_(base), F.trim(col_(href))
     scheme = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
     origin = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
@@ -124,7 +117,8 @@ def resolve_url(base, href) -> Column:
     no_query = F.regexp_extract(b, r"^([^?#]*)", 1)
     path = F.regexp_extract(b, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     dir_ = F.regexp_extract(path, r"^(.*/)", 1)
-    return (F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
+    return (F.when(has_dot_segments(h), without_dots(b, h))
+            .when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
             .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
             .when(h.startswith("/"), F.concat(origin, h))
             .when(h == "", no_frag)
@@ -134,17 +128,24 @@ def resolve_url(base, href) -> Column:
 
 
 def analyse_pages(pages: DataFrame) -> DataFrame:
-    """The walk plus native fields, one row per page, in one stage (shared by both rule sets)."""
-    walked = page_walk(spread(pages.select("page_id", "url", "html")), keep=("url", "html"))
-    return walked.select(
-        "*",
+    """The tree's fields and the single-tag ones, one row per page, in one stage (shared by both rule sets)."""
+    walked = E.page_fields(spread(pages.select("page_id", "url", "html")))
+    fields = walked.select(
+        *[c for c in walked.columns if c != "html"],
         title("html").alias("title_raw"),
         H.first_tag_text("html", "title").alias("title_only"),
         meta_description("html").alias("meta_description"),
         tags("html").alias("tags"),
         body_text("html").alias("body_text"),
         domain("url").alias("domain"),
-    ).drop("html")
+    )
+    return once(fields)
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df``, each of its columns computed once: the rows pass through a generator of one row, below which Spark pushes no filter.
+    Else every later filter would be moved below the projection and compute the fields it reads anew."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def extract_resources(pages: DataFrame, query: str | None = None, mode: str = "broad",
@@ -163,7 +164,7 @@ def extract_resources(pages: DataFrame, query: str | None = None, mode: str = "b
     else:
         page_ok = C.is_resource_page_narrow(F.coalesce(F.col("title_only"), F.lit("")), "signals")
     a = a.where(page_ok & usable("title_raw", "desc_raw"))
-    a = a.withColumn("title", squeeze_ws("title_raw")).withColumn("description", squeeze_ws("desc_raw"))
+    a = once(a.withColumn("title", squeeze_ws("title_raw")).withColumn("description", squeeze_ws("desc_raw")))
     if mode == "broad":
         a = D.with_languages_broad(a, "title", "description", "body_text", query)
         head = F.col("_head")
@@ -191,5 +192,5 @@ def extract_resources(pages: DataFrame, query: str | None = None, mode: str = "b
 
 
 __all__ = ["title", "meta_description", "description", "usable", "squeeze_ws", "domain",
-           "tags", "body_text", "code_snippets_native", "legacy_pre_snippets", "links",
+           "tags", "body_text", "legacy_pre_snippets", "links",
            "resolve_url", "clean_text", "html_unescape", "extract_resources", "analyse_pages"]

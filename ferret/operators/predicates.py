@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.elements import signal_name
 from ..functions.text import WS_RUN, col_, contains_any, count_occurrences, netloc
 
 
@@ -81,7 +82,6 @@ def is_resource_page_broad(url, signals, meta_keywords, meta_description, title,
                            h2_text, body_lower, query: str | None = None) -> Column:
     """OR of structure signals, URL words, meta words, query in headings and the two
     legacy tests."""
-    from ..functions.walk import signal_name
     names = [signal_name(k, v) for k, v in rules.STRUCTURE_SIGNALS_BROAD]
     return (legacy_dense(body_lower, query)
             | F.coalesce(has_signal(signals, names), F.lit(False))
@@ -93,7 +93,6 @@ def is_resource_page_broad(url, signals, meta_keywords, meta_description, title,
 
 def is_resource_page_narrow(title, signals) -> Column:
     """C4: a programming word in the title, or one of ten structure signals."""
-    from ..functions.walk import signal_name
     names = [signal_name(k, v) for k, v in rules.STRUCTURE_SIGNALS_NARROW]
     t = F.lower(F.coalesce(col_(title), F.lit("")))
     return contains_any(t, rules.PROGRAMMING_TITLE_KEYWORDS) | \

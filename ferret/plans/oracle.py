@@ -197,6 +197,7 @@ def with_(*blocks: str) -> str:
 
 # ------------------------------------------------------------------ pages (B)
 
+from ..functions import elements as E  # noqa: E402
 from ..functions import html as H  # noqa: E402
 from ..functions.text import NETLOC_PATTERN, UNROLL_LIMIT  # noqa: E402
 
@@ -239,15 +240,141 @@ def netloc(url: str) -> str:
     return f"regexp_extract({url}, {lit(NETLOC_PATTERN)}, 1)"
 
 
+def attribute(raw: str, name: str) -> str:
+    found = f"list_filter(regexp_extract_all({raw}, {lit(E.ATTRIBUTE)}, 0), lambda a: regexp_matches(a, {lit(rf'(?i)^{name}[[:space:]]*=')}))[1]"
+    value = f"regexp_extract({found}, {lit('(?s)=[[:space:]]*(.*)$')}, 1)"
+    bare = f"list_transform([{value}], lambda v: {unquoted('v')})[1]"
+    guard = lit(rf"(?i)[\s\"'/]{name}\s*=")
+    return f"CASE WHEN regexp_matches({raw}, {guard}) THEN {unescape(bare)} END"
+
+
+def token_list(html: str) -> str:
+    return f"list_filter(regexp_extract_all(coalesce({html}, ''), {lit(E.TOKEN)}, 0), lambda x: NOT regexp_matches(x, {lit(E.SKIPPED)}))"
+
+
 def hrefs(html: str) -> str:
-    tags = f"regexp_extract_all(regexp_replace({html}, {lit(H.COMMENT_PATTERN)}, '', 'g'), {lit(H.LINK_TAG_PATTERN)}, 0)"
-    values = f"list_filter(list_transform({tags}, lambda t: regexp_extract(t, {lit(H.HREF_ATTR)}, 1)), lambda t: t <> '')"
-    return f"list_transform(list_transform({values}, lambda v: {unquoted('v')}), lambda x: {unescape('x')})"
+    tags = f"list_filter({token_list(html)}, lambda t: lower(regexp_extract(t, {lit(E.NAME)}, 1)) = 'a' AND NOT starts_with(t, '</'))"
+    return f"list_filter(list_transform({tags}, lambda t: {attribute('t', 'href')}), lambda v: coalesce(v, '') <> '')"
+
+
+def _values(rows) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else lit(v) for v in r) + ")" for r in rows)
+
+
+def _signal_rules():
+    seen, out = set(), []
+    for kind, value in rules.STRUCTURE_SIGNALS_BROAD + rules.STRUCTURE_SIGNALS_NARROW:
+        name = E.signal_name(kind, value)
+        if name not in seen:
+            seen.add(name)
+            out.append((len(out), name, kind, *(value if isinstance(value, tuple) else ("", ""))))
+    return out
+
+
+def _content_of(name: str, selectors) -> str:
+    return f"""
+{name}_sel AS (SELECT * FROM ({_values([(i, E.selector_key(x)) for i, x in enumerate(selectors)])}) v(ord, key)),
+{name}_hit AS (SELECT DISTINCT t.page_id, t.i, t.text, s.ord FROM texts t JOIN keys k ON k.page_id = t.page_id AND k.i = t.parent JOIN {name}_sel s ON s.key = k.key),
+{name} AS (SELECT page_id, string_agg(text, ' ' ORDER BY i) AS content FROM {name}_hit h
+           WHERE ord = (SELECT min(ord) FROM {name}_hit x WHERE x.page_id = h.page_id) GROUP BY page_id)"""
+
+
+def tree(pages: str = "wpages") -> str:
+    """Tokens, the stack of open elements step by step (a recursive query), texts with their element, and the fields made of them."""
+    cut = lambda c, tag: f"w.{c}[list_position(w.tags, {tag}) + 1:]"
+    ended = lambda c: f"CASE WHEN t.kind IN ('open', 'void') AND list_contains({lst(E.CLOSES_P)}, t.tag) AND list_contains(w.tags, 'p') THEN {cut(c, lit('p'))} ELSE w.{c} END"
+    return f"""
+tokn AS (SELECT page_id, unnest(range(len(ts))) AS i, unnest(ts) AS raw FROM (SELECT page_id, {token_list('html')} AS ts FROM {pages})),
+tok AS (
+  SELECT page_id, i, raw, tag, CASE WHEN tag = '' THEN 'text' WHEN starts_with(raw, '</') THEN 'close'
+         WHEN list_contains({lst(E.VOID)}, tag) OR ends_with(raw, '/>') THEN 'void' ELSE 'open' END AS kind
+  FROM (SELECT *, lower(regexp_extract(raw, {lit(E.NAME)}, 1)) AS tag FROM tokn)),
+walk AS (
+  SELECT page_id, CAST(-1 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS tags, CAST([] AS BIGINT[]) AS ids, CAST(NULL AS BIGINT) AS parent, FALSE AS in_pre FROM {pages}
+  UNION ALL
+  SELECT page_id, i, CASE kind WHEN 'open' THEN list_concat([tag], btags) WHEN 'void' THEN btags WHEN 'close' THEN ctags ELSE tags END,
+         CASE kind WHEN 'open' THEN list_concat([i], bids) WHEN 'void' THEN bids WHEN 'close' THEN cids ELSE ids END,
+         CASE WHEN kind = 'text' AND len(tags) > 0 THEN ids[1] END, list_contains(tags[2:], 'pre')
+  FROM (SELECT t.page_id, t.i, t.tag, t.kind, w.tags, w.ids, {ended('tags')} AS btags, {ended('ids')} AS bids,
+               CASE WHEN list_contains(w.tags, t.tag) THEN {cut('tags', 't.tag')} ELSE w.tags END AS ctags,
+               CASE WHEN list_contains(w.tags, t.tag) THEN {cut('ids', 't.tag')} ELSE w.ids END AS cids
+        FROM walk w JOIN tok t ON t.page_id = w.page_id AND t.i = w.i + 1)),
+texts AS (
+  SELECT w.page_id, w.i, w.parent, w.in_pre, p.tag, {unescape('t.raw')} AS text
+  FROM walk w JOIN tok t ON t.page_id = w.page_id AND t.i = w.i JOIN tok p ON p.page_id = w.page_id AND p.i = w.parent),
+els AS (SELECT page_id, i, tag, {attribute('raw', 'class')} AS cls, {attribute('raw', 'id')} AS id FROM tok WHERE kind IN ('open', 'void')),
+keys AS (
+  SELECT page_id, i, 'tag:' || tag AS key FROM els UNION ALL SELECT page_id, i, 'id:' || id FROM els WHERE id IS NOT NULL
+  UNION ALL SELECT page_id, i, 'class:' || c FROM (SELECT page_id, i, unnest(regexp_split_to_array(cls, '[ \\t\\n\\f\\r]+')) AS c FROM els WHERE cls IS NOT NULL) WHERE c <> ''),
+rule AS (SELECT * FROM ({_values(_signal_rules())}) v(ord, name, kind, a, b)),
+heads AS (SELECT page_id, tag, text FROM texts WHERE tag IN ('h1', 'h2') QUALIFY row_number() OVER (PARTITION BY page_id, parent ORDER BY i) = 1),
+found AS (
+  SELECT k.page_id, r.ord, r.name FROM keys k JOIN rule r ON r.kind IN ('tag', 'class', 'id') AND r.name = k.key
+  UNION SELECT h.page_id, r.ord, r.name FROM heads h JOIN rule r ON r.a = h.tag AND (r.kind = 'heading' AND contains(lower(h.text), r.b) OR r.kind = 'heading_cs' AND contains(h.text, r.b))
+  UNION SELECT e.page_id, r.ord, r.name FROM els e JOIN rule r ON r.kind = 'class_has' AND r.a = e.tag AND contains(e.cls, r.b)),
+sigs AS (SELECT page_id, list(name ORDER BY ord) AS signals FROM found GROUP BY page_id),
+lists AS (
+  SELECT page_id, list(text ORDER BY i) FILTER (WHERE tag = 'p') AS p_texts, string_agg(text, ' ' ORDER BY i) FILTER (WHERE tag = 'h1') AS h1,
+         string_agg(text, ' ' ORDER BY i) FILTER (WHERE tag = 'h2') AS h2, list(text ORDER BY i) FILTER (WHERE tag = 'pre') AS pre_texts,
+         list(text ORDER BY i) FILTER (WHERE tag = 'code' AND in_pre) AS pre_code
+  FROM texts GROUP BY page_id),""" + _content_of("broad", rules.CONTENT_SELECTORS_BROAD) + "," + _content_of("narrow", rules.CONTENT_SELECTORS_NARROW) + f""",
+pf AS (
+  SELECT p.page_id, p.url, coalesce(l.p_texts, []) AS p_texts, coalesce(l.h1, '') AS h1, coalesce(l.h2, '') AS h2, coalesce(l.pre_code, []) AS pre_code,
+         coalesce(l.pre_texts, []) AS pre_texts, b.content AS content_broad, n.content AS content_narrow, coalesce(s.signals, []) AS signals,
+         {title('p.html')} AS title_raw, coalesce({first_tag_text('p.html', 'title')}, '') AS title_only, {meta_content('p.html', 'description')} AS md,
+         {meta_content('p.html', 'keywords')} AS tags, {body_text('p.html')} AS body, {netloc('p.url')} AS domain
+  FROM {pages} p LEFT JOIN lists l ON l.page_id = p.page_id LEFT JOIN broad b ON b.page_id = p.page_id LEFT JOIN narrow n ON n.page_id = p.page_id
+  LEFT JOIN sigs s ON s.page_id = p.page_id),
+pd AS (SELECT *, CASE WHEN coalesce(md, '') <> '' THEN md ELSE array_to_string(p_texts[1:3], ' ') END AS desc_raw FROM pf)"""
+
+
+def with_tree(*blocks: str) -> str:
+    return "WITH RECURSIVE " + ",".join(b.strip("\n") for b in blocks)
+
+
+def has_signal(lists) -> str:
+    return f"list_has_any(signals, {lst([E.signal_name(k, v) for k, v in lists])})"
+
+
+def is_resource_page_broad(query: str | None) -> str:
+    parts = [has_signal(rules.STRUCTURE_SIGNALS_BROAD), contains_any_hof("lower(coalesce(url, ''))", rules.VALUABLE_URL_PATTERNS),
+             contains_any_hof("lower(coalesce(tags, ''))", rules.TECH_KEYWORDS), contains_any_hof("lower(coalesce(md, ''))", rules.TECH_KEYWORDS)]
+    if query:
+        q = lit(query.lower())
+        parts += [f"contains(lower(title_only), {q})", f"contains(lower(h1), {q})", f"contains(lower(h2), {q})"]
+        if query.lower() in rules.LEGACY_DENSE_QUERIES:
+            parts.append(f"coalesce({count_occ('body', q)} >= 2, FALSE)")
+        if query.lower() in rules.LEGACY_VOCABULARY:
+            parts.append("(" + " + ".join(f"CASE WHEN contains(coalesce(body, ''), {lit(w)}) THEN 1 ELSE 0 END" for w in rules.LEGACY_VOCABULARY[query.lower()]) + ") >= 3")
+    return "(" + " OR ".join(parts) + ")"
+
+
+def is_resource_page_narrow() -> str:
+    return f"({contains_any('lower(title_only)', rules.PROGRAMMING_TITLE_KEYWORDS)} OR {has_signal(rules.STRUCTURE_SIGNALS_NARROW)})"
 
 
-def pre_code_texts(html: str) -> str:
-    return (f"list_transform(regexp_extract_all({html}, {lit(H.PRE_CODE_PATTERN)}, 1), "
-            f"lambda x: {unescape('x')})")
+USABLE = "coalesce(title_raw, '') <> '' AND coalesce(desc_raw, '') <> ''"
+
+
+def extraction(query: str | None, mode: str) -> str:
+    """B13 over pd, as the resource view of its queries."""
+    broad = mode == "broad"
+    q = query.lower() if query else None
+    page_ok = is_resource_page_broad(query) if broad else is_resource_page_narrow()
+    langs = detect_languages_broad("title", "description", "body", query) if broad else detect_languages_narrow("title", "description")
+    head = "lower(concat_ws(' ', title, description))"
+    gate = "TRUE" if not q else f"(contains({head}, {lit(q)}) OR contains(coalesce(body, ''), {lit(q)}))" if broad else f"contains({head}, {lit(q)})"
+    snippets = "pre_code"
+    if broad and q in rules.LEGACY_PRE_QUERIES:
+        snippets = f"CASE WHEN len(pre_code) = 0 THEN list_filter(pre_texts, lambda x: contains(lower(x), {lit(q)})) ELSE pre_code END"
+    content = "content_broad" if broad else "content_narrow"
+    quality = quality_broad("domain", "snippets", content, query) if broad else quality_narrow("snippets", "description", "tags", "url")
+    return f"""
+ok AS (SELECT *, {squeeze('title_raw')} AS title, {squeeze('desc_raw')} AS description, {snippets} AS snippets FROM pd WHERE {page_ok} AND {USABLE}),
+lng AS (SELECT *, {langs} AS languages FROM ok WHERE {gate})
+SELECT page_id AS doc_id, url, title, description, {resource_type('title', 'domain', 'url', broad)} AS type, array_to_string(languages, ',') AS languages,
+       round({quality}, 6) AS quality_score, len(snippets) AS n_snippets, length({content}) AS content_len, tags, domain
+FROM lng"""
 
 
 def contains_any_hof(expr: str, words) -> str:
@@ -278,6 +405,14 @@ wpages AS (
 )"""
 
 
+#: Pages whose articles became sections, or that have a main element, so pages without signals and other selectors exist.
+VARIED_PAGES = WIDE_PAGES + """,
+vpages AS (
+  SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN regexp_replace(html, '(</?)article', '\\1section', 'g') ELSE html END
+         || CASE WHEN page_id % 6 = 0 THEN '<main>main ' || page_id || '</main>' WHEN page_id % 6 = 1 THEN '<div class="post content">posted ' || page_id || '</div>' ELSE '' END AS html
+  FROM wpages)"""
+
+
 def resolve_url(base: str, href: str) -> str:
     h = f"trim({href})"
     scheme = f"regexp_extract({base}, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)"

@@ -39,7 +39,8 @@ def b01_title(spark, sf_dir):
     return wide_pages(spark, sf_dir).select("page_id", squeeze_ws(X.title("html")).alias("title"))
 
 
-@register("b02_description", None)
+@register("b02_description", O.with_tree(O.WIDE_PAGES, O.tree()) + f"""
+SELECT page_id, {O.squeeze('desc_raw')} AS description FROM pd""")
 def b02_description(spark, sf_dir):
     a = X.analyse_pages(wide_pages(spark, sf_dir))
     return a.select("page_id", squeeze_ws(X.description("meta_description", "p_texts"))
@@ -53,7 +54,8 @@ def b02_meta_description(spark, sf_dir):
                                             .alias("meta_description"))
 
 
-@register("b03_drop_unusable", None)
+@register("b03_drop_unusable", O.with_tree(O.WIDE_PAGES, O.tree()) + f"""
+SELECT page_id FROM pd WHERE {O.USABLE}""")
 def b03_drop_unusable(spark, sf_dir):
     a = X.analyse_pages(wide_pages(spark, sf_dir))
     d = X.description("meta_description", "p_texts")
@@ -74,34 +76,34 @@ def b05_domain(spark, sf_dir):
     return wide_pages(spark, sf_dir).select("page_id", X.domain("url").alias("domain"))
 
 
-@register("b06_main_content", None)
+@register("b06_main_content", O.with_tree(O.VARIED_PAGES, O.tree("vpages")) + """
+SELECT page_id, length(content_broad) AS broad_len, md5(content_broad) AS broad_digest, length(content_narrow) AS narrow_len FROM pf""")
 def b06_main_content(spark, sf_dir):
-    a = X.analyse_pages(wide_pages(spark, sf_dir))
+    a = X.analyse_pages(A.varied_pages(read_table(spark, sf_dir, "pages")))
     return a.select("page_id", F.length("content_broad").alias("broad_len"),
                     F.md5("content_broad").alias("broad_digest"),
                     F.length("content_narrow").alias("narrow_len"))
 
 
-@register("b07_code_snippets", O.with_(O.WIDE_PAGES) + f"""
-SELECT page_id, len(s) AS n_snippets, array_to_string(s, '|') AS snippets
-FROM (SELECT page_id, {O.pre_code_texts('html')} AS s FROM wpages)""")
+@register("b07_code_snippets", O.with_tree(O.WIDE_PAGES, O.tree()) + """
+SELECT page_id, len(pre_code) AS n_snippets, array_to_string(pre_code, '|') AS snippets FROM pf""")
 def b07_code_snippets(spark, sf_dir):
-    p = wide_pages(spark, sf_dir).select("page_id", X.code_snippets_native("html").alias("s"))
-    return p.select("page_id", F.size("s").alias("n_snippets"),
-                    F.array_join("s", "|").alias("snippets"))
+    a = X.analyse_pages(wide_pages(spark, sf_dir))
+    return a.select("page_id", F.size("pre_code").alias("n_snippets"), F.array_join("pre_code", "|").alias("snippets"))
+
+
+#: Some pages get plain <pre> blocks, half of them with the legacy query.
+PRE_SQL = """,
+prep AS (SELECT page_id, url, html || CASE WHEN page_id % 8 < 4 THEN '<pre>IDENTIFICATION <b>Cobol</b> DIVISION cobol</pre><pre>other</pre>' ELSE '' END AS html FROM wpages)"""
 
 
-@register("b08_legacy_pre_snippets", O.with_(O.WIDE_PAGES) + f"""
-SELECT page_id, array_to_string(CASE WHEN len(s) = 0 THEN list_filter(pre, lambda x: contains(lower(x), 'cobol'))
-                                     ELSE s END, '|') AS snippets
-FROM (SELECT page_id, {O.pre_code_texts('html')} AS s,
-             list_transform(regexp_extract_all(html, {O.lit(H.PRE_PATTERN)}, 1), lambda x: {O.unescape('x')}) AS pre
-      FROM wpages)""")
+@register("b08_legacy_pre_snippets", O.with_tree(O.WIDE_PAGES + PRE_SQL, O.tree("prep")) + """
+SELECT page_id, array_to_string(CASE WHEN len(pre_code) = 0 THEN list_filter(pre_texts, lambda x: contains(lower(x), 'cobol')) ELSE pre_code END, '|') AS snippets FROM pf""")
 def b08_legacy_pre_snippets(spark, sf_dir):
-    p = wide_pages(spark, sf_dir).select("page_id", X.code_snippets_native("html").alias("s"),
-                                         H.pre_texts("html").alias("pre"))
-    return p.select("page_id", F.array_join(X.legacy_pre_snippets("s", "pre", LEGACY_QUERY), "|")
-                    .alias("snippets"))
+    p = wide_pages(spark, sf_dir)
+    more = F.when(F.col("page_id") % 8 < 4, F.lit("<pre>IDENTIFICATION <b>Cobol</b> DIVISION cobol</pre><pre>other</pre>")).otherwise(F.lit(""))
+    a = X.analyse_pages(p.withColumn("html", F.concat("html", more)))
+    return a.select("page_id", F.array_join(X.legacy_pre_snippets("pre_code", "pre_texts", LEGACY_QUERY), "|").alias("snippets"))
 
 
 @register("b09_tags", O.with_(O.WIDE_PAGES) + f"""
@@ -142,17 +144,17 @@ def _resource_view(df):
                      F.length("content").alias("content_len"), "tags", "domain")
 
 
-@register("b13_extract_broad", None)
+@register("b13_extract_broad", O.with_tree(O.WIDE_PAGES, O.tree()) + "," + O.extraction(QUERY, "broad"))
 def b13_extract_broad(spark, sf_dir):
     return _resource_view(X.extract_resources(wide_pages(spark, sf_dir), query=QUERY))
 
 
-@register("b13_extract_broad_legacy", None)
+@register("b13_extract_broad_legacy", O.with_tree(O.WIDE_PAGES, O.tree()) + "," + O.extraction(LEGACY_QUERY, "broad"))
 def b13_extract_broad_legacy(spark, sf_dir):
     return _resource_view(X.extract_resources(wide_pages(spark, sf_dir), query=LEGACY_QUERY))
 
 
-@register("b13_extract_narrow", None)
+@register("b13_extract_narrow", O.with_tree(O.WIDE_PAGES, O.tree()) + "," + O.extraction(None, "narrow"))
 def b13_extract_narrow(spark, sf_dir):
     return _resource_view(X.extract_resources(wide_pages(spark, sf_dir), mode="narrow"))
 
@@ -195,9 +197,10 @@ def c02_should_follow_narrow(spark, sf_dir):
                     .alias("follow_allowed"))
 
 
-@register("c03_is_resource_page_broad", None)
+@register("c03_is_resource_page_broad", O.with_tree(O.VARIED_PAGES, O.tree("vpages")) + f"""
+SELECT page_id, {O.is_resource_page_broad(LEGACY_QUERY)} AS is_resource, array_to_string(signals, ',') AS signals FROM pf""")
 def c03_is_resource_page_broad(spark, sf_dir):
-    a = X.analyse_pages(wide_pages(spark, sf_dir))
+    a = X.analyse_pages(A.varied_pages(read_table(spark, sf_dir, "pages")))
     ok = C.is_resource_page_broad("url", "signals", "tags", "meta_description",
                                   F.coalesce("title_only", F.lit("")), F.array_join("h1_texts", " "),
                                   F.array_join("h2_texts", " "), "body_text", LEGACY_QUERY)
@@ -221,9 +224,10 @@ def c03_native_signals(spark, sf_dir):
                     C.legacy_vocabulary(X.body_text("html"), LEGACY_QUERY).alias("legacy_vocab"))
 
 
-@register("c04_is_resource_page_narrow", None)
+@register("c04_is_resource_page_narrow", O.with_tree(O.VARIED_PAGES, O.tree("vpages")) + f"""
+SELECT page_id, {O.is_resource_page_narrow()} AS is_resource FROM pf""")
 def c04_is_resource_page_narrow(spark, sf_dir):
-    a = X.analyse_pages(wide_pages(spark, sf_dir))
+    a = X.analyse_pages(A.varied_pages(read_table(spark, sf_dir, "pages")))
     return a.select("page_id", C.is_resource_page_narrow(F.coalesce("title_only", F.lit("")),
                                                          "signals").alias("is_resource"))
 

@@ -136,6 +136,17 @@ def widen_pages(pages: DataFrame) -> DataFrame:
                     F.concat(p.html, extra, extra2, extra3).alias("html"))
 
 
+def varied_pages(pages: DataFrame) -> DataFrame:
+    """Widened pages whose articles became sections (a third), some with a main element or another content class: pages without
+    structure signals, and such that later selectors apply to."""
+    p = widen_pages(pages)
+    sections = F.when(p.page_id % 3 == 0, F.regexp_replace("html", "(</?)article", "$1section")).otherwise(p.html)
+    n = p.page_id.cast("string")
+    more = F.when(p.page_id % 6 == 0, F.concat(F.lit("<main>main "), n, F.lit("</main>"))) \
+        .when(p.page_id % 6 == 1, F.concat(F.lit('<div class="post content">posted '), n, F.lit("</div>"))).otherwise(F.lit(""))
+    return p.select("page_id", "url", F.concat(sections, more).alias("html"))
+
+
 def lineitem_links(lineitem: DataFrame) -> DataFrame:
     """lineitem -> a link table (src, dst), distinct: the keys of orders and parts are nodes."""
     l = lineitem

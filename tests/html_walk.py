@@ -1,20 +1,10 @@
-"""The one Python stage: a small HTML tree walk over stdlib ``html.parser``.
-
-Fields that depend on the element tree (direct text of <p>, ordered content
-selectors, class/id/heading signals, ``pre code`` text) cannot be expressed with
-a regex. ``page_walk`` runs the walk per Arrow batch through ``mapInPandas`` on page_id, url
-and html, which pass through, so native fields follow without a join and Spark keeps
-partitioning the work.
-"""
+"""A plain-Python walk over a page (stdlib ``html.parser``): what the native element tree is held against."""
 
 from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
-from .. import rules
+from ferret import rules
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
         "param", "source", "track", "wbr"}
@@ -24,11 +14,6 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset"
             "main", "nav", "ol", "p", "pre", "section", "table", "ul", "li", "dd", "dt"}
 RAW_TEXT = {"script", "style"}
 
-WALK_SCHEMA = ("page_id long, p_texts array<string>, content_broad string, "
-               "content_narrow string, signals array<string>, h1_texts array<string>, "
-               "h2_texts array<string>, pre_code array<string>, pre_texts array<string>")
-
-
 def _selector_key(sel: str) -> tuple[str, str]:
     if sel.startswith("."):
         return ("class", sel[1:])
@@ -66,17 +51,21 @@ class _Walker(HTMLParser):
         self.pre_code: list[str] = []
         self.pre_texts: list[str] = []
 
-    def handle_starttag(self, tag, attrs):
+    def _end_paragraph(self, tag):
         if tag in CLOSES_P and any(n.tag == "p" for n in self.stack):
             while self.stack:
                 if self.stack.pop().tag == "p":
                     break
+
+    def handle_starttag(self, tag, attrs):
+        self._end_paragraph(tag)
         node = _Node(tag, attrs)
         self.elements.append(node)
         if tag not in VOID:
             self.stack.append(node)
 
     def handle_startendtag(self, tag, attrs):
+        self._end_paragraph(tag)
         self.elements.append(_Node(tag, attrs))
 
     def handle_endtag(self, tag):
@@ -133,7 +122,7 @@ def _signals(walker: _Walker, signal_lists) -> list[str]:
                 hit = node.tag == value[0] and value[1] in node.class_attr
             if hit:
                 break
-        if hit:
+        if hit and signal_name(kind, value) not in out:
             out.append(signal_name(kind, value))
     return out
 
@@ -157,31 +146,3 @@ def walk_one(html: str | None, selectors_broad=None, selectors_narrow=None,
         "pre_code": w.pre_code,
         "pre_texts": w.pre_texts,
     }
-
-
-def page_walk(pages: DataFrame, selectors_broad=None, selectors_narrow=None,
-              signal_lists=None, keep=("url", "html")) -> DataFrame:
-    """(page_id, *keep) -> (page_id, *keep, WALK_SCHEMA fields), one row per page.
-
-    The ``keep`` columns pass through unchanged, so native expressions can be applied
-    after the walk in the same stage: one scan, no join and no shuffle.
-    """
-    sb, sn, sl = selectors_broad, selectors_narrow, signal_lists
-    keep = [c for c in keep if c != "page_id"]
-    schema = WALK_SCHEMA.replace("page_id long, ", "page_id long, " + "".join(
-        f"{c} {dict(pages.dtypes)[c]}, " for c in keep))
-
-    def run(batches):
-        for pdf in batches:
-            rows = [walk_one(h, sb, sn, sl) for h in pdf["html"]]
-            out = pd.DataFrame(rows, columns=["p_texts", "content_broad", "content_narrow",
-                                              "signals", "h1_texts", "h2_texts",
-                                              "pre_code", "pre_texts"])
-            for i, c in enumerate(["page_id"] + keep):
-                out.insert(i, c, pdf[c].to_numpy())
-            yield out
-
-    from ..session import ship_package
-    ship_package(pages.sparkSession)
-    cols = ["page_id"] + keep + ([] if "html" in keep else ["html"])
-    return pages.select(*cols).mapInPandas(run, schema)

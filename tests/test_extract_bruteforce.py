@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferret import rules
-from ferret.functions.walk import signal_name, walk_one
+from tests.html_walk import signal_name, walk_one
 from ferret.operators import extract as X
 from ferret.sources.adapters import widen_pages
 from ferret.sources.tables import read_table

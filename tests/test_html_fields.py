@@ -1,5 +1,6 @@
 """Native HTML fields against hand-written values."""
 
+from ferret.functions import elements as E
 from ferret.functions import html as H
 from ferret.operators import extract as X
 
@@ -12,7 +13,7 @@ PAGE = ("<html><head><title>A &mdash; B&#8217;s</title><meta name='keywords' con
 def test_fields(spark):
     df = spark.createDataFrame([(1, PAGE), (2, "<head><title>T</title></head><p>no body &lt;tag&gt;</p>"), (3, None), (4, "")], "page_id long, html string")
     got = {r.page_id: r for r in df.select("page_id", X.title("html").alias("title"), H.own_text("html", "h1").alias("h1"), X.tags("html").alias("tags"),
-                                           X.meta_description("html").alias("description"), H.hrefs("html").alias("hrefs"),
+                                           X.meta_description("html").alias("description"), E.hrefs("html").alias("hrefs"),
                                            X.body_text("html").alias("body")).collect()}
     assert got[1].title == "A — B’s" and got[1].h1 == " own " and got[1].tags == 'x, "y"' and got[1].description == "plain"
     assert got[1].hrefs == ["/one", "/two?a=1&b=2", "three"]

@@ -1,6 +1,6 @@
 """HTML walk and page extraction on hand-made pages."""
 
-from ferret.functions.walk import walk_one
+from tests.html_walk import walk_one
 from ferret.operators import extract as X
 
 PAGE = ("<html><head><title> My  Tutorial </title>"
