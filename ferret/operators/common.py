@@ -9,17 +9,6 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven to be at most ``max_rows``.
-
-    The count is taken with a LIMIT, so it never scans more than max_rows + 1
-    rows. Above the bound the plain DataFrame is returned and Spark (with AQE)
-    picks a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def rounded(c, digits: int = 6) -> Column:
     return F.round(c if isinstance(c, Column) else F.col(c), digits)
 
@@ -34,5 +23,7 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Round-robin repartition before CPU-heavy row work, but only when the source has
     fewer partitions than the cluster has task slots (a handful of unsplittable files).
     A large input already has thousands of splits and is left alone (no shuffle)."""
+    if df.isStreaming:  # its partitions are known per micro-batch only
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df.repartition(target) if df.rdd.getNumPartitions() < target // per_core else df

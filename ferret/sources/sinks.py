@@ -1,10 +1,8 @@
 """Resource table maintenance.
 
 The resource table is keyed by ``resource_id = md5(url)``. Batches are merged
-copy-on-write into a new table version. When a batch is small (size-checked) it is
-broadcast, so the large existing table is only scanned, never shuffled; otherwise a
-shuffle full outer join on the key is used. Newest-per-key inside a batch uses
-``max_by`` (partially aggregated map-side), so a key holding a large share of a
+copy-on-write into a new table version, by one outer join on the key. The last row per key of a batch is
+found by a ranking that Spark limits before its shuffle, so a key holding a large share of a
 batch never lands whole in one task.
 """
 
@@ -12,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.classify import primary_language
-from ..operators.common import BROADCAST_MAX_ROWS
 from ..schema import RESOURCE_COLUMNS, RESOURCE_SCHEMA
 from .tables import conform_resources
 
@@ -33,23 +31,17 @@ def row_order(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(c) for c in df.columns])
 
 
-def _is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def upsert_resources(existing: DataFrame, incoming: DataFrame, seq_col: str = "load_seq") -> DataFrame:
     """A3: merge a batch of (possibly partial) items into the resource table.
 
     Columns present in ``incoming`` overwrite the stored value, NULLs included;
     columns absent from it keep the stored value. Returns the full new table with
     ``is_new`` (key absent before) and ``touched`` (row written by this batch).
+    Both sides are read once and meet in one outer join by key; of the batch's rows per key the winner is found
+    by (key, sequence) alone, and Spark chooses the join by the sides' sizes.
     """
-    inc = incoming.withColumn("resource_id", F.md5("url"))
-    if seq_col not in inc.columns:
-        inc = inc.withColumn(seq_col, row_order(incoming))
-    inc = newest_per_key(inc, "resource_id", seq_col).drop(seq_col)
+    inc = newest_rows(incoming, seq_col)
     present = set(inc.columns)
-    ex = conform_resources(existing)
 
     def pick(c: str) -> Column:
         if c == "resource_id":
@@ -61,34 +53,24 @@ def upsert_resources(existing: DataFrame, incoming: DataFrame, seq_col: str = "l
     cols = [pick(c).alias(c) for c in RESOURCE_COLUMNS] + \
         [F.col("e.resource_id").isNull().alias("is_new"),
          F.col("i.resource_id").isNotNull().alias("touched")]
-    i, e = inc.alias("i"), ex.alias("e")
-    if _is_small(inc):
-        b = F.broadcast(i)
-        updated = e.join(b, F.col("e.resource_id") == F.col("i.resource_id"), "left")
-        hit_keys = ex.select("resource_id").join(F.broadcast(inc.select("resource_id")),
-                                                 "resource_id", "left_semi")
-        fresh = inc.join(F.broadcast(hit_keys), "resource_id", "left_anti")
-        types = {f.name: f.dataType for f in RESOURCE_SCHEMA.fields}
-        fresh_cols = [(F.col(c) if c in present else F.lit(None)).cast(types[c]).alias(c)
-                      for c in RESOURCE_COLUMNS] + [F.lit(True).alias("is_new"),
-                                                    F.lit(True).alias("touched")]
-        return updated.select(*cols).unionByName(fresh.select(*fresh_cols))
-    j = e.join(i, F.col("e.resource_id") == F.col("i.resource_id"), "full_outer")
+    j = conform_resources(existing).alias("e").join(inc.alias("i"), F.col("e.resource_id") == F.col("i.resource_id"), "full_outer")
     return j.select(*cols)
 
 
-def replace_resources(existing: DataFrame, incoming: DataFrame, seq_col: str = "load_seq") -> DataFrame:
-    """A4: whole-row overwrite by id; the newest incoming row per id replaces the stored row."""
+def newest_rows(incoming: DataFrame, seq_col: str) -> DataFrame:
+    """The batch's last row per key, with resource_id: rows are ranked per key; Spark keeps one row per key of a task before
+    it shuffles (WindowGroupLimit), so a key that holds a third of the batch is no single task's work."""
     inc = incoming.withColumn("resource_id", F.md5("url"))
-    if seq_col not in inc.columns:
-        inc = inc.withColumn(seq_col, row_order(incoming))
-    inc = conform_resources(inc, keep=[seq_col])
-    inc = newest_per_key(inc, "resource_id", seq_col).drop(seq_col)
-    ex = conform_resources(existing)
-    keys = inc.select("resource_id")
-    keys = F.broadcast(keys) if _is_small(keys) else keys
-    kept = ex.join(keys, "resource_id", "left_anti")
-    return kept.unionByName(inc.select(*RESOURCE_COLUMNS))
+    order = F.col(seq_col) if seq_col in inc.columns else row_order(incoming)
+    w = Window.partitionBy("resource_id").orderBy(order.desc(), row_order(incoming))
+    return inc.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place", seq_col)
+
+
+def replace_resources(existing: DataFrame, incoming: DataFrame, seq_col: str = "load_seq") -> DataFrame:
+    """A4: whole-row overwrite by id; the newest incoming row per id replaces the stored row. One join, as in A3."""
+    inc = conform_resources(newest_rows(incoming, seq_col))
+    j = conform_resources(existing).alias("e").join(inc.alias("i"), F.col("e.resource_id") == F.col("i.resource_id"), "full_outer")
+    return j.select(*[F.when(F.col("i.resource_id").isNotNull(), F.col(f"i.{c}")).otherwise(F.col(f"e.{c}")).alias(c) for c in RESOURCE_COLUMNS])
 
 
 def dedupe_resources(resources: DataFrame, seq_col: str = "doc_id") -> DataFrame:
@@ -133,109 +115,19 @@ __all__ = ["upsert_resources", "replace_resources", "dedupe_resources", "change_
 
 
 # ---------------------------------------------------------------------------
-# Incremental table (A5): merge-on-read with per-batch deltas
-#
-#   <root>/base-<k>/rb=<bucket>/   compacted snapshot holding batches <= k,
-#                                  partitioned by a hash bucket of resource_id
-#   <root>/delta/batch=<n>/        rows touched by micro-batch n (full merged rows)
-#
-# A micro-batch reads only the current rows of its own keys (broadcast key semi-join,
-# which prunes base buckets dynamically) and writes just the touched rows, so its cost
-# follows the batch, not the table. Readers take the newest row per key over the latest
-# base and the later deltas; ``compact`` folds deltas into a new base.
+# A5: a log of items. Streams append their micro-batches to a Parquet folder with Spark's own sink,
+# which commits every micro-batch once; the resource table is what A3 makes of the whole log.
 # ---------------------------------------------------------------------------
 
-KEY_BUCKETS = 64
-
-
-def key_bucket(c, buckets: int = KEY_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
-
-
-def _fs(spark, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def latest_base(spark, root: str) -> int | None:
-    """The largest k of a complete ``base-<k>`` snapshot under ``root``."""
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return None
-    best = None
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("base-") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            k = int(name[5:])
-            best = k if best is None or k > best else best
-    return best
-
-
-def _sources(spark, root: str, below: int | None):
-    """(base DataFrame or None, deltas DataFrame or None) visible to a reader at ``below``."""
-    k = latest_base(spark, root)
-    base = spark.read.parquet(f"{root}/base-{k}") if k is not None else None
-    fs, p = _fs(spark, f"{root}/delta")
-    deltas = None
-    if fs.exists(p) and len(fs.listStatus(p)) > 0:
-        d = spark.read.parquet(f"{root}/delta")
-        cond = F.col("batch") > F.lit(-1 if k is None else k)
-        if below is not None:
-            cond = cond & (F.col("batch") < F.lit(below))
-        deltas = d.where(cond)
-    return base, deltas
-
-
-def current_table(spark, root: str, below: int | None = None, keys: DataFrame | None = None) -> DataFrame:
-    """The table as of batch ``below`` (exclusive): newest row per resource_id over the
-    latest base and later deltas. With ``keys`` (resource_id), only those keys are read."""
-    base, deltas = _sources(spark, root, below)
-    parts = []
-    if keys is not None:
-        kb = keys.select("resource_id").distinct().withColumn("rb", key_bucket(F.col("resource_id")))
-        kb = F.broadcast(kb) if _is_small(kb) else kb
-    if base is not None:
-        b = base
-        if keys is not None:
-            # The batch's key buckets are at most KEY_BUCKETS integers: applied as a static
-            # partition filter, only those base folders are listed and read.
-            buckets = [r.rb for r in kb.select("rb").distinct().collect()]
-            b = base.where(F.col("rb").isin(buckets)).join(kb, ["rb", "resource_id"], "left_semi")
-        parts.append(b.drop("rb").withColumn("_order", F.lit(-1).cast("long")))
-    if deltas is not None:
-        d = deltas.join(kb.select("resource_id"), "resource_id", "left_semi") if keys is not None else deltas
-        parts.append(d.withColumn("_order", F.col("batch").cast("long")).drop("batch"))
-    if not parts:
-        return conform_resources(base_empty(spark))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p, allowMissingColumns=True)
-    return newest_per_key(conform_resources(u, keep=["_order"]), "resource_id", "_order") \
-        .drop("_order").select(*RESOURCE_COLUMNS)
-
-
-def base_empty(spark):
-    return spark.createDataFrame([], RESOURCE_SCHEMA)
-
-
-def upsert_batch(spark, root: str, batch: DataFrame, batch_id: int,
-                 seq_col: str = "load_seq") -> str:
-    """A5 body for one micro-batch: merge it with the current rows of its keys and write
-    the touched rows as ``delta/batch=<batch_id>`` (a retry overwrites the same folder,
-    and re-applying a batch gives the same rows)."""
-    keys = batch.select(F.md5("url").alias("resource_id"))
-    existing = current_table(spark, root, below=batch_id, keys=keys)
-    merged = upsert_resources(existing, batch, seq_col).where("touched").drop("is_new", "touched")
-    path = f"{root}/delta/batch={batch_id}"
-    merged.write.mode("overwrite").parquet(path)
-    return path
-
-
-def compact(spark, root: str, upto: int) -> str:
-    """Fold every delta up to batch ``upto`` into a new base snapshot ``base-<upto>``."""
-    t = current_table(spark, root, below=upto + 1)
-    path = f"{root}/base-{upto}"
-    (t.withColumn("rb", key_bucket(F.col("resource_id")))
-     .repartition("rb").write.mode("overwrite").partitionBy("rb").parquet(path))
-    return path
+
+def log_stream(items: DataFrame, log: str, checkpoint: str):
+    """A writer that appends a stream of items (url, load_seq, some record fields) to ``log``."""
+    return items.writeStream.format("parquet").option("path", log).option("checkpointLocation", checkpoint)
+
+
+def logged_table(spark, log: str, existing: DataFrame | None = None, seq_col: str = "load_seq") -> DataFrame:
+    """The resource table after all items of ``log``: the newest item per URL, merged into ``existing`` (A3)."""
+    items = spark.read.parquet(log)
+    if existing is None:
+        existing = spark.createDataFrame([], RESOURCE_SCHEMA)
+    return upsert_resources(existing, items, seq_col)

@@ -6,7 +6,6 @@ from ferret.operators import frontier as G
 from ferret.operators import reports as R
 from ferret.operators.common import spread
 from ferret.schema import RESOURCE_SCHEMA
-from ferret.streaming import live as L
 
 
 def test_index_status_empty_table_is_zero(spark):
@@ -26,22 +25,6 @@ def test_cap_per_domain_with_a_hot_domain(spark):
     assert sorted(firsts) == [0, 1, 2]
 
 
-def test_stream_dedupe_with_watermark_keeps_first_copy(spark, tmp_path):
-    import datetime as dt
-    src = tmp_path / "in"
-    base = dt.datetime(2024, 1, 1)
-    rows = [(1, "u1", base), (2, "u1", base + dt.timedelta(seconds=5)), (3, "u2", base)]
-    spark.createDataFrame(rows, "event_id long, url string, timestamp timestamp") \
-        .coalesce(1).write.parquet(str(src))
-    stream = spark.readStream.schema("event_id long, url string, timestamp timestamp").parquet(str(src))
-    out = L.first_per_url_stream(stream, key_cols=("url",), watermark="1 hour")
-    q = (out.writeStream.format("parquet").option("path", str(tmp_path / "o"))
-         .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    got = {r.url: r.event_id for r in spark.read.parquet(str(tmp_path / "o")).collect()}
-    assert set(got) == {"u1", "u2"} and got["u2"] == 3
-
-
 def test_spread_leaves_wide_inputs_alone(spark):
     wide = spark.range(0, 1000, numPartitions=64)
     assert spread(wide) is wide

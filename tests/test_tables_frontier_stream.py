@@ -116,46 +116,39 @@ def test_assign_worker_leaves_nothing_out(spark):
     assert G.assign_worker(rows, ["w0", "w1"], window=101).count() == 101
 
 
-def test_stream_dedupe_equals_batch(spark, tmp_path):
-    from ferret.sources.adapters import events_feed
+def test_resource_stream_makes_a_log(spark, tmp_path):
+    from ferret.operators.extract import extract_resources
     from ferret.sources.tables import read_table, table_path
-    ev = read_table(spark, SF001, "events")
-    batch = L.first_per_url_batch(events_feed(ev))
-    stream = events_feed(L.stream_files(spark, ev.schema, table_path(SF001, "events")))
-    out = str(tmp_path / "o")
-    q = (L.first_per_url_stream(stream, key_cols=("url",)).select("url").writeStream.format("parquet")
-         .option("path", out).option("checkpointLocation", str(tmp_path / "c"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    assert {r.url for r in spark.read.parquet(out).collect()} == {r.url for r in batch.collect()}
-
-
-def test_resource_stream_versions(spark, tmp_path):
-    from ferret.sources.tables import table_path
     base = str(tmp_path / "t")
-    q = L.resource_stream(spark, table_path(SF001, "pages"), base, str(tmp_path / "ck"), query="the")
-    q.awaitTermination()
-    t = L.current_table(spark, base)
-    assert t.count() == t.select("resource_id").distinct().count() > 0
-
-
-def test_incremental_table_batches_compaction_and_retry(spark, tmp_path):
-    root = str(tmp_path / "inc")
-    b0 = spark.createDataFrame([(1, "https://a/1", "T1", "video"), (2, "https://a/2", "T2", "article")],
-                               "load_seq long, url string, title string, type string")
-    b1 = spark.createDataFrame([(3, "https://a/1", None)], "load_seq long, url string, type string")
-    K.upsert_batch(spark, root, b0, 0)
-    K.upsert_batch(spark, root, b1, 1)
-    K.upsert_batch(spark, root, b1, 1)                      # retried batch: same result
-    t = {r.url: r for r in K.current_table(spark, root).collect()}
-    assert t["https://a/1"].title == "T1" and t["https://a/1"].type is None
-    assert t["https://a/2"].type == "article" and len(t) == 2
-    K.compact(spark, root, 1)
-    b2 = spark.createDataFrame([(4, "https://a/3", "T3")], "load_seq long, url string, title string")
-    K.upsert_batch(spark, root, b2, 2)
-    t2 = {r.url: r for r in K.current_table(spark, root).collect()}
-    assert set(t2) == {"https://a/1", "https://a/2", "https://a/3"}
-    assert t2["https://a/1"].title == "T1" and t2["https://a/1"].type is None
+    L.resource_stream(spark, table_path(SF001, "pages"), base, str(tmp_path / "ck"), query="the").awaitTermination()
+    t = K.logged_table(spark, base)
+    want = extract_resources(read_table(spark, SF001, "pages"), query="the")
+    assert sorted(r.url for r in t.collect()) == sorted(r.url for r in want.collect()) and t.count() > 0
+
+
+def test_log_of_three_micro_batches(spark, tmp_path):
+    """Later items replace earlier ones, NULLs included, whatever micro-batch they came in; a second run adds nothing."""
+    base = str(tmp_path)
+    schema = "load_seq long, url string, title string, type string"
+    for part in ([(1, "https://a/1", "T1", "video"), (2, "https://a/2", "T2", "article")], [(3, "https://a/1", "T3", None)], [(5, "https://a/3", "T5", "video"), (4, "https://a/3", "T4", "x")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    for _ in range(2):
+        items = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        K.log_stream(items, f"{base}/log", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(f"{base}/log").count() == 5
+    t = {r.url: (r.title, r.type) for r in K.logged_table(spark, f"{base}/log").collect()}
+    assert t == {"https://a/1": ("T3", None), "https://a/2": ("T2", "article"), "https://a/3": ("T5", "video")}
+    old = conform_resources(spark.createDataFrame([("https://a/1", "old", "d")], "url string, title string, description string").withColumn("resource_id", F.md5("url")))
+    merged = {r.url: (r.title, r.description) for r in K.logged_table(spark, f"{base}/log", old).collect()}
+    assert merged["https://a/1"] == ("T3", "d") and len(merged) == 3
+
+
+def test_upsert_reads_either_side_once(spark, tmp_path):
+    _existing(spark).write.parquet(str(tmp_path / "e"))
+    inc = spark.createDataFrame([(1, "https://a/1", "x")], "load_seq long, url string, type string")
+    for f in (K.upsert_resources, K.replace_resources):
+        plan = f(spark.read.parquet(str(tmp_path / "e")), inc)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1
 
 
 def test_fan_out_channels(spark):
