@@ -90,20 +90,36 @@ def seed_urls_for_query(queries: DataFrame, templates=None) -> DataFrame:
     return queries.select("query_id", F.posexplode(urls).alias("pos", "url"))
 
 
-def choose_start_urls(jobs: DataFrame) -> DataFrame:
-    """Given start URLs (comma text), else query templates, else the defaults.
+def choose_start_urls(jobs: DataFrame, defaults=None) -> DataFrame:
+    """Given start URLs (a list, or text with commas), else query templates, else the defaults.
     ``jobs``: (job_id, query, start_urls)."""
     templates = F.array(*[F.lit(t) for t in rules.QUERY_URL_TEMPLATES])
     q = F.col("query")
     from_q = F.transform(templates, lambda t: F.replace(F.replace(t, F.lit("{q_lower}"), F.lower(q)),
                                                         F.lit("{q}"), q))
-    defaults = F.array(*[F.lit(u) for u in rules.DEFAULT_START_URLS_BROAD])
-    given = F.split(F.col("start_urls"), ",", -1)
-    chosen = F.when(F.coalesce(F.col("start_urls"), F.lit("")) != "", given) \
-        .when(F.coalesce(q, F.lit("")) != "", from_q).otherwise(defaults)
+    chosen = F.when(F.size(given_urls(jobs)) > 0, given_urls(jobs)) \
+        .when(F.coalesce(q, F.lit("")) != "", from_q).otherwise(F.array(*[F.lit(u) for u in defaults or rules.DEFAULT_START_URLS_BROAD]))
     return jobs.select("job_id", F.posexplode(chosen).alias("pos", "url"))
 
 
+def given_urls(jobs: DataFrame) -> Column:
+    """The start URLs a job names, as a list; empty where it names none."""
+    none = F.array().cast("array<string>")
+    if dict(jobs.dtypes)["start_urls"].startswith("array"):
+        return F.coalesce("start_urls", none)
+    return F.when(F.coalesce("start_urls", F.lit("")) != "", F.split("start_urls", ",", -1)).otherwise(none)
+
+
+def distributed_start_urls(jobs: DataFrame, assigned: DataFrame, size: int = rules.BATCH_SIZE) -> DataFrame:
+    """G7 of the distributed crawl: a worker starts with the first ``size`` URLs pending for it; only a worker without any
+    takes the URLs its job names, or else the defaults. ``jobs``: (job_id, worker, start_urls); ``assigned``: pending URLs with their
+    worker (G4)."""
+    taken = take_batch(assigned, size)
+    queued = jobs.select("job_id", "worker").join(taken.select("worker", (F.col("take") - 1).alias("pos"), "url"), "worker").select("job_id", "pos", "url")
+    idle = jobs.join(taken.select("worker").distinct(), "worker", "left_anti").withColumn("query", F.lit(None).cast("string"))
+    return queued.unionByName(choose_start_urls(idle, rules.DEFAULT_START_URLS_DISTRIBUTED))
+
+
 def link_table(pages: DataFrame, mode: str = "broad", query: str | None = None,
                allowed_domains=None) -> DataFrame:
     """(src_url, dst_url) links a crawl would follow from a page snapshot."""

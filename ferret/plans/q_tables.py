@@ -10,6 +10,7 @@ from ..operators import predicates as C
 from ..operators import reports as R
 from ..operators import extract as X
 from ..schema import RESOURCE_SCHEMA
+from ..session import scratch_dir
 from ..sources import adapters as A
 from ..sources import sinks as K
 from ..sources.tables import conform_resources, read_table
@@ -150,9 +151,13 @@ def a06_change_feed(spark, sf_dir):
 
 
 @register("a07_export_sample", O.with_(O.RESOURCES) + """
-SELECT doc_id, url, title FROM res ORDER BY doc_id LIMIT 100""")
+SELECT doc_id, url, title, description, type, array_to_string(languages, ',') AS languages, quality_score FROM res ORDER BY doc_id LIMIT 100""")
 def a07_export_sample(spark, sf_dir):
-    return K.export_sample(A.read_doc_resources(spark, sf_dir), 100).select("doc_id", "url", "title")
+    """The sample is written as JSON lines and read back."""
+    path = scratch_dir(spark, "sample")
+    K.write_json(K.export_sample(A.read_doc_resources(spark, sf_dir), 100), path)
+    back = spark.read.schema(RESOURCE_SCHEMA).json(path)
+    return back.select("doc_id", "url", "title", "description", "type", F.array_join("languages", ",").alias("languages"), "quality_score")
 
 
 @register("a08_reindex", O.with_(O.RESOURCES) + """
@@ -228,11 +233,12 @@ def f05_by_id(spark, sf_dir):
 @register("f05_exists", O.with_(O.RESOURCES, DEDUPED, CONV_ITEMS) + """
 SELECT i.resource_id, ex.resource_id IS NOT NULL AS found
 FROM (SELECT DISTINCT rid AS resource_id FROM inc
-      UNION SELECT resource_id FROM ex WHERE doc_id < 0) i
+      UNION SELECT resource_id FROM ex WHERE doc_id % 2 = 0) i
 LEFT JOIN ex ON ex.resource_id = i.resource_id""")
 def f05_exists(spark, sf_dir):
-    ids = conv_items(spark, sf_dir).select(F.md5("url").alias("resource_id"))
-    return R.exists(deduped(spark, sf_dir), ids)
+    known = deduped(spark, sf_dir)
+    ids = conv_items(spark, sf_dir).select(F.md5("url").alias("resource_id")).unionByName(known.where("doc_id % 2 = 0").select("resource_id"))
+    return R.exists(known, ids)
 
 
 @register("f06_frontier_stats", O.with_(O.WIDE_PAGES, _links_sql()) + f"""
@@ -356,6 +362,26 @@ def g07_choose_start_urls(spark, sf_dir):
     return G.choose_start_urls(jobs)
 
 
+@register("g07_distributed_start_urls", f"""
+WITH pend AS (SELECT 'w' || (user_id % 5) AS worker, 'https://u.example.com/' || user_id AS url, event_id FROM events WHERE event_type = 'click'),
+took AS (SELECT worker, url, row_number() OVER (PARTITION BY worker ORDER BY event_id) - 1 AS pos FROM pend QUALIFY pos < {rules.BATCH_SIZE}),
+jobs AS (SELECT item_id AS job_id, 'w' || (item_id % 9) AS worker,
+                CASE WHEN item_id % 2 = 1 THEN ['https://a.example.com/' || item_id, 'https://b.example.com/'] END AS given FROM benchmark)
+SELECT j.job_id, t.pos, t.url FROM jobs j JOIN took t ON t.worker = j.worker
+UNION ALL
+SELECT job_id, unnest(range(len(u))) AS pos, unnest(u) AS url FROM (
+  SELECT job_id, coalesce(given, {O.lst(rules.DEFAULT_START_URLS_DISTRIBUTED)}) AS u FROM jobs WHERE worker NOT IN (SELECT worker FROM took))""")
+def g07_distributed_start_urls(spark, sf_dir):
+    """Five of nine workers have URLs pending; the others take the list of their job, or the defaults."""
+    e = read_table(spark, sf_dir, "events").where("event_type = 'click'")
+    pending = e.select(F.concat(F.lit("w"), (F.col("user_id") % 5).cast("string")).alias("worker"), F.concat(F.lit("https://u.example.com/"), F.col("user_id").cast("string")).alias("url"),
+                       F.lit(0).cast("long").alias("batch"), F.col("event_id").alias("src_seq"), F.lit(0).alias("pos"))
+    n = F.col("item_id")
+    given = F.when(n % 2 == 1, F.array(F.concat(F.lit("https://a.example.com/"), n.cast("string")), F.lit("https://b.example.com/")))
+    jobs = read_table(spark, sf_dir, "benchmark").select(n.alias("job_id"), F.concat(F.lit("w"), (n % 9).cast("string")).alias("worker"), given.alias("start_urls"))
+    return G.distributed_start_urls(jobs, pending)
+
+
 @register("g08_link_table", O.with_(O.WIDE_PAGES) + f"""
 SELECT page_id, pos, url AS src_url, href AS dst_url FROM (
   SELECT page_id, url, unnest(h) AS href, unnest(range(len(h))) AS pos

@@ -100,7 +100,8 @@ def export_sample(resources: DataFrame, n: int = 100) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """One JSON document per line, NULL fields included, so every line has all fields."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def reindex(src: DataFrame, target_schema) -> DataFrame:

@@ -180,3 +180,50 @@ def test_reachable_spreads_hub_links(spark):
     for hub_edges in (3, 100):
         got = {(r.url, r.depth) for r in G.reachable(seeds, links, max_depth=2, hub_edges=hub_edges).collect()}
         assert got == {("hub", 0), ("q", 2)} | {(f"p{i}", 1) for i in range(20)}
+
+
+def test_publish_resources(spark):
+    import json
+    rows = [("u1", "The Cat", "and the hat", "article", ["en", "fr"]), ("u2", None, "cat", None, None), ("u3", 'q"\n', None, "x", [])]
+    df = spark.createDataFrame(rows, "url string, title string, description string, type string, languages array<string>").withColumn(
+        "timestamp", F.to_timestamp(F.lit("2024-01-01 00:00:05")))
+    got = {(r.channel, r.url): json.loads(r.payload) for r in L.publish_resources(df, "the cat").collect()}
+    assert set(got) == {("search:results:the cat", "u1")} | {("crawler:new_resources", u) for u in ("u1", "u2", "u3")}
+    assert got["crawler:new_resources", "u1"] == got["search:results:the cat", "u1"] == {
+        "url": "u1", "title": "The Cat", "description": "and the hat", "type": "article", "language": "en", "timestamp": "2024-01-01T00:00:05", "score": 3}
+    assert got["crawler:new_resources", "u3"] == {"url": "u3", "title": 'q"\n', "type": "x", "timestamp": "2024-01-01T00:00:05"}
+    assert {r.channel for r in L.publish_resources(df).collect()} == {"crawler:new_resources"}
+
+
+def test_messages_of_a_subscription(spark):
+    import json
+    stats = spark.createDataFrame([(1, "q", 7), (2, "r", 0), (3, "s", 1)], "query_id long, q string, total long")
+    results = spark.createDataFrame([(1, 2, 5, 1.5, "u", "T", None, "x", "en"), (3, 1, 6, 1.0, "v", None, None, None, None)],
+                                    "query_id long, rank int, id long, score double, url string, title string, description string, type string, language string")
+    live = spark.createDataFrame([(1, 1, "w", 4)], "query_id long, rank int, url string, score long")
+    subs = spark.createDataFrame([(1, '{"type": "a"}'), (2, None), (3, "{bad"), (4, "[1]"), (5, "")], "query_id long, filters string")
+    errors = L.filter_errors(subs)
+    assert sorted(r.query_id for r in errors.collect()) == [3, 4]
+    got = [(r.query_id, r.type, json.loads(r.json)) for r in L.messages(stats, results, live, errors).orderBy("query_id", "seq").collect()]
+    assert [g[1] for g in got] == ["stats", "result", "status", "result", "stats", "status", "error", "error"]
+    assert got[1][2] == {"type": "result", "data": {"id": 5, "score": 1.5, "url": "u", "title": "T", "type": "x", "language": "en", "source": "elasticsearch"}}
+    assert got[3][2] == {"type": "result", "data": {"url": "w", "score": 4}, "source": "realtime"}
+    assert got[6][2]["data"]["message"].startswith("Search error: ")
+
+
+def test_start_urls_of_workers(spark):
+    pending = spark.createDataFrame([("w1", f"u{i}", 0, i, 0) for i in range(12)], "worker string, url string, batch long, src_seq long, pos int")
+    jobs = spark.createDataFrame([(1, "w1", ["x"]), (2, "w2", ["a", "b"]), (3, "w3", None), (4, "w4", [])], "job_id long, worker string, start_urls array<string>")
+    got = {}
+    for r in G.distributed_start_urls(jobs, pending).orderBy("job_id", "pos").collect():
+        got.setdefault(r.job_id, []).append(r.url)
+    from ferret import rules
+    assert got[1] == [f"u{i}" for i in range(10)] and got[2] == ["a", "b"] and got[3] == got[4] == rules.DEFAULT_START_URLS_DISTRIBUTED
+
+
+def test_sample_as_json_lines(spark, tmp_path):
+    import json
+    df = conform_resources(spark.createDataFrame([(2, "https://b", None), (1, "https://a", "ü\n")], "doc_id long, url string, title string"))
+    K.write_json(K.export_sample(df, 5), str(tmp_path / "j"))
+    lines = [json.loads(x) for p in sorted((tmp_path / "j").glob("*.json")) for x in p.read_text().splitlines()]
+    assert [x["doc_id"] for x in lines] == [1, 2] and lines[0]["title"] == "ü\n" and "description" in lines[1] and lines[1]["title"] is None
