@@ -38,7 +38,7 @@ def run(df):
     df.write.format("noop").mode("overwrite").save()
 
 
-WARMUP_DIR = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
+WARMUP_DIRS = os.environ.get("BENCH_WARMUP_DIRS", "/root/testdata/sf0.001:/root/testdata/sf0.01").split(":")
 
 
 def main():
@@ -47,11 +47,12 @@ def main():
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
     scratch = tempfile.mkdtemp(prefix="ferret-bench-", dir=os.environ.get("BENCH_SCRATCH"))
     warm = 0.0
-    if os.path.isdir(WARMUP_DIR) and os.environ.get("BENCH_WARMUP", "1") == "1":
-        # One untimed pass of the same jobs on the smallest tables warms the JVM (JIT) and
+    if os.environ.get("BENCH_WARMUP", "1") == "1":
+        # One untimed pass of the same jobs on each of the smaller tables warms the JVM (JIT) and
         # starts the Python workers; its duration is reported as warmup_sec.
         t0 = time.perf_counter()
-        jobs(spark, WARMUP_DIR, tempfile.mkdtemp(dir=scratch), {}, {})
+        for small in filter(os.path.isdir, WARMUP_DIRS):
+            jobs(spark, small, tempfile.mkdtemp(dir=scratch), {}, {})
         warm = round(time.perf_counter() - t0, 3)
     times, counts = {}, {}
     jobs(spark, sf_dir, tempfile.mkdtemp(dir=scratch), times, counts)
