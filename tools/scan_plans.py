@@ -10,7 +10,7 @@ from ferret.plans.catalog import REGISTRY  # noqa: E402
 from ferret.session import build_session  # noqa: E402
 
 STREAM_RUNS = {"h01_resource_stream", "h04_first_per_url_stream", "a05_stream_upsert",
-               "h08_trigger", "h03_percolate_stream"}
+               "h03_percolate_stream"}
 FLAGS = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
 
 
