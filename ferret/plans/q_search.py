@@ -34,9 +34,7 @@ def e01_analyze(spark, sf_dir):
 SELECT field, term, df, sum_tf FROM term_stats
 JOIN (SELECT field, term, CAST(sum(tf) AS BIGINT) AS sum_tf FROM postings GROUP BY field, term) USING (field, term)""")
 def e02_term_stats(spark, sf_dir):
-    t = S.build_search_tables(A.read_doc_resources(spark, sf_dir))
-    cf = t.postings.groupBy("field", "term").agg(F.sum("tf").alias("sum_tf"))
-    return t.term_stats.join(cf, ["field", "term"])
+    return S.term_totals(S.build_search_tables(A.read_doc_resources(spark, sf_dir)))
 
 
 @register("e02_field_stats", O.with_(O.RESOURCES, O.index()) + """
@@ -79,7 +77,7 @@ def e05_filtered_search(spark, sf_dir):
 SELECT query_id, doc_id, url, rscore FROM collapsed""")
 def e06_collapse(spark, sf_dir):
     res, qry, t = _search_inputs(spark, sf_dir)
-    m = S.filtered_matches(S.match_scores(t, qry), res, qry)
+    m = S.batch_matches(t, res, qry, S.batch_info(t, qry))
     return S.collapse_by_url(m).select("query_id", "doc_id", "url", "rscore")
 
 
@@ -88,8 +86,7 @@ def e06_collapse(spark, sf_dir):
 SELECT query_id, rank, doc_id, rscore FROM page_hits""")
 def e07_page(spark, sf_dir):
     res, qry, t = _search_inputs(spark, sf_dir, page=1, size=5)
-    m = S.filtered_matches(S.match_scores(t, qry), res, qry)
-    return S.paged(S.collapse_by_url(m), qry).select("query_id", "rank", "doc_id", "rscore")
+    return S.search_batch(t, res, qry)["page"].select("query_id", "rank", "doc_id", "rscore")
 
 
 @register("e09_type_facet", O.with_(O.RESOURCES, O.queries(), O.index(), O.QTERMS,
