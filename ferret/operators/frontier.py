@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from .. import rules
 from ..functions.text import col_, netloc
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from . import extract as X
 from . import predicates as C
 
@@ -143,20 +143,22 @@ def reachable(seeds: DataFrame, links: DataFrame, max_depth: int = rules.DEPTH_L
     links is a hub, whose links are spread.
     """
     ensure_checkpoint_dir(seeds.sparkSession)
-    # Edges are dealt by source once and checkpointed, AQE choosing the width. The edges of a hub
+    # The distinct edges, read twice, are written once (a checkpoint would make them twice and keep every URL in full).
+    # Hubs are fewer than one per ``hub_edges`` links and are broadcast; a hop looks its frontier up while it reads the edges, unsorted.
+    # The edges are dealt by source once and checkpointed, AQE choosing the width. The edges of a hub
     # go to several places by their target, and its frontier row goes to each of them.
-    edges = links.select("src_url", "dst_url").distinct().checkpoint()
+    edges = stored(links.select("src_url", "dst_url").distinct(), "edges")
     hubs = (edges.groupBy("src_url").agg(F.ceil(F.count(F.lit(1)) / F.lit(hub_edges)).alias("places"))
             .where("places > 1").checkpoint())
     place = F.pmod(F.xxhash64("dst_url"), F.coalesce("places", F.lit(1)))
-    edges = (edges.join(hubs, "src_url", "left").select("src_url", place.alias("place"), "dst_url")
+    edges = (edges.join(F.broadcast(hubs), "src_url", "left").select("src_url", place.alias("place"), "dst_url")
              .repartition("src_url", "place").checkpoint())
     hubs = hubs.withColumnRenamed("src_url", "url")
     visited = seeds.select(F.col("url"), F.lit(0).alias("depth")).distinct().checkpoint()
     frontier = visited
     for depth in range(1, max_depth + 1):
-        dealt = frontier.join(hubs, "url", "left").select(
-            "url", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("places", F.lit(1)) - 1)).alias("place"))
+        dealt = frontier.join(F.broadcast(hubs), "url", "left").select(
+            "url", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("places", F.lit(1)) - 1)).alias("place")).hint("shuffle_hash")
         nxt = (dealt.join(edges, (dealt.url == edges.src_url) & (dealt.place == edges.place))
                .select(F.col("dst_url").alias("url")).distinct()
                .join(visited.select("url"), "url", "left_anti")
