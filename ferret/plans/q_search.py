@@ -77,7 +77,7 @@ def e05_filtered_search(spark, sf_dir):
 SELECT query_id, doc_id, url, rscore FROM collapsed""")
 def e06_collapse(spark, sf_dir):
     res, qry, t = _search_inputs(spark, sf_dir)
-    m = S.batch_matches(t, res, qry, S.batch_info(t, qry))
+    m = S.batch_matches(t, res, qry, S.batch_info(t, qry), by_url=True)
     return S.collapse_by_url(m).select("query_id", "doc_id", "url", "rscore")
 
 
