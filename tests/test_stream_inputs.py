@@ -43,3 +43,15 @@ def test_reachable_reads_its_links_unsorted(spark, monkeypatch):
     assert got == {("a", 0), ("c", 2)} | {(f"b{i}", 1) for i in range(9)}
     hops = [p for p in plans if "ShuffledHashJoin [url" in p]
     assert len(hops) == 3 and not any("SortMergeJoin [src_url" in p for p in plans)
+
+
+def test_records_of_the_stream_are_read_without_a_join(spark):
+    """Records that arrive in micro-batches are one projection of the documents, as every group of them reads it anew."""
+    from conftest import SF001
+
+    from ferret.plans.q_stream import _records
+    recs = _records(spark, SF001, "timestamp")
+    assert recs.columns == ["record_id", "text", "url", "timestamp"]
+    assert "Join" not in recs._jdf.queryExecution().optimizedPlan().toString()
+    joined = _records(spark, SF001).join(_records(spark, SF001, "timestamp").select("record_id", "timestamp"), "record_id")
+    assert recs.exceptAll(joined.select(*recs.columns)).count() == 0 and recs.count() == joined.count()
